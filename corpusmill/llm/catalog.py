@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import bpe, langid, media, mixing, quality_rules, toxicity, weak_quality
 
 QUERIES = {
+    "op2_telephony_audio": media.query,
+    "op4_weak_quality": weak_quality.query,
+    "op5_toxicity": toxicity.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_language_id": langid.query,
+    "op9_bpe": bpe.query,
     "op10_source_mixing": mixing.query,
 }
 
