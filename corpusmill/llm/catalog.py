@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, media, mixing, quality_rules, toxicity, weak_quality
+from . import bpe, langid, line_dedup, media, mixing, quality_rules, toxicity, weak_quality
 
 QUERIES = {
     "op2_telephony_audio": media.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_weak_quality": weak_quality.query,
     "op5_toxicity": toxicity.query,
     "op6_quality_rules": quality_rules.query,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_line_dedup": line_dedup.SQL,
     "op6_quality_rules": quality_rules.SQL,
 }
