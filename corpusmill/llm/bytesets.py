@@ -6,6 +6,7 @@ polynomial in wrapping arithmetic), so equal strings agree on every machine and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -136,3 +137,20 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value."""
+    head = [f"{a.dtype.str}:{len(a)}" for a in arrays]
+    return zlib.compress(",".join(head).encode() + b"\n" + b"".join(a.tobytes() for a in arrays), 1)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zlib.decompress(blob)
+    at = raw.index(b"\n")
+    out, start = [], at + 1
+    for part in raw[:at].decode().split(","):
+        kind, n = part.split(":")
+        out.append(np.frombuffer(raw, kind, int(n), start))
+        start += int(n) * np.dtype(kind).itemsize
+    return out

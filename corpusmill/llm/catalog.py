@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, media, mixing, quality_rules, toxicity, weak_quality
+from . import bpe, langid, line_dedup, media, mixing, ngram_join, quality_rules, toxicity, weak_quality
 
 QUERIES = {
     "op2_telephony_audio": media.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_quality_rules": quality_rules.query,
     "op7_language_id": langid.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_bpe": bpe.query,
     "op10_source_mixing": mixing.query,
 }

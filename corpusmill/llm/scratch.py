@@ -32,17 +32,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    """A place in the list of written tables, for :func:`release`."""
+    """How many tables were written so far, for :func:`since`."""
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Delete the tables written between two marks; call it once nothing reads them any more."""
+def since(place: int) -> list[str]:
+    """Paths of the tables written after a mark."""
+    return _written[place:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
-    for path in _written[since:until]:
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    del _written[since:until]
 
 
 def width(spark: SparkSession) -> int:
