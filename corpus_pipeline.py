@@ -1,10 +1,74 @@
-"""Five stages from raw documents to tokens; see README."""
+"""From raw documents to tokens in five stages, each written as Parquet and read by the next.
+
+Toxic documents go; lines that recur across documents go; one document of each group of near
+copies (five-word shingles, similarity 0.8) stays; sources are mixed to target weights, a document
+as often as it is taken; the mixture is tokenized and decoded again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusmill.llm import bpe, line_dedup, mixing, ngram_join, scratch, toxicity
+
+_used: list[str] = []
+
+
+def _stage(f):
+    """Delete what the stage before left in the shared folder: its result is a table by now."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release(spark, _used)
+        at = scratch.mark()
+        out = f(spark, docs, sf_dir)
+        _used[:] = scratch.since(at)
+        return out
+
+    return run
+
+
+@_stage
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@_stage
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(docs)
+
+
+@_stage
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.first_of_each(docs)
+
+
+@_stage
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+@_stage
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_common_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("BPE encoding and decoding", tokenize),
+]
+
+#: The stages rest on trained weights, a reduction tree of random draws and a tokenizer; SQL has none of them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
