@@ -65,8 +65,11 @@ class Model:
         count = np.concatenate(counts).astype(np.int64)
         with_bad, with_good = np.bincount(col[toxic[row]], minlength=size), np.bincount(col[~toxic[row]], minlength=size)
         p, q = (with_bad + 0.5) / (bad + 1), (with_good + 0.5) / (good + 1)
-        spread = np.sqrt(1 / (with_bad + 0.5) + 1 / (with_good + 0.5))
-        z = np.log(p / q) / spread
+        # signed root of the likelihood-ratio statistic of a bucket's presence against toxicity
+        both = with_bad + with_good
+        expected = both * bad / n, both * good / n
+        ratio = 2 * sum(o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-9)) for o, e in zip((with_bad, with_good), expected, strict=True))
+        z = np.sign(p - q) * np.sqrt(np.maximum(ratio, 0))
         z[with_bad + with_good < 5] = 0
         seen = int((with_bad + with_good >= 5).sum())
         least = np.sqrt(2 * np.log(max(seen, 2))) + 0.5
