@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, media, mixing, ngram_join, quality_rules, toxicity, weak_quality
+from . import bpe, langid, line_dedup, media, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, weak_quality
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_telephony_audio": media.query,
     "op3_line_dedup": line_dedup.query,
     "op4_weak_quality": weak_quality.query,
