@@ -185,7 +185,7 @@ def fold_of(doc_id: str) -> int:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(1)
-        for t in bytesets.texts(batch.column(0)):
+        for t in bytesets.texts(batch.column(0), 1 << 18):
             g, row = grams(t)
             out = []
             cut = np.searchsorted(row, np.arange(len(t.starts) + 1))
@@ -224,7 +224,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            for t in bytesets.texts(batch.column(1)):
+            for t in bytesets.texts(batch.column(1), 1 << 18):
                 ids = batch.column(0).slice(int(t.rows[0]), len(t.rows))
                 lang, score = m.predict(t)
                 for k, (a, b) in enumerate(zip(t.starts.tolist(), t.ends.tolist(), strict=True)):
