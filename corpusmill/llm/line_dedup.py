@@ -184,10 +184,10 @@ def kept_text(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
 
 
 def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("keep").alias("_keep"))
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("__mill_doc"), F.col("tag").alias("__mill_tag"), F.col("keep").alias("__mill_keep"))
     doc, tag = _key()
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], doc.alias("_d"), tag.alias("_t"))
-    return rows.join(maps.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_tag")), "left").drop("_d", "_t", "_doc", "_tag")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], doc.alias("__mill_d"), tag.alias("__mill_t"))
+    return rows.join(maps.hint("shuffle_hash"), (F.col("__mill_d") == F.col("__mill_doc")) & (F.col("__mill_t") == F.col("__mill_tag")), "left").drop("__mill_d", "__mill_t", "__mill_doc", "__mill_tag")
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -200,11 +200,11 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
     def cut(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            maps = batch.column(batch.schema.get_field_index("_keep"))
+            maps = batch.column(batch.schema.get_field_index("__mill_keep"))
             if maps.null_count < len(maps):
                 texts = [t if t is None or m is None else kept_text(t.encode(), m)[0].decode() for t, m in zip(batch.column(at).to_pylist(), maps.to_pylist(), strict=True)]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.drop_columns(["_keep"])
+            yield batch.drop_columns(["__mill_keep"])
 
     out = _with_bitmaps(docs, min_chars, min_docs).mapInArrow(cut, docs.schema)
     if dict(docs.dtypes).get("n_chars") in ("bigint", "int"):

@@ -131,12 +131,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         w = Window.partitionBy("doc_id").orderBy("source", size)
         return df.withColumn(f"{prefix}nth", F.row_number().over(w))
 
-    copies = nth(decide(docs, weights, cap).select("doc_id", "source", "size", "copies"), F.col("size"), "_")
-    copies = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), "_nth", F.col("copies").alias("_copies"))
+    copies = nth(decide(docs, weights, cap).select("doc_id", "source", "size", "copies"), F.col("size"), "__mill_")
+    copies = copies.where("copies > 0").select(F.col("doc_id").alias("__mill_id"), "__mill_nth", F.col("copies").alias("__mill_copies"))
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    rows = nth(docs, words, "_doc_")
-    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_nth") == F.col("_nth")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    rows = nth(docs, words, "__mill_doc_")
+    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("__mill_id")) & (F.col("__mill_doc_nth") == F.col("__mill_nth")))
+    rows = rows.withColumn("__mill_copy", F.explode(F.sequence(F.lit(1), F.col("__mill_copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -323,8 +323,8 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, all columns unchanged."""
-    keep = similar(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = similar(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__mill_id")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__mill_id")), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
