@@ -40,7 +40,7 @@ def shingles(t: bytesets.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     h = bytesets.span_hashes(bytesets.LOWER[t.data], s, e)
     n = np.bincount(row, minlength=len(t.starts))
     g = np.zeros(len(h), U64)
-    for k in range(words):
+    for k in range(min(words, len(h))):
         g[: len(h) - k] = (g[: len(h) - k] * U64(0xC2B2AE3D27D4EB4F)) ^ bytesets.mix(h[k:] + U64(k))
     g = bytesets.mix(g)
     begin = np.r_[0, np.cumsum(n)]
