@@ -4,12 +4,16 @@
    shingles are ordered by the logarithm of that count, then by hash: rare ones first.
 2. Documents with equal sets are one class; its smallest id stands for it.
 3. Of a set of ``n`` the first ``n - ceil(t n) + 1`` shingles are its prefix.  Two sets that link
-   share a prefix shingle.  Prefix shingles are exchanged in packed runs by hash range; a pair that
-   meets is a candidate if its lengths and the positions of the shared shingle allow a link.
-4. Each candidate pair is verified once: a filter on counts of the remaining shingles by hash range
-   (the suffix filter), then the exact intersection.
-5. Large groups don't emit all pairs: a few of their members (hubs) meet all others first; pairs
-   whose ends are connected by then need no verification, and only the others are compared.
+   share a prefix shingle.  Prefix shingles are exchanged in packed runs by hash range, and those
+   that a single document holds end there.
+4. Documents that meet at a shingle are candidates if a link is possible by their lengths, by the
+   positions of the shingle, and by the prefix shingles nobody else holds: of two documents, the one
+   whose prefix ends first shares none of those with the other.
+5. Each candidate pair is verified once: a filter on counts of the shingles by hash range (the
+   suffix filter), then the exact intersection.
+6. Large groups don't emit all pairs: a few of their members (hubs: the one with fewest shingles of
+   its own, and some by hash) meet all others first; pairs whose ends are connected by then need no
+   verification, and only members outside a group's main component are compared with the rest.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from .bytesets import U64
 
 WORDS = 4
 PERCENT = 85
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 SMALL_GROUP = 6
 HUBS = 3
 CHUNK_OF_OWNER = 128
+BLOCK = 1024
 RUN = 400_000
 NO_ID = -(2**63)
 
@@ -91,7 +96,7 @@ def _sketch_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = bytesets.unpack(blob)[0].astype(np.uint64)
             total[part] = total[part] + counts if part in total else counts
     if total:
-        levels = {k: np.ceil(np.log2(v.astype(float) + 1)).astype(np.uint8) for k, v in total.items()}
+        levels = {k: np.minimum(np.ceil(2 * np.log2(v.astype(float) + 1)), 31).astype(np.uint8) for k, v in total.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(levels), pa.int32()), pa.array([bytesets.pack(v) for v in levels.values()], pa.binary())], ["part", "counts"])
 
 
@@ -124,7 +129,8 @@ def _sets(shared, words: int, percent: int):
                 f1, f2 = ((c[begin[1:]] - c[begin[:-1]]).view(np.int64) for c in sums)
                 keep = n - (percent * n + 99) // 100 + (n > 0)
                 prefix = [token[b : b + p].tobytes() for b, p in zip(begin.tolist(), keep.tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(t.rows[0]), k), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(prefix, pa.binary())], ["doc", "n", "f1", "f2", "prefix"])
+                last = np.r_[token, U64(0)][np.where(n > 0, begin[:-1] + keep - 1, len(token))].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(t.rows[0]), k), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(last), pa.array(prefix, pa.binary())], ["doc", "n", "f1", "f2", "last", "prefix"])
 
     return run
 
@@ -158,63 +164,34 @@ def _runs(width: int):
     return run
 
 
-def _allowed(n1, p1, n2, p2, percent: int) -> np.ndarray:
-    """Length and positional filters for two sets that share the shingle at these positions."""
-    need = least_overlap(n1.astype(np.int64), n2.astype(np.int64), percent)
-    rest = np.minimum(n1 - p1, n2 - p2)
-    return (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2).astype(np.int64)) & (np.minimum(p1, p2) + rest >= need)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one hash range to the entries whose shingle two documents or more hold."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for pid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts.setdefault(pid, []).append(bytesets.unpack(blob))
+    for pid in sorted(parts):
+        token, doc, n, pos = (np.concatenate(x) for x in zip(*parts.pop(pid), strict=True))
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        again = np.r_[False, token[1:] == token[:-1]]
+        many = again | np.r_[again[1:], False]
+        order = order[many]
+        yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(doc[order]), pa.array(n[order]), pa.array(pos[order])], ["token", "doc", "n", "pos"])
 
 
-PAIRS = "a long, b long, token long, n int, pos int"
+def _possible(x: str, y: str, percent: int):
+    """Length, positional and prefix filters on the entries ``x`` and ``y`` of one shingle."""
+    a = lambda c: F.col(f"{x}.{c}")
+    b = lambda c: F.col(f"{y}.{c}")
+    need = F.expr(f"(({x}.n + {y}.n) * {percent} + {99 + percent}) div {100 + percent}")
+    length = F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * percent
+    position = F.least(a("pos"), b("pos")) + F.least(a("n") - a("pos"), b("n") - b("pos")) >= need
+    return length & position & (F.when(a("last") <= b("last"), a("n") - a("alone")).otherwise(b("n") - b("alone")) >= need)
 
 
-def _meet(percent: int):
-    """Runs of one hash range to candidate pairs ``(a, b)``; of groups over SMALL_GROUP, pairs with
-    the hubs as ``(hub, b)``, and the group's entries as ``(doc, null, token, n, pos)`` for later."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for pid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(pid, []).append(bytesets.unpack(blob))
-        for pid in sorted(parts):
-            token, doc, n, pos = (np.concatenate(x) for x in zip(*parts.pop(pid), strict=True))
-            order = np.lexsort((doc, token))
-            token, doc, n, pos = token[order], doc[order], n[order], pos[order]
-            new = np.r_[True, token[1:] != token[:-1]]
-            start = np.flatnonzero(new)
-            size = np.diff(np.r_[start, len(token)])
-            made = []
-            for g in range(2, SMALL_GROUP + 1):
-                at = start[size == g]
-                for i in range(g):
-                    for j in range(i + 1, g):
-                        made.append((at + i, at + j))
-            large = size > SMALL_GROUP
-            group = np.cumsum(new) - 1
-            inside = np.flatnonzero(large[group])
-            for k in range(HUBS):
-                # a hub is the member with the least hash under one of a few hash functions
-                rank = bytesets.mix(doc[inside].view(U64) + U64(k + 1))
-                by = np.lexsort((rank, group[inside]))
-                first = np.r_[True, np.diff(group[inside][by]) != 0] if len(by) else np.zeros(0, bool)
-                hub_of = np.zeros(len(size), np.int64)
-                hub_of[group[inside][by][first]] = inside[by][first]
-                made.append((hub_of[group[inside]], inside))
-            i, j = (np.concatenate(x) for x in zip(*made, strict=True))
-            ok = (doc[i] != doc[j]) & _allowed(n[i], pos[i], n[j], pos[j], percent)
-            i, j = i[ok], j[ok]
-            pair = np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]), axis=1)
-            k, m = pair.shape[1], len(inside)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.r_[pair[0], doc[inside]]),
-                pa.array(np.r_[pair[1], np.zeros(m, np.int64)], mask=np.r_[np.zeros(k, bool), np.ones(m, bool)]),
-                pa.array(np.r_[np.zeros(k, np.int64), token[inside].view(np.int64)]),
-                pa.array(np.r_[np.zeros(k, np.int32), n[inside]]),
-                pa.array(np.r_[np.zeros(k, np.int32), pos[inside]]),
-            ], ["a", "b", "token", "n", "pos"])
-
-    return run
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
 # ---- verification
@@ -266,25 +243,76 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int =
     return rows.groupBy("owner", "part").applyInArrow(_verify(words, percent), "a long, b long")
 
 
-def _rest(percent: int):
-    """One large group's entries with their components to the pairs between components."""
+def _blocks(percent: int):
+    """Members outside the main component against a block of a family: pairs that may link.
+
+    The shingles of each document's prefix that others hold are the columns of a matrix; the product
+    of two blocks counts the shared ones of every pair.  Of two documents, the one whose prefix ends
+    first shares no others of its prefix, so the count bounds the intersection.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        doc, comp, n, pos = (table.column(c).to_numpy() for c in ("a", "comp", "n", "pos"))
-        order = np.lexsort((doc, n))
-        doc, comp, n, pos = doc[order], comp[order], n[order], pos[order]
-        made = []
-        for i in range(len(doc)):
-            stop = np.searchsorted(n, n[i] * 100 // percent, "right")
-            j = np.arange(i + 1, max(stop, i + 1))
-            j = j[(comp[j] != comp[i]) & _allowed(n[i], pos[i], n[j], pos[j], percent)]
-            made.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
-        pair = np.unique(np.concatenate(made, axis=1), axis=1)
-        return pa.table({"a": pair[0], "b": pair[1]})
+        side, doc, comp, n, last = (table.column(c).to_numpy() for c in ("side", "doc", "comp", "n", "last"))
+        lists = table.column("tokens").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        sizes = np.diff(lists.offsets.to_numpy())
+        token = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(doc)), sizes)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        on = np.zeros(len(doc), bool)
+        on[left] = True
+        both = np.intersect1d(token[on[row]], token[~on[row]])
+        ok = np.isin(token, both)
+        token, row = np.searchsorted(both, token[ok]), row[ok]
+        place = np.zeros(len(doc), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        count = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(both), 2048):
+            part = (token >= at) & (token < at + 2048)
+            r, t = row[part], token[part] - at
+            a, b = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+            a[place[r[on[r]]], t[on[r]]] = 1
+            b[place[r[~on[r]]], t[~on[r]]] = 1
+            count += a @ b.T
+        i, j = np.nonzero(count)
+        c = count[i, j].astype(np.int64)
+        i, j = left[i], right[j]
+        n = n.astype(np.int64)
+        need = least_overlap(n[i], n[j], percent)
+        beyond = (percent * n + 99) // 100 - 1
+        first = last[i] <= last[j]
+        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])) & (c + np.where(first, beyond[i], beyond[j]) >= need)
+        a, b = doc[i[ok]], doc[j[ok]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
+def _rest(entries: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs that meet in a large group, aren't connected by ``links`` and may link.
+
+    A family is all documents of the groups with one main component; in blocks, its members outside
+    that component meet all its members.
+    """
+    comp = components.components(links).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    named = large.join(comp, F.col("doc") == F.col("_n"), "left").select("token", "doc", F.coalesce("_c", "doc").alias("comp"))
+    named = scratch.save(named, "ngram-named")
+    sizes = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("family"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select(F.col("token").alias("_t"), "family")
+    members = scratch.save(named.join(main, F.col("token") == F.col("_t")).select("family", "doc", "comp").distinct(), "ngram-families")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).cast("int")
+    parts = members.groupBy("family").agg(blocks(F.col("comp") != F.col("family")).alias("outs"), blocks(F.lit(True)).alias("alls")).select(F.col("family").alias("_f"), "outs", "alls")
+    members = members.join(parts, F.col("family") == F.col("_f"))
+    mine = lambda k: F.pmod(F.xxhash64("doc"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    outside = members.where("comp <> family").select("family", F.lit(0).alias("side"), mine("outs").alias("out"), each("alls").alias("all"), "doc", "comp")
+    whole = members.select("family", F.lit(1).alias("side"), each("outs").alias("out"), mine("alls").alias("all"), "doc", "comp")
+    held = entries.groupBy("doc").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("token").alias("tokens")).withColumnRenamed("doc", "_d")
+    rows = outside.union(whole).join(held, F.col("doc") == F.col("_d")).drop("_d")
+    return rows.groupBy("family", "out", "all").applyInArrow(_blocks(percent), "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -297,22 +325,31 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     n = scratch.width(spark)
     shared = spark.sparkContext.broadcast(frequency_levels(docs, words))
     own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    sets = scratch.save(own.mapInArrow(_sets(shared, words, percent), "doc long, n long, f1 long, f2 long, prefix binary"), "ngram-sets")
+    sets = scratch.save(own.mapInArrow(_sets(shared, words, percent), "doc long, n long, f1 long, f2 long, last long, prefix binary"), "ngram-sets")
     some = sets.where("n > 0")
-    classes = some.groupBy("f1", "f2", "n").agg(F.min("doc").alias("first"), F.min_by("prefix", "doc").alias("prefix"))
-    runs = classes.select(F.col("first"), F.col("n").cast("int"), "prefix").mapInArrow(_runs(n), "pid int, run binary")
-    met = scratch.save(runs.repartitionById(n, F.col("pid")).mapInArrow(_meet(percent), PAIRS), "ngram-pairs")
-    pairs = scratch.save(met.where("b is not null").select("a", "b").distinct(), "ngram-candidates")
-    links = scratch.save(verify(docs, pairs, words, percent), "ngram-links")
+    classes = some.groupBy("f1", "f2", "n").agg(F.min("doc").alias("first"), F.min_by("last", "doc").alias("last"))
+    classes = scratch.save(classes, "ngram-classes")
     copies = some.select("doc", "f1", "f2", "n").join(classes.select("f1", "f2", "n", "first"), ["f1", "f2", "n"]).where("doc <> first")
     copies = scratch.save(copies.select(F.col("doc").alias("a"), F.col("first").alias("b")), "ngram-copies")
-    large = met.where("b is null").select("a", "token", "n", "pos")
-    if large.take(1):
-        comp = components.components(links).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        named = large.join(comp, F.col("a") == F.col("_n"), "left").select("a", "token", "n", "pos", F.coalesce("_c", "a").alias("comp"))
-        split = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        rest = named.join(split, "token", "left_semi").groupBy("token").applyInArrow(_rest(percent), "a long, b long").distinct()
-        rest = scratch.save(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
+    leads = some.groupBy("f1", "f2", "n").agg(F.min("doc").alias("first"), F.min_by("prefix", "doc").alias("prefix"))
+    runs = leads.select(F.col("first"), F.col("n").cast("int"), "prefix").mapInArrow(_runs(n), "pid int, run binary")
+    shared_by = scratch.save(runs.repartitionById(n, F.col("pid")).mapInArrow(_shared, "token long, doc long, n int, pos int"), "ngram-shared")
+    alone = shared_by.groupBy("doc").agg(F.first("n").alias("size"), F.count(F.lit(1)).alias("met"))
+    alone = alone.join(classes.select(F.col("first").alias("doc"), "last"), "doc")
+    alone = alone.select(F.col("doc").alias("_d"), F.expr(f"size - (size * {percent} + 99) div 100 + 1 - met").alias("alone"), "last")
+    entries = scratch.save(shared_by.join(alone, F.col("doc") == F.col("_d")).select("token", "doc", "n", "pos", "alone", "last"), "ngram-entries")
+    member = F.struct("doc", "n", "pos", "alone", "last")
+    hubs = [F.min_by(member, F.struct("alone", "doc"))] + [F.min_by(member, F.xxhash64("doc", F.lit(k))) for k in range(1, HUBS)]
+    groups = scratch.save(entries.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.array(*hubs).alias("hubs")), "ngram-groups")
+    few = entries.join(groups.where(F.col("members") <= SMALL_GROUP).select("token"), "token", "left_semi")
+    large = entries.join(groups.where(F.col("members") > SMALL_GROUP).select("token"), "token", "left_semi")
+    twos = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & _possible("x", "y", percent))
+    stars = groups.where(F.col("members") > SMALL_GROUP).select("token", F.explode("hubs").alias("hub")).select("token", "hub.*")
+    stars = stars.alias("x").join(large.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") != F.col("y.doc")) & _possible("x", "y", percent))
+    pairs = scratch.save(_pairs(twos).union(_pairs(stars)).distinct(), "ngram-candidates")
+    links = scratch.save(verify(docs, pairs, words, percent), "ngram-links")
+    if groups.where(F.col("members") > SMALL_GROUP).take(1):
+        rest = scratch.save(_rest(entries, large, links, percent).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
         if rest.take(1):
             links = links.union(scratch.save(verify(docs, rest, words, percent), "ngram-links2"))
     comp = components.components(links.union(copies)).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
