@@ -127,15 +127,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     Rows that share a ``doc_id`` are told apart by their order of source and size; rows equal in
     all three are interchangeable.
     """
-    def nth(df: DataFrame, size: Column, prefix: str) -> DataFrame:
-        w = Window.partitionBy("doc_id").orderBy("source", size)
-        return df.withColumn(f"{prefix}nth", F.row_number().over(w))
-
-    copies = nth(decide(docs, weights, cap).select("doc_id", "source", "size", "copies"), F.col("size"), "__mill_")
-    copies = copies.where("copies > 0").select(F.col("doc_id").alias("__mill_id"), "__mill_nth", F.col("copies").alias("__mill_copies"))
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    rows = nth(docs, words, "__mill_doc_")
-    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("__mill_id")) & (F.col("__mill_doc_nth") == F.col("__mill_nth")))
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    one = F.struct("source", "size", "copies")
+    taken = decide(docs, weights, cap).groupBy(key.alias("__mill_id")).agg(F.sort_array(F.collect_list(one)).alias("__mill_rows"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    rows = docs.withColumn("__mill_doc_id", key)
+    rows = rows.withColumn("__mill_nth", F.row_number().over(Window.partitionBy("__mill_doc_id").orderBy("source", size)))
+    rows = rows.join(taken, F.col("__mill_doc_id") == F.col("__mill_id"))
+    rows = rows.withColumn("__mill_copies", F.get("__mill_rows", F.col("__mill_nth") - 1)["copies"]).where("__mill_copies > 0")
     rows = rows.withColumn("__mill_copy", F.explode(F.sequence(F.lit(1), F.col("__mill_copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
