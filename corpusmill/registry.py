@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+MODULES = (
+    "operators.text_queries",
+)
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+def _catalogs():
+    return [importlib.import_module(f"corpusmill.{m}").C for m in MODULES]
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for c in _catalogs() for k, v in c.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: v for c in _catalogs() for k, v in c.oracles.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["structural_quality_gate"](spark, sf_dir)
