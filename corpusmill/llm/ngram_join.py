@@ -35,6 +35,7 @@ SMALL_GROUP = 6
 HUBS = 3
 CHUNK_OF_OWNER = 128
 BLOCK = 1024
+FILTER_BITS = 23
 RUN = 400_000
 NO_ID = -(2**63)
 
@@ -232,13 +233,57 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _bits_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_places(batch.column(0).to_numpy())] = True
+    if bits.any():
+        parts = np.split(np.packbits(bits), 64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([bytesets.pack(p) for p in parts], pa.binary())], ["part", "bits"])
+
+
+def _bits_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            bits = bytesets.unpack(blob)[0]
+            whole[part] = whole[part] | bits if part in whole else bits
+    if whole:
+        yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([bytesets.pack(b) for b in whole.values()], pa.binary())], ["part", "bits"])
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (bytesets.mix(ids.view(U64) + U64(77)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each range of id hashes that holds one of ``ids``: a filter of fixed size."""
+    parts = ids.mapInArrow(_bits_part, "part int, bits binary").repartitionById(64, F.col("part")).mapInArrow(_bits_join, "part int, bits binary")
+    out = np.zeros((64, (1 << FILTER_BITS) // 512), np.uint8)
+    for r in parts.collect():
+        out[r["part"]] = bytesets.unpack(r["bits"])[0]
+    return out.ravel()
+
+
 def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(a, b)`` that link.  A document with many partners is checked in parts."""
+    """The pairs ``(a, b)`` that link.  A document with many partners is checked in parts.
+
+    Texts are thinned by a filter of fixed size before the exchange; what it lets through by chance
+    falls out in the join.
+    """
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_OF_OWNER).cast("int").alias("parts"))
     asked = pairs.join(degree, "a").select(F.col("a").alias("owner"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
     owners = degree.select(F.col("a").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
     wanted = asked.union(owners)
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("id").distinct()))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text").mapInArrow(thin, "doc long, text string")
     rows = texts.join(wanted, F.col("doc") == F.col("id")).select("owner", "part", "doc", "text")
     return rows.groupBy("owner", "part").applyInArrow(_verify(words, percent), "a long, b long")
 
