@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "operators.text_queries",
+    "operators.corpus",
 )
 
 
