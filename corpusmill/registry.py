@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "operators.text_queries",
     "operators.corpus",
+    "operators.ordered",
+    "operators.repair_queries",
 )
 
 
