@@ -11,6 +11,7 @@ MODULES = (
     "operators.corpus",
     "operators.ordered",
     "operators.repair_queries",
+    "operators.page_queries",
 )
 
 
