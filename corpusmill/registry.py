@@ -12,6 +12,7 @@ MODULES = (
     "operators.ordered",
     "operators.repair_queries",
     "operators.page_queries",
+    "operators.matching",
 )
 
 

@@ -148,3 +148,47 @@ def test_sources(spark, tmp_path):
     f = files.files(spark, str(tmp_path / "a.zip"))
     assert {(r.name, r.pdf) for r in files.by_file(f, files.zip_members, files.ZIP).collect()} == {("x.pdf", True), ("word/document.xml", False)}
     assert [r.paragraph for r in files.by_file(f, files.docx_paragraphs, files.DOCX).collect()] == ["hi there"]
+
+
+def test_tagger(spark):
+    from corpusmill.functions import tries
+
+    syllables = spark.createDataFrame([("က", "A001"), ("ကာ", "A002"), ("မ", "A003")], "syllable string, id string")
+    paths = spark.createDataFrame([(["A002", "A003"], ["n", "v"]), (["A002"], ["n"]), (["A001"], ["p", "q"])], "path array<string>, tags array<string>")
+    docs = spark.createDataFrame([(1, "ကာမ က။ {abc}၁၂"), (2, None)], "id int, text string")
+    out = {r.id: r.resolved for r in tries.pipeline(docs, syllables, paths, "site").collect()}
+    assert [(t.surface, t.final) for t in out[1]] == [("ကာမ", "rbvn"), ("က", "p"), ("။", "eos"), ("{abc}", "en"), ("၁", "count"), ("၂", "count")]
+    assert out[2] is None
+    assert tries.pipeline(docs, syllables, paths, "public").orderBy("id").first().line == "ကာ  မ  က  ။  {abc}  ၁  ၂"
+    assert [len(u) for u in tries.fold_units(list("a။b။c"))] == [4, 1]
+
+
+def test_splitters():
+    from corpusmill.functions import splitters
+
+    for limit in (1, 3, 7, 50):
+        t = "One two. Three! Four? Five" * 3
+        got = splitters.split_exactly(t, limit)
+        assert "".join(got) == t and max(map(len, got)) <= limit
+    assert splitters.numbers_of("1-2,5, 2") == [1, 2, 5]
+    with pytest.raises(ValueError):
+        splitters.numbers_of("4-2")
+    text, changes = splitters.repair_quotes('"abc" he said: "x"')
+    assert text == "“abc” he said: “x”" and [c["choice"] for c in changes] == ["open", "close", "open", "close"]
+
+
+def test_shapes():
+    import numpy as np
+
+    from corpusmill.functions import shapes
+
+    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], float)
+    assert shapes.area(square) == 4 and len(shapes.resample(square, 16)) == 16
+    assert shapes.cloud_distance(square, square) == 0
+    mask = np.zeros((5, 5), bool)
+    mask[2, 2] = True
+    field = shapes.distance_field(mask)
+    assert field[2, 4] == 2 and abs(field[0, 0] - 2 * 2**0.5) < 1e-9 and field[1, 0] == pytest.approx(1 + 2**0.5)
+    assert shapes.shape_distance(mask, mask, 1, 1) == 0
+    a, b = shapes.resample(square, 32), shapes.resample(square * [1, 2], 32)
+    assert shapes.nearest(a, [b, a], 0.5, 0.01) == 1 and shapes.nearest(a, [a, a], 0.5, 0.01) is None
