@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,68 +51,91 @@ def rows_of(table: DataFrame, most: int = MOST) -> list:
     return rows
 
 
+def _pieces(t: str, trie: Trie) -> tuple[list[str], list[str | None]]:
+    """Surfaces and ids: the longest syllable at each place; braces stay whole, white space goes."""
+    surface, ids, k = [], [], 0
+    while k < len(t):
+        if t[k].isspace():
+            k += 1
+            continue
+        if t[k] == "{" and "}" in t[k:]:
+            end, found = t.index("}", k) + 1, None
+        else:
+            end, found = trie.longest(t, k)
+        surface.append(t[k:end])
+        ids.append(found)
+        k = end
+    return surface, ids
+
+
+def surface_class(s: str) -> str:
+    """The tag of a piece without an id."""
+    if s.startswith("{") and s.endswith("}"):
+        return "en"
+    if all(c.isdigit() or c in ".,/-" for c in s) and any(c.isdigit() for c in s):
+        return "count"
+    return "?" if any(c.isalnum() for c in s) else "pan"
+
+
+def _tokens(surface: list[str], ids: list[str | None], trie: Trie) -> Iterator[tuple[int, list[str]]]:
+    """The end and the tags of each token."""
+    k = 0
+    while k < len(surface):
+        if surface[k] == FULL_STOP:
+            end, tags = k + 1, ["eos"]
+        elif ids[k] is None:
+            end, tags = k + 1, [surface_class(surface[k])]
+        else:
+            end, tags = trie.longest(ids, k)
+        yield end, list(tags or ["?"])
+        k = end
+
+
+def _shared(docs: DataFrame, entries):
+    return docs.sparkSession.sparkContext.broadcast(Trie(entries))
+
+
 def segment(docs: DataFrame, syllables: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pieces``: ``array<struct<surface, id>>`` by the longest syllable at each place.
 
     Masked spans in braces stay whole, white space separates and isn't a piece, other characters
     stand alone without an id.  Null gives null.
     """
-    trie = docs.sparkSession.sparkContext.broadcast(Trie((r["syllable"], r["id"]) for r in rows_of(syllables)))
-
-    def pieces(t: str) -> list[dict]:
-        out, k = [], 0
-        while k < len(t):
-            if t[k].isspace():
-                k += 1
-            elif t[k] == "{" and "}" in t[k:]:
-                end = t.index("}", k) + 1
-                out.append({"surface": t[k:end], "id": None})
-                k = end
-            else:
-                end, found = trie.value.longest(t, k)
-                out.append({"surface": t[k:end], "id": found})
-                k = end
-        return out
+    trie = _shared(docs, ((r["syllable"], r["id"]) for r in rows_of(syllables)))
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(pieces, na_action="ignore")
+        return s.map(lambda t: [{"surface": a, "id": b} for a, b in zip(*_pieces(t, trie.value), strict=True)], na_action="ignore")
 
     return docs.withColumn("pieces", F.pandas_udf(run, "array<struct<surface:string,id:string>>")(F.col(text)))
 
 
-def tag(docs: DataFrame, paths: DataFrame, pieces: str = "pieces") -> DataFrame:
-    """``docs`` with ``tokens``: the longest path of ids at each place and its tags.
+def tag(docs: DataFrame, syllables: DataFrame, paths: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``tokens``: segments, then the longest path of ids at each place and its tags.
 
     A full stop is ``eos``; a piece without an id gets the class of its surface; an id that begins no
-    path is ``?``.
+    path is ``?``.  Both walks are one step, so segments don't cross between the JVM and Python.
     """
-    trie = docs.sparkSession.sparkContext.broadcast(Trie((r["path"], r["tags"]) for r in rows_of(paths)))
-
-    def surface_class(s: str) -> str:
-        if s.startswith("{") and s.endswith("}"):
-            return "en"
-        if all(c.isdigit() or c in ".,/-" for c in s) and any(c.isdigit() for c in s):
-            return "count"
-        return "?" if any(c.isalnum() for c in s) else "pan"
-
-    def tokens(row) -> list[dict]:
-        surface, ids = [p["surface"] for p in row], [p["id"] for p in row]
-        out, k = [], 0
-        while k < len(row):
-            if surface[k] == FULL_STOP:
-                end, tags = k + 1, ["eos"]
-            elif ids[k] is None:
-                end, tags = k + 1, [surface_class(surface[k])]
-            else:
-                end, tags = trie.value.longest(ids, k)
-            out.append({"syllables": surface[k:end], "ids": [x or "" for x in ids[k:end]], "tags": list(tags or ["?"])})
-            k = end
-        return out
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(tokens, na_action="ignore")
-
-    return docs.withColumn("tokens", F.pandas_udf(run, TOKENS)(F.col(pieces)))
+    first = _shared(docs, ((r["syllable"], r["id"]) for r in rows_of(syllables)))
+    second = _shared(docs, ((r["path"], r["tags"]) for r in rows_of(paths)))
+
+    def run(texts: pa.Array) -> pa.Array:
+        surface, ids, tags = [], [], []
+        cuts, rows, tag_cuts = [0], [0], [0]
+        for t in texts.to_pylist():
+            if t is not None:
+                pieces, found = _pieces(t, first.value)
+                for end, names in _tokens(pieces, found, second.value):
+                    cuts.append(len(surface) + end)
+                    tags += names
+                    tag_cuts.append(len(tags))
+                surface += pieces
+                ids += found
+            rows.append(len(cuts) - 1)
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.string()))
+        token = pa.StructArray.from_arrays([lists(cuts, surface), lists(cuts, [x or "" for x in ids]), lists(tag_cuts, tags)], ["syllables", "ids", "tags"])
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), token, mask=texts.is_null())
+
+    return docs.withColumn("tokens", F.arrow_udf(run, TOKENS)(F.col(text)))
 
 
 def resolve(tokens):
@@ -124,13 +148,12 @@ def pipeline(docs: DataFrame, syllables: DataFrame, paths: DataFrame, signature:
     """Text to segments (``public``, ``scraper``), to resolved tokens (``site``, ``proofreading``) or both with all views (``debugger``)."""
     if signature not in ("public", "scraper", "site", "proofreading", "debugger"):
         raise ValueError(f"unknown signature {signature!r}")
-    out = segment(docs, syllables)
     if signature in ("public", "scraper"):
-        return out.withColumn("line", F.array_join(F.col("pieces.surface"), "  ")).drop("pieces")
-    out = tag(out, paths).withColumn("resolved", resolve(F.col("tokens")))
+        return segment(docs, syllables).withColumn("line", F.array_join(F.col("pieces.surface"), "  ")).drop("pieces")
+    out = tag(docs, syllables, paths).withColumn("resolved", resolve(F.col("tokens")))
     if signature == "debugger":
         return out.withColumn("ids", F.flatten("tokens.ids")).withColumn("merged", F.transform("tokens", lambda t: F.array_join(t["ids"], "")))
-    return out.drop("pieces", "tokens")
+    return out.drop("tokens")
 
 
 def fold_units(pieces: list[str]) -> Iterator[list[str]]:
