@@ -95,8 +95,9 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 def by_file(files_: DataFrame, read, schema: str) -> DataFrame:
     """Rows of ``read(content)`` for each file, with its path; an unreadable file gives none."""
 
+    names = files_.sparkSession.createDataFrame([], schema).columns
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in schema.split(",")]
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:

@@ -192,3 +192,40 @@ def test_shapes():
     assert shapes.shape_distance(mask, mask, 1, 1) == 0
     a, b = shapes.resample(square, 32), shapes.resample(square * [1, 2], 32)
     assert shapes.nearest(a, [b, a], 0.5, 0.01) == 1 and shapes.nearest(a, [a, a], 0.5, 0.01) is None
+
+
+def test_mends_and_suggestions():
+    assert repair.faults("ကိ") == 0 and repair.faults("ိက") == 1
+    assert repair.cluster_spans("ကိ မ") == [(0, 2), (3, 4)]
+    assert repair.mend("ဲာ", set()) is None
+    assert repair.mend_text("ကာ ကို", {"ကာ"}) == "ကာ ကို"
+    assert repair.without_one_i("ကို") == ["ကု"]
+    assert "ကိ" in repair.insertions("က")
+    assert repair.suggest("အက", {"ကအ"}) == ["ကအ"]
+    assert repair.fragment_class("b", ["a"], {"ab"}) == "unit" and repair.fragment_class("zz", [], set()) == "loan"
+    assert repair.better_reading({"score": 0.5, "marks": 80, "faults": 9}, {"score": 0.9, "marks": 80, "faults": 1})
+
+
+def test_pdf_pages(spark, tmp_path):
+    import zlib
+
+    from corpusmill.sources import files, pdf
+
+    content = zlib.compress(b"BT /F1 12 Tf 10 700 Td (Hello) Tj ( world) Tj 0 -20 Td [<0102> -300 <03>] TJ ET")
+    cmap = b"beginbfchar <01> <0041> endbfchar beginbfrange <02> <03> <1000> endbfrange"
+    parts = [
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj",
+        b"2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj",
+        b"3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F2 5 0 R >> >> >> endobj",
+        b"4 0 obj << /Filter /FlateDecode >> stream\n" + content + b"\nendstream endobj",
+        b"5 0 obj << /Type /Font /ToUnicode 6 0 R >> endobj",
+        b"6 0 obj << >> stream\n" + cmap + b"\nendstream endobj",
+        b"7 0 obj << /Title (A \\(b\\)) /Author <FEFF1000> >> endobj",
+    ]
+    raw = b"%PDF-1.4\n" + b"\n".join(parts)
+    (tmp_path / "a.pdf").write_bytes(raw)
+    got = files.by_file(files.files(spark, str(tmp_path / "a.pdf")), pdf.pages, pdf.PAGES).collect()
+    assert len(got) == 1 and got[0].text.split("\n")[0] == "Hello world" and got[0].lines[0].size == 12
+    assert pdf.Pdf(raw).info() == {"Title": "A (b)", "Author": "က"}
+    assert pdf.character_map(cmap) == {1: "A", 2: "က", 3: "ခ"}
+    assert pdf.shown(b"\x01\x02\x03", pdf.character_map(cmap)) == "Aကခ"
