@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import bytesets
 
-BITS = 20
-SAMPLE = 15_000
+BITS = 32
+SAMPLE = 8_000
 FEATURES = 512
 GRADES = 4
 STEPS = (0, 1, 3)
@@ -54,14 +54,15 @@ class Model:
     """Weights by bucket and ordered thresholds; without toxic labels nothing is toxic."""
 
     def __init__(self, rows: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray):
-        n, size = len(rows), 1 << BITS
+        n = len(rows)
         self.chosen, self.weights = np.zeros(0, np.int64), np.zeros(0)
         self.thresholds = np.full(GRADES - 1, 30.0)
         bad, good = int(toxic.sum()), int(n - toxic.sum())
         if not bad or not good:
             return
         row = np.repeat(np.arange(n), [len(r) for r in rows])
-        col = np.concatenate(rows).astype(np.int64)
+        names, col = np.unique(np.concatenate(rows), return_inverse=True)
+        size = len(names)
         count = np.concatenate(counts).astype(np.int64)
         with_bad, with_good = np.bincount(col[toxic[row]], minlength=size), np.bincount(col[~toxic[row]], minlength=size)
         p, q = (with_bad + 0.5) / (bad + 1), (with_good + 0.5) / (good + 1)
@@ -74,19 +75,19 @@ class Model:
         seen = int((with_bad + with_good >= 5).sum())
         least = np.sqrt(2 * np.log(max(seen, 2))) + 0.5
         order = np.lexsort((np.arange(size), -np.abs(z)))[:FEATURES]
-        self.chosen = np.sort(order[np.abs(z[order]) > least])
+        chosen = np.sort(order[np.abs(z[order]) > least])
         telling = np.zeros(size, bool)
-        telling[self.chosen[(z[self.chosen] > 0) & (p[self.chosen] > 4 * q[self.chosen])]] = True
+        telling[chosen[(z[chosen] > 0) & (p[chosen] > 4 * q[chosen])]] = True
         hits = np.bincount(row, count * telling[col], n)
         grade = np.where(toxic, 1 + (hits[:, None] > np.array(STEPS[1:])).sum(1), 0)
-        self._fit(row, col, grade)
+        place = np.full(size, -1)
+        place[chosen] = np.arange(len(chosen))
+        kept = place[col] >= 0
+        self.chosen = names[chosen].astype(np.int64)
+        self._fit(row[kept], place[col[kept]], grade)
 
-    def _fit(self, row: np.ndarray, col: np.ndarray, grade: np.ndarray, rounds: int = 400) -> None:
+    def _fit(self, row: np.ndarray, at: np.ndarray, grade: np.ndarray, rounds: int = 400) -> None:
         n, m = len(grade), len(self.chosen)
-        at = np.searchsorted(self.chosen, col)
-        ok = at < m
-        ok[ok] = self.chosen[at[ok]] == col[ok]
-        row, at = row[ok], at[ok]
         above = grade[:, None] > np.arange(GRADES - 1)
         share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
         start = -np.log(share / (1 - share))
@@ -120,11 +121,9 @@ class Model:
         f = np.zeros(len(t.starts))
         if len(self.chosen):
             b, row = buckets(t)
-            if not hasattr(self, "_flags"):
-                self._flags = np.zeros(1 << BITS, bool)
-                self._flags[self.chosen] = True
-            hit = self._flags[b]
-            pair = np.unique(row[hit] * (1 << BITS) + b[hit])
+            at = np.minimum(np.searchsorted(self.chosen, b), len(self.chosen) - 1)
+            hit = self.chosen[at] == b
+            pair = np.unique(row[hit] << BITS | b[hit])
             f = np.bincount(pair >> BITS, self.weights[np.searchsorted(self.chosen, pair & ((1 << BITS) - 1))], len(f))
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.thresholds, -35, 35)))
 

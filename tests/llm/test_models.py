@@ -71,8 +71,11 @@ def test_mixing(spark):
 def test_targets_by_hand(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 100), ("c", 50), (None, 40)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sized).collect()}
-    # weights 5, 2, 1, 5 of 200: a's 76.9 is cut to 30, the rest shares 170 as 2, 1, 5, whose last is cut to 120
-    assert {k: round(v, 6) for k, v in got.items()} == {"a": 30.0, "b": round(100 / 3, 6), "c": round(50 / 3, 6), None: 120.0}
+    # weights 5, 2, 1, 5 of 200: a's 76.9 is cut to 30, the others share 170 as 2, 1, 5 and stay below their caps
+    assert got == {"a": 30.0, "b": 42.5, "c": 21.25, None: 106.25}
+    # weights 5, 2, 1 of 80: a is cut to 30, then b's 33.3 of 50 to 30, and c has the rest
+    sized = spark.createDataFrame([("a", 10), ("b", 10), ("c", 60)], "source string, size long")
+    assert {r.source: r.target for r in mixing.targets(sized).collect()} == {"a": 30.0, "b": 30.0, "c": 20.0}
 
 
 def test_repeated_windows(spark):
