@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,19 +251,24 @@ def multi_key_fallback(spark, sf):
 @C.add("containment_audit", """
 SELECT b.item_id, count(d.doc_id) AS found_in FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 40)) GROUP BY b.item_id""")
 def containment_audit(spark, sf):
-    """How many texts contain each item's opening: the items' count is checked before they are broadcast."""
+    """How many texts contain each item's opening."""
     items = load(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("needle"))
     docs = load(spark, sf, "documents").select("doc_id", "text")
     hits = contained(docs, items)
     return items.join(hits.groupBy("item_id").agg(count().alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("found_in"))
 
 
-def contained(docs: DataFrame, items: DataFrame, anchor: int = 12) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, anchor: int = 12, most: int = 20_000_000) -> DataFrame:
     """``item_id, doc_id`` of texts that contain ``needle``.
 
-    An equi-join on the hash of the needle's first ``anchor`` characters against the distinct windows
-    of that length, then ``contains``: no nested loop over all pairs.  Needles are that long or longer.
+    Needles of at most ``most`` characters together are shared as one automaton that reads each text
+    once.  Beyond that, an equi-join on the hash of the needle's first ``anchor`` characters against
+    the distinct windows of that length, then ``contains``: no nested loop over all pairs (needles are
+    that long or longer there).
     """
+    chars = items.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()[0]
+    if chars <= most:
+        return _by_automaton(docs, [(r["item_id"], r["needle"]) for r in items.select("item_id", "needle").where("needle <> ''").collect()])
     keyed = items.withColumn("_key", F.xxhash64(F.left("needle", F.lit(anchor))))
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - anchor + 1)), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(anchor))))
     wanted = keyed.select("_key").distinct()
@@ -269,6 +277,28 @@ def contained(docs: DataFrame, items: DataFrame, anchor: int = 12) -> DataFrame:
     return pairs.join(docs, "doc_id").where(F.col("text").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
 
 
+def _by_automaton(docs: DataFrame, items: list[tuple]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        auto, by_needle = ahocorasick.Automaton(), {}
+        for item, needle in shared.value:
+            by_needle.setdefault(needle, []).append(item)
+        for needle, ids in by_needle.items():
+            auto.add_word(needle, ids)
+        auto.make_automaton()
+        for batch in batches:
+            if not by_needle:
+                continue
+            rows = [(i, d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i in {i for _, ids in auto.iter(t) for i in ids}]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["item_id", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long")
+
+
 # ---- translation memory over conversations: a user turn is the source, the next turn its target
 
 _MEM = "WITH m AS (SELECT a.conv_id, a.turn, trim(regexp_replace(a.text, '\\s+', ' ', 'g')) AS norm, a.text AS source, b.text AS target FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user')"

@@ -229,3 +229,12 @@ def test_pdf_pages(spark, tmp_path):
     assert pdf.Pdf(raw).info() == {"Title": "A (b)", "Author": "က"}
     assert pdf.character_map(cmap) == {1: "A", 2: "က", 3: "ခ"}
     assert pdf.shown(b"\x01\x02\x03", pdf.character_map(cmap)) == "Aကခ"
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_containment_both_ways(spark, most):
+    from corpusmill.operators.corpus import contained
+
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "nothing of it"), (3, None), (4, "a quick brown fox runs")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "quick brown fox"), (8, "brown fox jumps"), (9, "not there at all")], "item_id long, needle string")
+    assert sorted(tuple(r) for r in contained(docs, items, most=most).collect()) == [(7, 1), (7, 4), (8, 1)]
