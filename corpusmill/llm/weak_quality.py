@@ -28,6 +28,8 @@ _STOP_ENDS = np.cumsum([len(w.encode()) for w in STOP_WORDS])
 _STOPS = np.sort(bytesets.span_hashes(_STOP_DATA, np.r_[0, _STOP_ENDS[:-1]], _STOP_ENDS))
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>{}[]\\^~=+_@")] = True
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _ALPHA = np.zeros(256, bool)
@@ -41,6 +43,13 @@ def _echo(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return same
 
 
+def _distinct(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The row of each distinct hash of a row, by 40 bits of the hash."""
+    key = row.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
+    key.sort()
+    return (key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(40)).astype(np.int64) if len(key) else row[:0]
+
+
 def measures(t: bytesets.Texts) -> dict[str, np.ndarray]:
     """Counts and ratios of each text that the labellers look at, and its words."""
     n = len(t.starts)
@@ -48,17 +57,24 @@ def measures(t: bytesets.Texts) -> dict[str, np.ndarray]:
     folded = bytesets.LOWER[t.data]
     last = e.copy()
     for _ in range(2):  # closing punctuation
-        last -= (last > s) & np.isin(t.data[np.maximum(last - 1, 0)], list(b".,;:!?"))
+        last -= (last > s) & _CLOSING[t.data[np.maximum(last - 1, 0)]]
     h = bytesets.span_hashes(folded, s, last)
     at = np.minimum(np.searchsorted(_STOPS, h), len(_STOPS) - 1)
-    total = lambda flags: np.r_[0, np.cumsum(flags)]
-    span = lambda flags: (lambda c: c[t.ends] - c[t.starts])(total(flags))
+    filled = t.ends > t.starts
+
+    def span(flags: np.ndarray) -> np.ndarray:
+        """True bytes of each text; texts lie end to end."""
+        out = np.zeros(n, np.int64)
+        if filled.any():
+            out[filled] = np.add.reduceat(flags, t.starts[filled], dtype=np.int64)
+        return out
+
     words = np.bincount(row, minlength=n)
-    pair = np.unique(np.stack([row.astype(np.uint64), h]), axis=1)[0].astype(np.int64) if len(h) else row
+    pair = _distinct(row, h)
     ls, le, lrow = bytesets.lines(t)
     lh = bytesets.span_hashes(t.data, ls, le)
     full = (le - ls) > 3
-    distinct = np.unique(np.stack([lrow[full].astype(np.uint64), lh[full]]), axis=1)[0].astype(np.int64) if full.any() else lrow[:0]
+    distinct = _distinct(lrow[full], lh[full])
     some = np.maximum(words, 1)
     return {
         "words": words,
