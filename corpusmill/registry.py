@@ -13,6 +13,7 @@ MODULES = (
     "operators.repair_queries",
     "operators.page_queries",
     "operators.matching",
+    "operators.audit",
 )
 
 
