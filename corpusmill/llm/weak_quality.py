@@ -219,10 +219,12 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """EM over the vote patterns of all documents, then the scorer from a bounded sample."""
-    counted = docs.select("text").mapInArrow(_votes_of, "pattern long").groupBy("pattern").count().orderBy("pattern").collect()
+    counted = docs.select("text").mapInArrow(_votes_of, "pattern long").groupBy("pattern").count().collect()
+    counted.sort(key=lambda r: r["pattern"])
     n = sum(r["count"] for r in counted)
     dice = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20))
-    rows = docs.where(dice).select("text").mapInArrow(_vectors, "pattern long, cols binary, vals binary").orderBy("pattern", "cols", "vals").collect()
+    rows = docs.where(dice).select("text").mapInArrow(_vectors, "pattern long, cols binary, vals binary").collect()
+    rows.sort(key=lambda r: (r["pattern"], r["cols"], r["vals"]))  # a bounded sample: in order here, not in an exchange
     return Model(np.array([r["pattern"] for r in counted], np.int64), np.array([r["count"] for r in counted]), [(r["pattern"], np.frombuffer(r["cols"], "<u4"), np.frombuffer(r["vals"], "<f4")) for r in rows])
 
 
