@@ -209,7 +209,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     dice = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = labelled.where(dice < rate).select("text", "lang").mapInArrow(_vectors, "lang string, cols binary, vals binary")
     rows: dict[str, list] = {x: [] for x in counts}
-    for r in sample.orderBy("lang", "cols", "vals").collect():
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["cols"], r["vals"])):  # a bounded sample
         rows[r["lang"]].append((np.frombuffer(r["cols"], "<u4"), np.frombuffer(r["vals"], "<f4")))
     return Model([x for x in counts if rows[x]], rows)
 
