@@ -66,7 +66,8 @@ def _settle(parts: list[tuple[np.ndarray, ...]], width: int, min_docs: int) -> p
     many = docs[group] >= min_docs
     settled = many & (doc != doc[start][group])
     kind = np.where(settled, SETTLED, np.where(many, MANY, ONE)).astype(np.int32)
-    key = np.where(settled, bytesets.mix(tag.view(np.uint64)), h1)
+    # settled lines pass by any range: by document, so that copies of one text spread
+    key = np.where(settled, bytesets.mix(doc.view(np.uint64)), h1)
     pid = ((key >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(pid), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int32)), pa.array(kind)], _NAMES)
 
