@@ -44,7 +44,7 @@ GROUP = 20_000
 SEGMENT = 1 << 19
 RUN_ENTRIES = 400_000
 RUN_SUFFIXES = 40_000
-SAMPLE_ONE_IN = 64
+SAMPLE_ONE_IN = 8
 SAMPLES_PER_RANGE = 64
 NO_ID = -(2**63)
 NOBODY = -(2**63) + 1
@@ -352,7 +352,7 @@ def solve(group: list[Suffix], shared: list[int], length: int = LENGTH) -> None:
 # ---- the exchange
 
 
-def _sorted_runs(splitters: list[bytes], length: int):
+def _sorted_runs(splitters: list[bytes], width: int, length: int):
     """Rows ``doc, tag, text, lists`` to front-coded runs ``pid, kind, doc, run`` and settled windows."""
     cuts = np.array(splitters, f"S{CORE}") if splitters else np.zeros(0, f"S{CORE}")
 
@@ -374,7 +374,7 @@ def _sorted_runs(splitters: list[bytes], length: int):
             runs.setdefault(pids[i], []).append(lead)
             i = j
         rows = [(pid, RUN, 0, front_code(run)) for pid, run in runs.items()]
-        return rows + _window_rows(found, len(cuts) + 1)
+        return rows + _window_rows(found, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Suffix] = []
@@ -407,7 +407,7 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 def _window_rows(found: dict[tuple[int, int], list], width: int) -> list[tuple[int, int, int, bytes]]:
     """Ranges of repeated windows by document: the tag, then first and last window of each."""
-    return [(hash(doc) % width, WINDOWS, doc, np.array([tag, *(x for r in sorted(ranges) for x in r)], "<i8").tobytes()) for (doc, tag), ranges in found.items()]
+    return [(doc % width, WINDOWS, doc, np.array([tag, *(x for r in sorted(ranges) for x in r)], "<i8").tobytes()) for (doc, tag), ranges in found.items()]
 
 
 def _merge(width: int, length: int, limit: int):
@@ -547,7 +547,7 @@ def repeated_spans(docs: DataFrame, make, schema: str, length: int = LENGTH, lim
     texts = docs.select(doc, F.xxhash64(text).alias("tag"), text.alias("text"), "doc_id")
     per_doc = lists.where(F.col("kind") == LIST).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("blob").alias("lists"))
     both = texts.join(per_doc.hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("doc", "tag", "text", "lists")
-    runs = both.mapInArrow(_sorted_runs(splitters, length), ROWS)
+    runs = both.mapInArrow(_sorted_runs(splitters, n, length), ROWS)
     merged = runs.repartitionById(n, F.col("pid")).mapInArrow(_merge(n, length, limit), ROWS)
     counted = merged.repartitionById(n, F.col("pid")).mapInArrow(_count, ROWS)
     windows = counted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("blob").alias("windows"))
