@@ -2,7 +2,8 @@
 
 1. A sketch of fixed size counts in how many documents shingles occur (an upper bound for each);
    shingles are ordered by the logarithm of that count, then by hash: rare ones first.
-2. Documents with equal sets are one class; its smallest id stands for it.
+2. Documents with equal sets are one class; its smallest id stands for it.  Copies within a task are
+   settled there: only the first goes on, whatever the size of the class.
 3. Of a set of ``n`` the first ``n - ceil(t n) + 1`` shingles are its prefix.  Two sets that link
    share a prefix shingle.  Prefix shingles are exchanged in packed runs by hash range, and those
    that a single document holds end there.
@@ -36,6 +37,7 @@ HUBS = 3
 CHUNK_OF_OWNER = 128
 BLOCK = 1024
 FILTER_BITS = 23
+LEADS = 200_000
 RUN = 400_000
 NO_ID = -(2**63)
 
@@ -82,7 +84,8 @@ def _sketch_part(words: int):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for t in bytesets.texts(batch.column(0)):
-                total += np.bincount((shingles(t, words)[1] >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+                place, n = np.unique((shingles(t, words)[1] >> U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[place] += n.astype(np.uint32)
         if total.any():
             parts = np.split(total, 64)
             yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([bytesets.pack(p) for p in parts], pa.binary())], ["part", "counts"])
@@ -117,6 +120,7 @@ def frequency_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 def _sets(shared, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
+        leads: dict[bytes, int] = {}
         for batch in batches:
             for t in bytesets.texts(batch.column(1)):
                 row, h = shingles(t, words)
@@ -130,8 +134,15 @@ def _sets(shared, words: int, percent: int):
                 f1, f2 = ((c[begin[1:]] - c[begin[:-1]]).view(np.int64) for c in sums)
                 keep = n - (percent * n + 99) // 100 + (n > 0)
                 prefix = [token[b : b + p].tobytes() for b, p in zip(begin.tolist(), keep.tolist(), strict=False)]
+                # a set that this task has seen is a copy of the first document that had it
+                ids = batch.column(0).to_numpy()[t.rows]
+                lead = np.array([leads.setdefault(x, d) if m else d for x, d, m in zip((a.tobytes() + b.tobytes() for a, b in zip(f1, f2, strict=True)), ids.tolist(), n.tolist(), strict=True)], np.int64)
+                copy = lead != ids
+                if len(leads) > LEADS:
+                    leads.clear()
+                prefix = [b"" if c else x for c, x in zip(copy.tolist(), prefix, strict=True)]
                 last = np.r_[token, U64(0)][np.where(n > 0, begin[:-1] + keep - 1, len(token))].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(t.rows[0]), k), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(last), pa.array(prefix, pa.binary())], ["doc", "n", "f1", "f2", "last", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(t.rows[0]), k), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(last), pa.array(lead), pa.array(prefix, pa.binary())], ["doc", "n", "f1", "f2", "last", "lead", "prefix"])
 
     return run
 
@@ -370,12 +381,13 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     n = scratch.width(spark)
     shared = spark.sparkContext.broadcast(frequency_levels(docs, words))
     own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    sets = scratch.save(own.mapInArrow(_sets(shared, words, percent), "doc long, n long, f1 long, f2 long, last long, prefix binary"), "ngram-sets")
-    some = sets.where("n > 0")
+    sets = scratch.save(own.mapInArrow(_sets(shared, words, percent), "doc long, n long, f1 long, f2 long, last long, lead long, prefix binary"), "ngram-sets")
+    some = sets.where("n > 0 and doc = lead")
     classes = some.groupBy("f1", "f2", "n").agg(F.min("doc").alias("first"), F.min_by("last", "doc").alias("last"))
     classes = scratch.save(classes, "ngram-classes")
     copies = some.select("doc", "f1", "f2", "n").join(classes.select("f1", "f2", "n", "first"), ["f1", "f2", "n"]).where("doc <> first")
-    copies = scratch.save(copies.select(F.col("doc").alias("a"), F.col("first").alias("b")), "ngram-copies")
+    copies = copies.select(F.col("doc").alias("a"), F.col("first").alias("b")).union(sets.where("doc <> lead").select("doc", "lead"))
+    copies = scratch.save(copies, "ngram-copies")
     leads = some.groupBy("f1", "f2", "n").agg(F.min("doc").alias("first"), F.min_by("prefix", "doc").alias("prefix"))
     runs = leads.select(F.col("first"), F.col("n").cast("int"), "prefix").mapInArrow(_runs(n), "pid int, run binary")
     shared_by = scratch.save(runs.repartitionById(n, F.col("pid")).mapInArrow(_shared, "token long, doc long, n int, pos int"), "ngram-shared")
