@@ -14,6 +14,7 @@ MODULES = (
     "operators.page_queries",
     "operators.matching",
     "operators.audit",
+    "operators.grammar",
 )
 
 

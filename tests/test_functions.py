@@ -238,3 +238,17 @@ def test_containment_both_ways(spark, most):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "nothing of it"), (3, None), (4, "a quick brown fox runs")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "quick brown fox"), (8, "brown fox jumps"), (9, "not there at all")], "item_id long, needle string")
     assert sorted(tuple(r) for r in contained(docs, items, most=most).collect()) == [(7, 1), (7, 4), (8, 1)]
+
+
+def test_grammar_rules(spark):
+    from corpusmill.operators import grammar
+
+    rows = [("s", 0, "သူ", ["pn"]), ("s", 1, "စာအုပ်", ["n"]), ("s", 2, "များ", []), ("s", 3, "ဖတ်", ["v"]), ("s", 4, "မည်", [])]
+    tokens = spark.createDataFrame(rows, "sentence string, k int, text string, tags array<string>")
+    hits = {r.k: {h.id for h in r.hits} for r in grammar.classify(tokens).collect()}
+    assert hits[0] == {"pronoun-11c"} and hits[4] == {"tense-24c"} and "verb-16" in hits[3]
+    assert {"noun-7b", "noun-15", "number-19b", "gender-17c"} <= hits[1] and "number-19a" not in hits[1]
+    best = {r.k: r.module for r in grammar.resolve(grammar.classify(tokens)).collect()}
+    assert best[3] == "verb" and best[4] == "tense"
+    s = grammar.sentence_types(tokens.union(spark.createDataFrame([("q", 0, "လား", [])], tokens.schema))).collect()
+    assert {r.sentence: (r.meaning, r.construction) for r in s} == {"s": ("statement", "simple"), "q": ("question", "simple")}
