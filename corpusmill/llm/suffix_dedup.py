@@ -544,14 +544,14 @@ def repeated_spans(docs: DataFrame, make, schema: str, length: int = LENGTH, lim
     found = sorted(bytes(r["blob"]) for r in sample)
     splitters = sorted({found[len(found) * k // n] for k in range(1, n)}) if found else []
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select(doc, F.xxhash64(text).alias("tag"), text.alias("text"), "doc_id")
+    texts = docs.select(doc, F.xxhash64(text).alias("tag"), text.alias("text"))  # the same columns in both joins, so that one exchange serves them
     per_doc = lists.where(F.col("kind") == LIST).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("blob").alias("lists"))
     both = texts.join(per_doc.hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("doc", "tag", "text", "lists")
     runs = both.mapInArrow(_sorted_runs(splitters, n, length), ROWS)
     merged = runs.repartitionById(n, F.col("pid")).mapInArrow(_merge(n, length, limit), ROWS)
     counted = merged.repartitionById(n, F.col("pid")).mapInArrow(_count, ROWS)
     windows = counted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("blob").alias("windows"))
-    rows = texts.join(windows.hint("shuffle_hash"), F.col("doc") == F.col("_doc"), "left").select("doc_id", "tag", "text", "windows")
+    rows = texts.join(windows.hint("shuffle_hash"), F.col("doc") == F.col("_doc"), "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "tag", "text", "windows")
 
     def apply(batches):
         for batch in batches:
