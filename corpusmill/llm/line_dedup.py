@@ -199,7 +199,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
     """
 
     def cut(batches):
-        for batch in batches:
+        for batch in bytesets.slices(batches):
             at = batch.schema.get_field_index("text")
             maps = batch.column(batch.schema.get_field_index("__mill_keep"))
             if maps.null_count < len(maps):
@@ -217,7 +217,7 @@ def digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     """``doc_id, n_lines, n_dropped, kept_sha256`` of each document, from its bitmap and text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bytesets.slices(batches):
             rows = [kept_text((t or "").encode(), m) for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 

@@ -378,7 +378,7 @@ def _sorted_runs(splitters: list[bytes], width: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Suffix] = []
-        for batch in slices(batches):
+        for batch in bytesets.slices(batches):
             for doc, tag, text, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text.encode()
                 for blob in lists:
@@ -514,13 +514,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(_window_rows(found, 1))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small parts of batches: few texts are Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _spans(blobs: list[bytes] | None, tag: int, length: int) -> list[tuple[int, int]]:
     """Maximal covered byte ranges of the row with this tag."""
     ranges = []
@@ -561,7 +554,7 @@ def repeated_spans(docs: DataFrame, make, schema: str, length: int = LENGTH, lim
     rows = texts.join(windows.hint("shuffle_hash"), F.col("doc") == F.col("_doc"), "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "tag", "text", "windows")
 
     def apply(batches):
-        for batch in slices(batches):
+        for batch in bytesets.slices(batches):
             spans = [_spans(w, g, length) for g, w in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield make(batch.column(0), batch.column(2), spans)
 
