@@ -315,7 +315,8 @@ def anchored_rate_limit(spark, sf):
     return out.select("user_id", F.size("o").cast("bigint").alias("hits"), F.size(F.filter("o", lambda x: ~x["ok"])).cast("bigint").alias("refused"))
 
 
-@C.add("failure_latch")
+@C.add("failure_latch", """
+SELECT event_id, sum(bad) OVER (PARTITION BY user_id, run ORDER BY event_id) >= 3 AS latched FROM (SELECT user_id, event_id, CAST(event_type = 'error' AS INT) AS bad, sum(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events)""")
 def failure_latch(spark, sf):
     """Latches at three failures in a row since the last success, clears on success; per key in order."""
     e = events(spark, sf).select("user_id", "event_id", (F.col("event_type") == "error").cast("int").alias("bad"), (F.col("event_type") == "purchase").cast("int").alias("good"))

@@ -21,7 +21,7 @@ def _texts(spark, sf) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", script.as_myanmar(F.coalesce("text", F.lit(""))).alias("t"))
 
 
-_GLUE_SQL = "translate(nfc_normalize(t), '" + repair.GLUE.replace("#", "#") + "', '')"
+_GLUE_SQL = f"translate(nfc_normalize(t), '{repair.GLUE}', '')"
 
 
 @C.add("normalized_text", f"SELECT doc_id, md5({_GLUE_SQL}) AS digest FROM (SELECT doc_id, {_MM} AS t FROM documents)")
@@ -225,7 +225,9 @@ def connected(keyed: DataFrame, rounds: int = 50) -> DataFrame:
 @C.add("guarded_upsert")
 def guarded_upsert_rows(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.lit("").alias("author"), F.concat("source", F.lit("-"), F.col("doc_id") % 40).alias("book"), "text", F.lit("").alias("segmented"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise("").alias("sha256"))
-    out = guarded_upsert(d.where("seq % 2 = 0").limit(0).unionByName(d.where("seq % 2 = 0").dropDuplicates(["book"])), d.where("seq % 2 = 1"))
+    even = d.where("seq % 2 = 0")
+    first = even.groupBy("book").agg(F.min(F.struct("seq", "author", "text", "segmented", "sha256")).alias("r")).select("r.seq", "r.author", "book", "r.text", "r.segmented", "r.sha256")
+    out = guarded_upsert(first, d.where("seq % 2 = 1").unionByName(even.join(first, "seq", "left_anti")))
     return out.agg(F.count(F.lit(1)).alias("rows"), F.sum("added").alias("added"), F.sum("replaced").alias("replaced"), F.sum("denied").alias("denied"))
 
 
