@@ -221,3 +221,54 @@ def chinese_numerals(spark, sf):
     d = lambda c: F.substring(F.lit(digits), c + 1, F.lit(1))
     shown = F.when(tens == 0, d(ones)).otherwise(F.concat(F.when(tens > 1, d(tens)).otherwise(""), F.lit("十"), F.when(ones > 0, d(ones)).otherwise("")))
     return load(spark, sf, "nation").select("n_nationkey", script.chinese_numeral(shown).cast("bigint").alias("value"))
+
+
+@C.add("queue_view", """
+SELECT l_orderkey, count(*) AS legs, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS done, min(CASE WHEN l_linestatus <> 'F' THEN l_linenumber END) AS next_leg,
+  CASE WHEN count_if(l_linestatus = 'F') = 0 THEN 'waiting' WHEN count_if(l_linestatus <> 'F') = 0 THEN 'complete' ELSE 'partial' END AS view FROM lineitem GROUP BY l_orderkey""")
+def queue_view(spark, sf):
+    """Each job's legs: how many, how many done, which is next, and the view a client gets."""
+    done = F.col("l_linestatus") == "F"
+    g = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(count().alias("legs"), F.count_if(done).alias("done"), F.min(F.when(~done, F.col("l_linenumber"))).alias("next_leg"))
+    return g.withColumn("view", F.when(F.col("done") == 0, "waiting").when(F.col("next_leg").isNull(), "complete").otherwise("partial"))
+
+
+def is_subsequence(pattern: Column, sequence: Column) -> Column:
+    """Whether the pattern's items come in the sequence in order, with anything between."""
+    return F.aggregate(sequence, F.lit(0), lambda at, x: at + F.when(F.get(pattern, at) == x, 1).otherwise(0)) == F.size(pattern)
+
+
+@C.add("role_subsequences", """
+WITH s AS (SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS roles FROM events WHERE event_id < 1500 GROUP BY user_id)
+SELECT user_id, CASE WHEN roles = 'view>click>purchase' THEN 'exact' WHEN regexp_matches(roles, 'view(>|>.*>)click(>|>.*>)purchase') THEN 'subsequence' ELSE 'none' END AS match FROM s""")
+def role_subsequences(spark, sf):
+    e = load(spark, sf, "events").where("event_id < 1500").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    roles, pattern = F.transform("e", lambda x: x["event_type"]), F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))
+    return e.select("user_id", F.when(roles == pattern, "exact").when(is_subsequence(pattern, roles), "subsequence").otherwise("none").alias("match"))
+
+
+@C.add("retry_turns", """
+WITH f AS (SELECT event_id, user_id, CAST(value AS INT) % 7 AS r FROM events WHERE event_type = 'error')
+SELECT CASE WHEN r IN (0, 1, 2) THEN 'first' WHEN r IN (3, 4) THEN 'second' WHEN r = 5 THEN 'third' ELSE 'left' END AS turn, count(*) AS n FROM f GROUP BY turn""".replace("CAST(value AS INT)", "CAST(floor(value) AS INT)"))
+def retry_turns(spark, sf):
+    """Three passes over failed rows; a row that succeeds leaves, what is left after the last stays failed."""
+    rows = load(spark, sf, "events").where("event_type = 'error'").select("event_id", (F.floor("value") % 7).alias("r"))
+    out, passes = [], (("first", (0, 1, 2)), ("second", (3, 4)), ("third", (5,)))
+    for turn, ok in passes:
+        won = rows.where(F.col("r").isin(*ok))
+        out.append(won.select(F.lit(turn).alias("turn")))
+        rows = rows.where(~F.col("r").isin(*ok))
+    out.append(rows.select(F.lit("left").alias("turn")))
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    return every.groupBy("turn").agg(count().alias("n"))
+
+
+@C.add("token_expiry", """
+SELECT event_id, ts + INTERVAL 30 MINUTE < coalesce(nxt, TIMESTAMP '2024-02-01') AS expired FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WHERE event_type = 'signup')""")
+def token_expiry(spark, sf):
+    """A token not used again within half an hour expires."""
+    nxt = F.coalesce(F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit("2024-02-01").cast("timestamp_ntz"))
+    e = load(spark, sf, "events").where("event_type = 'signup'")
+    return e.select("event_id", (F.col("ts").cast("timestamp_ntz") + F.expr("interval 30 minutes") < nxt).alias("expired"))
