@@ -25,7 +25,7 @@ from . import bytesets
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The word pattern of byte-level BPE, with white space spelled out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-KNOWN_LIMIT = 300_000
+KNOWN_LIMIT = 150_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -160,7 +160,7 @@ def codec(path: str) -> Codec:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     c = codec(path)
     for batch in batches:
-        for t in bytesets.texts(batch.column(1), 1 << 20):
+        for t in bytesets.texts(batch.column(1)):
             rows = [t.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(t.starts.tolist(), t.ends.tolist(), strict=True)]
             yield batch.column(0).slice(int(t.rows[0]), len(rows)), c.encode_batch(rows)
 

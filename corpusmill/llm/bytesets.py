@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=U64) | U64(1)

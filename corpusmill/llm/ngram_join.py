@@ -37,8 +37,8 @@ HUBS = 3
 CHUNK_OF_OWNER = 128
 BLOCK = 1024
 FILTER_BITS = 23
-LEADS = 200_000
-RUN = 400_000
+LEADS = 30_000
+RUN = 200_000
 NO_ID = -(2**63)
 
 
