@@ -22,8 +22,8 @@ SELECT doc_id, round(CASE WHEN marks > 0 THEN 1 - greatest(orphan, disorder) ELS
   round(CASE WHEN length(t) > 0 THEN len(regexp_extract_all(t, '[က-႟]')) / length(t) ELSE 0 END, 9) AS ratio
 FROM ({script.structural_score_sql(_MM)})""")
 def structural_score(spark, sf):
-    s = _docs(spark, sf).select("doc_id", script.structural_score(script.as_myanmar(F.col("text"))).alias("s"))
-    return s.select("doc_id", *[F.round(f"s.{c}", 9).alias(c) for c in ("score", "orphan", "disorder", "duplicate", "ratio")], F.col("s.marks").cast("bigint").alias("marks"))
+    s = script.with_structural_score(_docs(spark, sf), script.as_myanmar(F.col("text")))
+    return s.select("doc_id", *[F.round(c, 9).alias(c) for c in ("score", "orphan", "disorder", "duplicate", "ratio")], "marks")
 
 
 @C.add("structural_quality_gate", f"""
@@ -31,7 +31,7 @@ SELECT lang, route, count(*) AS n FROM (
   SELECT d.lang, CASE WHEN s.marks < 50 THEN 'thin' WHEN 1 - greatest(orphan, disorder) >= 0.85 THEN 'clean' WHEN orphan > disorder THEN 'orphans' ELSE 'order' END AS route
   FROM ({script.structural_score_sql(_MM)}) s JOIN documents d USING (doc_id)) GROUP BY ALL""")
 def structural_quality_gate(spark, sf):
-    s = _docs(spark, sf).select("lang", script.structural_score(script.as_myanmar(F.col("text"))).alias("s")).select("lang", "s.*")
+    s = script.with_structural_score(_docs(spark, sf).select("lang", "text"), script.as_myanmar(F.col("text")))
     route = F.when(F.col("marks") < 50, "thin").when(F.col("score") >= 0.85, "clean").when(F.col("orphan") > F.col("disorder"), "orphans").otherwise("order")
     return s.groupBy("lang", route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
