@@ -33,8 +33,9 @@ def normalized_text(spark, sf):
 def ordered_text(spark, sf):
     """Normalised, marks in order, impossible signs gone; with the structural score before and after."""
     d = _texts(spark, sf).withColumn("fixed", repair.column(repair.order_text)("t"))
-    s = lambda c: script.structural_score(F.col(c))["disorder"]
-    return d.select("doc_id", F.md5("fixed").alias("digest"), F.round(s("t"), 9).alias("before"), F.round(s("fixed"), 9).alias("after"))
+    d = script.with_structural_score(d, F.col("t")).select("doc_id", "fixed", F.col("disorder").alias("before"))
+    d = script.with_structural_score(d, F.col("fixed"))
+    return d.select("doc_id", F.md5("fixed").alias("digest"), F.round("before", 9).alias("before"), F.round("disorder", 9).alias("after"))
 
 
 @C.add("cleaned_text")

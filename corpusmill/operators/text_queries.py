@@ -52,8 +52,9 @@ SELECT doc_id, len(regexp_extract_all(regexp_replace(t, '[{script.SCAN_BASE}][{s
   len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: regexp_full_match(w, '[{script.MARK_ORDER}္]+'))) AS stray
 FROM (SELECT doc_id, {_MM} AS t FROM documents)""")
 def scan_counts(spark, sf):
-    c = script.scan_counts(script.as_myanmar(F.col("text")))
-    return _docs(spark, sf).select("doc_id", *[c[k].alias(k) for k in ("orphan", "impossible", "virama", "stray")])
+    d = _docs(spark, sf).select("doc_id", script.as_myanmar(F.coalesce("text", F.lit(""))).alias("t"))
+    c = script.scan_counts(F.col("t"))
+    return d.select("doc_id", *[c[k].alias(k) for k in ("orphan", "impossible", "virama", "stray")])
 
 
 @C.add("scan_lookaround_counts")
