@@ -262,15 +262,17 @@ def contained(docs: DataFrame, items: DataFrame, anchor: int = 12, most: int = 2
     """``item_id, doc_id`` of texts that contain ``needle``.
 
     Needles of at most ``most`` characters together are shared as one automaton that reads each text
-    once.  Beyond that, an equi-join on the hash of the needle's first ``anchor`` characters against
-    the distinct windows of that length, then ``contains``: no nested loop over all pairs (needles are
-    that long or longer there).
+    once.  Beyond that, an equi-join on the hash of the needle's first ``anchor`` characters, or of all
+    of a shorter needle, against the distinct windows of each such length, then ``contains``: no nested
+    loop over all pairs.
     """
     chars = items.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()[0]
     if chars <= most:
         return _by_automaton(docs, [(r["item_id"], r["needle"]) for r in items.select("item_id", "needle").where("needle <> ''").collect()])
-    keyed = items.withColumn("_key", F.xxhash64(F.left("needle", F.lit(anchor))))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - anchor + 1)), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(anchor))))
+    keyed = items.where("needle <> ''").withColumn("_key", F.xxhash64(F.left("needle", F.lit(anchor))))
+    sizes = sorted(r[0] for r in keyed.select(F.least(F.length("needle"), F.lit(anchor))).distinct().collect())
+    windows_of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(n))))
+    starts = F.concat(F.array().cast("array<bigint>"), *[windows_of(n) for n in sizes])
     wanted = keyed.select("_key").distinct()
     windows = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("_key")).join(wanted, "_key", "left_semi")
     pairs = windows.join(keyed.select("_key", "item_id", "needle"), "_key")

@@ -40,3 +40,12 @@ def test_fuzzy_matches_against_all_pairs(spark, monkeypatch):
         want += [(i, j, -s) for s, j in sorted(scored)[:3]]
     make = lambda c: spark.createDataFrame(rows, f"{c} long, norm string")
     assert sorted(tuple(r) for r in matching.fuzzy_matches(make("query_id"), make("entry_id")).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_short_needles_both_ways(spark, most):
+    from corpusmill.operators.corpus import contained
+
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "fox"), (3, None), (4, ""), (5, "a quick brown fox")], "doc_id long, text string")
+    items = spark.createDataFrame([(6, ""), (7, "fox"), (8, "quick brown fox"), (9, "x"), (10, "a q"), (11, "the quick br"), (12, "dog")], "item_id long, needle string")
+    assert sorted(tuple(r) for r in contained(docs, items, most=most).collect()) == [(7, 1), (7, 2), (7, 5), (8, 1), (8, 5), (9, 1), (9, 2), (9, 5), (10, 5), (11, 1)]
