@@ -86,21 +86,43 @@ def glued_numbers(spark, sf):
     return t.select("token", F.when(F.col("at_tail"), F.col("before")).otherwise(F.col("behind")).alias("word"), "n")
 
 
-@C.add("lexicon_segments")
-def lexicon_segments(spark, sf):
-    """Longest-match segments of each text against a bounded lexicon (the 20,000 most common words at most)."""
-    d = _texts(spark, sf)
-    w = d.select(F.explode(F.split("t", r"\s+")).alias("word")).where("length(word) between 2 and 12").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = [r.word for r in w.orderBy(F.desc("n"), "word").limit(20_000).collect()]
-    shared = spark.sparkContext.broadcast((set(top), max(map(len, top), default=1)))
+def segment_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``doc_id, segments, known`` of ``repair.segment_text`` on each ``t``: segments, and those of two characters or more.
+
+    ``words`` (``word``, none with whitespace) may be of any size.  Whitespace stands alone, so tokens are
+    segmented by themselves: one that is a word is one segment; the distinct others look their substrings
+    up by a join and are segmented with the words that this finds.  Ids are unique.
+    """
+    tokens = F.filter(F.split("t", r"\s+"), lambda x: x != "")
+    spaces = F.length("t") - F.length(F.regexp_replace("t", r"\s+", ""))
+    whole = docs.select("doc_id", (F.size(tokens) + spaces).alias("segments"), F.size(F.filter(tokens, lambda x: F.length(x) > 1)).alias("known"))
+    each = docs.select("doc_id", F.explode(tokens).alias("token")).where("length(token) > 1")
+    words = words.where("length(word) > 1").select("word").distinct()
+    other = each.select("token").distinct().join(words, F.col("token") == F.col("word"), "left_anti")
+    if not other.take(1):
+        return whole
+    sizes = F.array(*[F.lit(r[0]) for r in words.select(F.length("word")).distinct().collect()], F.lit(2))
+    at = other.select("token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
+    at = at.select("token", "i", F.explode(F.filter(F.array_distinct(sizes), lambda n: n <= F.length("token") - F.col("i") + 1)).alias("n"))
+    pieces = at.select("token", F.substring(F.col("token"), F.col("i"), F.col("n")).alias("word")).distinct()
+    found = pieces.join(words, "word").groupBy("token").agg(F.collect_list("word").alias("words"))
 
     @F.pandas_udf("struct<segments:int,known:int>")
-    def count(s: pd.Series) -> pd.DataFrame:
-        words, longest = shared.value
-        found = [repair.segment_text(x, words, longest) for x in s]
+    def count(token: pd.Series, words: pd.Series) -> pd.DataFrame:
+        found = [repair.segment_text(t, set(w), max(map(len, w), default=1)) for t, w in zip(token, words, strict=True)]
         return pd.DataFrame({"segments": [len(f) for f in found], "known": [sum(len(x) > 1 for x in f) for f in found]})
 
-    return d.select("doc_id", count("t").alias("c")).select("doc_id", "c.segments", "c.known")
+    cut = other.join(found, "token", "left").select("token", count("token", F.coalesce("words", F.array().cast("array<string>"))).alias("c"))
+    more = each.join(cut, "token").groupBy(F.col("doc_id").alias("_id")).agg(F.sum(F.col("c.segments") - 1).alias("s"), F.sum(F.col("c.known") - 1).alias("k"))
+    plus = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).cast("int").alias(c)
+    return whole.join(more, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", plus("segments", "s"), plus("known", "k"))
+
+
+@C.add("lexicon_segments")
+def lexicon_segments(spark, sf):
+    """Longest-match segments of each text against all words of the texts."""
+    d = _texts(spark, sf)
+    return segment_counts(d, d.select(F.explode(F.split("t", r"\s+")).alias("word")))
 
 
 def detect_script(matrix: np.ndarray, alphabet: str):

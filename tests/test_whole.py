@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from corpusmill.functions import repair
 from corpusmill.functions.sequences import ratio_of
 
 
@@ -49,3 +50,23 @@ def test_short_needles_both_ways(spark, most):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "fox"), (3, None), (4, ""), (5, "a quick brown fox")], "doc_id long, text string")
     items = spark.createDataFrame([(6, ""), (7, "fox"), (8, "quick brown fox"), (9, "x"), (10, "a q"), (11, "the quick br"), (12, "dog")], "item_id long, needle string")
     assert sorted(tuple(r) for r in contained(docs, items, most=most).collect()) == [(7, 1), (7, 2), (7, 5), (8, 1), (8, 5), (9, 1), (9, 2), (9, 5), (10, 5), (11, 1)]
+
+
+def test_lexicon_segments_use_every_word(spark):
+    from corpusmill.operators.repair_queries import segment_counts
+
+    texts = ["", "  ", *(f"w{k} extraordinarily{k}\n" for k in range(30)), *pieces(3, "abcd  \n", 60, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    for words in (["ab", "abc", "cd", "dcb", "aaaaaaaaaaaaaaaa"], ["extraordinarily", "extraordinarily2", "w1", "bb"], []):
+        got = {r.doc_id: (r.segments, r.known) for r in segment_counts(docs, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+        want = [repair.segment_text(t, set(words), max(map(len, words), default=1)) for t in texts]
+        assert got == {k: (len(f), sum(len(x) > 1 for x in f)) for k, f in enumerate(want)}
+
+
+def test_lexicon_segments_know_rare_and_long_words(spark, tmp_path):
+    from corpusmill.operators.repair_queries import lexicon_segments
+
+    words = [f"q{k}" for k in range(20_001)] + ["extraordinarily"]
+    spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = lexicon_segments(spark, str(tmp_path)).first()
+    assert (r.segments, r.known) == (2 * len(words) - 1, len(words))
