@@ -367,12 +367,12 @@ def draft_rollup(spark, sf):
 
 @C.add("similarity_ratio")
 def similarity_ratio(spark, sf):
-    """Matching-blocks ratio of each turn with the next, in Arrow batches."""
+    """Matching-blocks ratio of each whole turn with the next, in Arrow batches."""
     from ..functions.sequences import ratio
 
     c = load(spark, sf, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ratio(F.left("text", F.lit(400)), F.left("other", F.lit(400))), 9).alias("ratio"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ratio(F.col("text"), F.col("other")), 9).alias("ratio"))
 
 
 # ---- unknown words against a lexicon

@@ -70,3 +70,12 @@ def test_lexicon_segments_know_rare_and_long_words(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     r = lexicon_segments(spark, str(tmp_path)).first()
     assert (r.segments, r.known) == (2 * len(words) - 1, len(words))
+
+
+def test_similarity_ratio_of_whole_turns(spark, tmp_path):
+    from corpusmill.operators.corpus import similarity_ratio
+
+    texts = ["same opening " * 40 + "x" * 300, "same opening " * 40 + "y" * 300, "z" * 450 + "an ending " * 30, "w" * 450 + "an ending " * 30]
+    spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.ratio for r in similarity_ratio(spark, str(tmp_path)).collect()}
+    assert got == {k: round(SequenceMatcher(None, texts[k], texts[k + 1], autojunk=False).ratio(), 9) for k in range(3)}
