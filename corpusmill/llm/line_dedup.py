@@ -60,7 +60,7 @@ def _groups(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
 def _settle(parts: list[tuple[np.ndarray, ...]], width: int, min_docs: int) -> pa.RecordBatch:
     """What goes on from one task's entries ``(h1, h2, doc, tag, pos)``."""
     h1, h2, doc, tag, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((pos, -doc, h2, h1))
+    order = np.lexsort((pos, ~doc, h2, h1))  # ~, as - overflows for NO_ID
     h1, h2, doc, tag, pos = h1[order], h2[order], doc[order], tag[order], pos[order]
     group, start, docs = _groups(h1, h2, doc)
     many = docs[group] >= min_docs

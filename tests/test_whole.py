@@ -79,3 +79,13 @@ def test_similarity_ratio_of_whole_turns(spark, tmp_path):
     spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.ratio for r in similarity_ratio(spark, str(tmp_path)).collect()}
     assert got == {k: round(SequenceMatcher(None, texts[k], texts[k + 1], autojunk=False).ratio(), 9) for k in range(3)}
+
+
+def test_line_dedup_null_id_is_smallest(spark):
+    from corpusmill.llm import line_dedup
+
+    from .llm import brute
+
+    line = "one line that three documents hold"
+    docs = spark.createDataFrame([(d, line, None, None, None) for d in (None, 1, 2)], brute.SCHEMA).coalesce(1)
+    assert {r.doc_id: r.n_dropped for r in line_dedup.digests(docs).collect()} == {None: 1, 1: 1, 2: 0}
