@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,27 +182,60 @@ def reachable_parts(spark, sf):
     return reachable(e, spark.createDataFrame([(1,)], "node long"), rounds=6)
 
 
+#: Words up to this length are matched by what is left of them after deletions.
+DELETED = 12
+
+
+def _subsequences(near: float, far: float):
+    """Of each word, the subsequences that one as similar and as long as one letter more or less must share.
+
+    A ratio of x needs x of the letters' half sum in common, in order; of words that begin alike, the first two too.
+    """
+
+    def of(w: str) -> list[str]:
+        found = set()
+        for m in range(max(4, len(w) - 1), min(DELETED, len(w) + 1) + 1):
+            for sort, least, fixed in (("n", near, 2), ("f", far, 0)):
+                keep = math.ceil((least - 0.006) * (len(w) + m) / 2)
+                if keep <= len(w):
+                    found.update(sort + w[:fixed] + "".join(c) for c in itertools.combinations(w[fixed:], keep - fixed))
+        return sorted(found)
+
+    return F.pandas_udf(lambda s: s.map(of), "array<string>")
+
+
 def name_variants(runs: DataFrame, names: DataFrame, near: float = 0.72, far: float = 0.86) -> DataFrame:
     """``run, name, similarity``: for each name the most similar run that isn't it and doesn't hold it.
 
     Runs and names (``run``, ``name``) of 4 characters or more whose lengths differ by one at most are
     compared if they share their first two characters (at ``near``) or any three in a row (at ``far``).
+    Short ones meet by a shared subsequence of the length that the similarity needs, which loses none.
     """
-    grams = lambda df, c: df.select(c, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))).alias("g"))
+    grams_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
+    grams = lambda df, c: df.select(c, F.explode(grams_of(c)).alias("g"))
     r, n = runs.where(F.length("run") >= 4).distinct(), names.where(F.length("name") >= 4).distinct()
-    pairs = grams(r, "run").join(grams(n, "name"), "g").select("run", "name").union(r.join(n, F.left("run", F.lit(2)) == F.left("name", F.lit(2))).select("run", "name")).distinct()
+    own = lambda df: df.withColumn("size", F.length("run"))
+    near_by = lambda df: df.withColumn("size", F.explode(F.array(*[F.length("name") + k for k in (-1, 0, 1)])))
+    start = lambda df, c: df.select(c, F.left(c, F.lit(2)).alias("g"))
+    meet = lambda make: own(make(r.where(F.length("run") >= DELETED), "run")).join(near_by(make(n.where(F.length("name") >= DELETED), "name")), ["g", "size"]).select("run", "name")
+    keys = _subsequences(near, far)
+    left = lambda df, c: df.where(F.length(c) <= DELETED).select(c, F.explode(keys(F.col(c))).alias("g"))
+    brief = left(r, "run").join(left(n, "name"), "g").select("run", "name")
+    pairs = brief.union(meet(grams)).union(meet(start)).distinct()
+    same = F.left("run", F.lit(2)) == F.left("name", F.lit(2))
     pairs = pairs.where((F.abs(F.length("run") - F.length("name")) <= 1) & ~F.col("run").contains(F.col("name")) & ~F.col("name").contains(F.col("run")))
+    pairs = pairs.where(same | F.arrays_overlap(grams_of("run"), grams_of("name")))
     scored = pairs.withColumn("similarity", F.round(sequences.ratio(F.col("run"), F.col("name")), 2))
-    least = F.when(F.left("run", F.lit(2)) == F.left("name", F.lit(2)), near).otherwise(far)
-    best = scored.where(F.col("similarity") >= least).groupBy("name").agg(F.max(F.struct("similarity", "run")).alias("b"))
+    best = scored.where(F.col("similarity") >= F.when(same, near).otherwise(far)).groupBy("name").agg(F.max(F.struct("similarity", "run")).alias("b"))
     return best.select(F.col("b.run").alias("run"), "name", F.col("b.similarity").alias("similarity"))
 
 
 @C.add("name_variants")
 def name_variant_rows(spark, sf):
-    """Misspelt forms of the 200 most common longer words among all other words."""
-    w = load(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{6,12}"), F.lit(0))).alias("run")).groupBy("run").agg(count().alias("n"))
-    names = w.orderBy(F.desc("n"), "run").limit(200).select(F.col("run").alias("name"))
+    """Misspelt forms of each word of three documents or more among all other words of four letters or more."""
+    w = load(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("run"))
+    w = w.where(F.length("run") >= 4).groupBy("run").agg(F.countDistinct("doc_id").alias("docs"))
+    names = w.where("docs >= 3").select(F.col("run").alias("name"))
     return name_variants(w.select("run"), names)
 
 

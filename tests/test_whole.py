@@ -81,6 +81,26 @@ def test_similarity_ratio_of_whole_turns(spark, tmp_path):
     assert got == {k: round(SequenceMatcher(None, texts[k], texts[k + 1], autojunk=False).ratio(), 9) for k in range(3)}
 
 
+def test_name_variants_of_every_common_word(spark, tmp_path):
+    from corpusmill.operators.audit import name_variant_rows
+
+    rnd = random.Random(4)
+    names = ["".join(rnd.choices("bcdfghklmnprst", k=rnd.randint(4, 15))) for _ in range(250)]
+    rows = [(k, " ".join(names)) for k in range(3)] + [(3, " ".join(n[:-1] + "a" for n in names))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    runs = set(names) | {n[:-1] + "a" for n in names}
+    want = {}
+    for name in set(names):
+        for run in runs:
+            if abs(len(run) - len(name)) <= 1 and run not in name and name not in run:
+                same, grams = run[:2] == name[:2], {run[k : k + 3] for k in range(len(run) - 2)} & {name[k : k + 3] for k in range(len(name) - 2)}
+                score = round(SequenceMatcher(None, run, name, autojunk=False).ratio(), 2)
+                if (same or grams) and score >= (0.72 if same else 0.86):
+                    want[name] = max(want.get(name, (0, "")), (score, run))
+    assert {r.name: (r.similarity, r.run) for r in name_variant_rows(spark, str(tmp_path)).collect()} == want
+    assert len(want) > 200
+
+
 def test_line_dedup_null_id_is_smallest(spark):
     from corpusmill.llm import line_dedup
 
