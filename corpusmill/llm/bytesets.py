@@ -1,7 +1,9 @@
 """Vectorised text scanning over Arrow batches: bytes, words, lines and their hashes.
 
-All hashes are functions of the bytes alone (64 bits, from a table of 256 random words and a
-polynomial in wrapping arithmetic), so equal strings agree on every machine and in every run.
+All hashes are functions of the bytes alone, so equal strings agree on every machine and in every
+run.  Short strings (words, mostly) get 64 bits from a table of 256 random words and a polynomial in
+wrapping arithmetic; that is weak against long structured strings, so strings over ``SHORT`` bytes
+get xxh3.  Keys that decide alone, such as those of lines, are 128-bit digests (:func:`span_digests`).
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 19
+SHORT = 64
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=U64) | U64(1)
@@ -92,11 +96,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    out = mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit digest (xxh3) of each ``data[start:end]``."""
+    raw = data.tobytes()
+    found = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    both = np.frombuffer(found, U64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def second_table() -> np.ndarray:
-    """Another byte table: two hashes of a span from two tables make a 128-bit key."""
+    """Another byte table, for hashes that must not depend on those of words."""
     return mix(_TABLE ^ U64(0xA5A5A5A5A5A5A5A5)) | U64(1)
 
 

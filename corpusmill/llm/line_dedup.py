@@ -6,7 +6,7 @@ but the largest ``doc_id``.
 
 Each task first settles what it can alone: of a key that three of its documents hold, all but the
 largest are dropped at once and a single document goes on, so a common line costs at most one
-document a task.  The rest is partitioned by ranges of the key's 128-bit hash, sorted by hash,
+document a task.  The rest is partitioned by ranges of the key's 128-bit digest, sorted by hash,
 document (largest first) and position, and streamed: the first document of a hash stays.
 """
 
@@ -34,7 +34,7 @@ _NAMES = ["pid", "h1", "h2", "doc", "tag", "pos", "kind"]
 
 
 def keyed_lines(t: bytesets.Texts, min_chars: int) -> tuple[np.ndarray, ...]:
-    """Row number, line number and two hashes of each line with a long enough key."""
+    """Row number, line number and both halves of the digest of each line with a long enough key."""
     ls, le, row = bytesets.lines(t)
     begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     pos = np.arange(len(row)) - np.repeat(begin, np.diff(np.r_[begin, len(row)]))
@@ -47,7 +47,7 @@ def keyed_lines(t: bytesets.Texts, min_chars: int) -> tuple[np.ndarray, ...]:
     long = chars[e] - chars[s] >= min_chars
     s, e, row, pos = s[long], e[long], row[long], pos[long]
     folded = bytesets.LOWER[t.data]
-    return row, pos, bytesets.span_hashes(folded, s, e), bytesets.span_hashes(folded, s, e, bytesets.second_table())
+    return row, pos, *bytesets.span_digests(folded, s, e)
 
 
 def _groups(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -95,3 +95,35 @@ def test_ngram_join_large_groups(spark):
     want = brute.components(dict(enumerate(texts)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(brute.table(spark, texts)).collect()}
     assert got == want
+
+
+def thue_morse(n, first="a", second="b"):
+    """The string and its complement: equal under any byte polynomial in wrapping 64-bit arithmetic."""
+    s = "".join((first, second)[bin(k).count("1") % 2] for k in range(n))
+    return s, s.translate(str.maketrans(first + second, second + first))
+
+
+def test_lines_with_equal_polynomials_are_not_equal(spark):
+    a, b = thue_morse(2048)
+    docs = {0: a, 1: a, 2: b, 3: "x " + a, 4: b + "\n" + a, 5: a}
+    want = brute.line_dedup(docs)
+    assert want[2][1] == 0 and want[0][1] == 1
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digests(brute.table(spark, list(docs.values()))).collect()}
+    assert got == {d: (n, k, brute.sha(t)) for d, (n, k, t) in want.items()}
+
+
+def test_long_words_with_equal_polynomials_are_not_equal(spark):
+    a, b = thue_morse(2048)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(brute.table(spark, [f"{a} w", f"{b} w", f"{a} w"])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    line = "a line that is long enough to count"
+    rows = [(None, line), (None, line), (None, line + "\nother"), (4, line), (4, line), (4, line + "\nsecond text"), (9, "Z")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], brute.SCHEMA)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_dedup.digests(docs).collect())
+    # a null id is one document, the smallest: two documents hold the line
+    assert got == sorted((d is not None, d or 0, t.count("\n") + 1, 0) for d, t in rows)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_dropped) for r in line_dedup.digests(docs.union(docs.limit(0)).unionByName(spark.createDataFrame([(5, line, "en", "s", 1)], brute.SCHEMA))).collect())
+    assert got == sorted([(False, 0, 1)] * 3 + [(True, 4, 1)] * 3 + [(True, 5, 0), (True, 9, 0)])
