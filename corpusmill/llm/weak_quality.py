@@ -84,7 +84,7 @@ def measures(t: bytesets.Texts) -> dict[str, np.ndarray]:
         "upper": span(_UPPER[t.data]) / np.maximum(span(_ALPHA[t.data]), 1),
         "alpha": span(_ALPHA[t.data]) / np.maximum(span(~bytesets.SPACE[t.data]), 1),
         "shouts": span(t.data == 33) / some,
-        "distinct": np.bincount(pair, minlength=n) / some,
+        "richness": np.log1p(np.bincount(pair, minlength=n)) / np.log1p(some),
         "again": np.bincount(row[1:][_echo(h, row)[1:]], minlength=n) / some,
         "lines": np.bincount(lrow[full], minlength=n),
         "distinct_lines": np.bincount(distinct, minlength=n),
@@ -94,7 +94,11 @@ def measures(t: bytesets.Texts) -> dict[str, np.ndarray]:
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
-    """``(texts, labellers)``: 1 good, 0 bad, 2 abstains."""
+    """``(texts, labellers)``: 1 good, 0 bad, 2 abstains.
+
+    A vocabulary grows as a power of a text's length, so its richness is the ratio of logarithms
+    of distinct and all words: one measure for texts of any length.
+    """
     some = m["words"] > 0
 
     def label(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -108,7 +112,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         label(m["upper"] <= 0.10, m["upper"] > 0.40),
         label(m["alpha"] >= 0.90, m["alpha"] < 0.75),
         label(m["shouts"] <= 0.02, m["shouts"] > 0.20),
-        label((m["distinct"] >= 0.30) | (m["words"] > 2000), (m["distinct"] < 0.15) & (m["words"] < 2000)),
+        label(m["richness"] >= 0.80, m["richness"] < 0.70),
         label(m["again"] <= 0.01, m["again"] > 0.10),
         label((repeated <= 0.1) & (m["lines"] > 1), (repeated > 0.4) & (m["lines"] > 2)),
         label((m["length"] >= 3) & (m["length"] <= 9), (m["length"] < 2) | (m["length"] > 14)),
