@@ -1,9 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 ``P(severity > k) = sigmoid(w . x - threshold_k)``: one weight vector, ordered thresholds.  ``x``
-holds the hashed lower-cased words of a text, each once.  Features are the buckets that labelled
-toxic documents use significantly more often, or less often, than clean ones; the binary labels are
-graded by how many of the telling words a toxic document repeats (mild, marked, severe).
+holds the hashed lower-cased words of a text with the logarithm of their counts, ``log2(1 + n)``, so
+a word said once weighs 1.  Features are the buckets that labelled toxic documents use significantly
+more often, or less often, than clean ones; the binary labels are graded by how often the telling
+words occur in a toxic document (mild, marked, severe), which ``x`` shows, too.
+
+A null or empty text has no words and the severity of an empty ``x``.  Rows are scored one by one,
+whatever their ids; labels without an id or a text train nothing, and of several labels of one id
+the highest counts.
 
 Training reads a bounded sample of labelled rows: at most about ``SAMPLE`` documents, those of
 lowest hash.  Expected severity is the sum of the exceedance probabilities, 0 to ``GRADES - 1``.
@@ -26,6 +31,7 @@ FEATURES = 512
 GRADES = 4
 STEPS = (0, 1, 3)
 REJECT = 0.5
+RIDGE = 0.02
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -46,10 +52,31 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = []
             for k in range(len(t.starts)):
                 cols, n = np.unique(b[cut[k] : cut[k + 1]], return_counts=True)
-                made.append((cols.astype("<u4").tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes()))
+                made.append((cols.astype("<u4").tobytes(), n.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(t.rows[0]), len(t.rows)), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.binary())], ["doc_id", "cols", "counts"])
 
 
+def gradient(w: np.ndarray, theta: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, ridge: float = RIDGE) -> tuple[float, np.ndarray]:
+    """The penalised log likelihood of the grades and its gradient by weights and thresholds.
+
+    Of ``theta`` the first is the lowest threshold, the others are logarithms of the gaps; the sparse
+    matrix has ``x`` at ``(row, at)``.
+    """
+    n, steps = len(grade), np.exp(theta[1:])
+    cuts = theta[0] + np.r_[0, np.cumsum(steps)]
+    f = np.bincount(row, x * w[at], n)
+    up = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -35, 35)))
+    both = np.concatenate([np.ones((n, 1)), up, np.zeros((n, 1))], 1)
+    i = np.arange(n)
+    high, low = both[i, grade], both[i, grade + 1]
+    p = np.maximum(high - low, 1e-12)
+    d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
+    by_cut = np.array([d_low[grade == g].sum() - d_high[grade == g + 1].sum() for g in range(len(cuts))])
+    beyond = np.cumsum(by_cut[::-1])[::-1]
+    by_weight = np.bincount(at, x * (d_high - d_low)[row], len(w)) - ridge * w
+    return float(np.log(p).sum() - ridge / 2 * (w**2).sum()), np.r_[by_weight, beyond[0], beyond[1:] * steps]
+
+
 class Model:
     """Weights by bucket and ordered thresholds; without toxic labels nothing is toxic."""
 
@@ -84,9 +111,10 @@ class Model:
         place[chosen] = np.arange(len(chosen))
         kept = place[col] >= 0
         self.chosen = names[chosen].astype(np.int64)
-        self._fit(row[kept], place[col[kept]], grade)
+        self._fit(row[kept], place[col[kept]], np.log2(1 + count[kept]), grade)
 
-    def _fit(self, row: np.ndarray, at: np.ndarray, grade: np.ndarray, rounds: int = 400) -> None:
+    def _fit(self, row: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, rounds: int = 400) -> None:
+        """Maximise the likelihood of the grades by accelerated ascent."""
         n, m = len(grade), len(self.chosen)
         above = grade[:, None] > np.arange(GRADES - 1)
         share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
@@ -96,20 +124,7 @@ class Model:
         w = np.zeros(m)
         moments = [np.zeros(m + GRADES - 1), np.zeros(m + GRADES - 1)]
         for k in range(1, rounds + 1):
-            cuts = theta[0] + np.r_[0, np.cumsum(np.exp(theta[1:]))]
-            f = np.bincount(row, w[at], n)
-            up = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -35, 35)))
-            both = np.concatenate([np.ones((n, 1)), up, np.zeros((n, 1))], 1)
-            i = np.arange(n)
-            high, low = both[i, grade], both[i, grade + 1]
-            p = np.maximum(high - low, 1e-9)
-            d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
-            pull = d_high - d_low
-            g_cut = np.zeros(GRADES - 1)
-            for g in range(GRADES - 1):
-                g_cut[g] = -d_high[grade == g + 1].sum() + d_low[grade == g].sum()
-            g_theta = np.r_[g_cut.sum(), [g_cut[j:].sum() * np.exp(theta[j]) for j in range(1, GRADES - 1)]]
-            grad = np.r_[np.bincount(at, pull[row], m) - 0.02 * w, g_theta] / n
+            grad = gradient(w, theta, row, at, x, grade)[1] / n
             moments = [0.9 * moments[0] + 0.1 * grad, 0.999 * moments[1] + 0.001 * grad**2]
             step = 0.1 * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.999**k)) + 1e-8)
             w, theta = w + step[:m], theta + step[m:]
@@ -123,8 +138,8 @@ class Model:
             b, row = buckets(t)
             at = np.minimum(np.searchsorted(self.chosen, b), len(self.chosen) - 1)
             hit = self.chosen[at] == b
-            pair = np.unique(row[hit] << BITS | b[hit])
-            f = np.bincount(pair >> BITS, self.weights[np.searchsorted(self.chosen, pair & ((1 << BITS) - 1))], len(f))
+            pair, n = np.unique(row[hit] << BITS | b[hit], return_counts=True)
+            f = np.bincount(pair >> BITS, np.log2(1 + n) * self.weights[np.searchsorted(self.chosen, pair & ((1 << BITS) - 1))], len(f))
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.thresholds, -35, 35)))
 
 
@@ -140,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = marked.where(dice(F.col("_id")))
     vectors = docs.where(dice(F.col("doc_id"))).select("doc_id", "text").mapInArrow(_vectors, "doc_id long, cols binary, counts binary")
     rows = vectors.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "cols", "counts", "toxic").orderBy("doc_id", "cols", "counts").toPandas()
-    return Model([np.frombuffer(x, "<u4") for x in rows["cols"]], [np.frombuffer(x, np.uint8) for x in rows["counts"]], rows["toxic"].to_numpy() > 0)
+    return Model([np.frombuffer(x, "<u4") for x in rows["cols"]], [np.frombuffer(x, "<u4") for x in rows["counts"]], rows["toxic"].to_numpy() > 0)
 
 
 def _scored(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:
