@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import bytesets
@@ -140,13 +141,13 @@ def encode_text(raw: bytes) -> bytes:
     return wav(MULAW, RATE, 8, raw + b"\0" * (BLOCK - len(raw) % BLOCK if len(raw) % BLOCK or not raw else 0))
 
 
-def _features(payloads: list[bytes]) -> list[str]:
-    """A string of integer features of each payload, many payloads at once."""
+def _features(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """A string of integer features of each payload and its stored PCM, many at once."""
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     sizes = np.array([len(p) for p in payloads])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    mu, al = _MULAW[raw], _ALAW[raw]
-    wide = resample_double(mu, starts)
+    wide = np.frombuffer(b"".join(pcm), "<i2")
+    mu, al = wide[0::2], _ALAW[raw]  # every second sample of the PCM is one of the payload's own
     ad = decode_adpcm(raw.reshape(-1, BLOCK))
     per = ad.shape[1]
     flips = np.zeros(len(mu), np.int64)
@@ -158,41 +159,50 @@ def _features(payloads: list[bytes]) -> list[str]:
     high, low = np.maximum.reduceat(mu, starts), np.minimum.reduceat(mu, starts)
     out = []
     for k, (at, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-        pcm = zlib.crc32(wide[2 * at : 2 * (at + n)].data)
         blocks = zlib.crc32(np.ascontiguousarray(ad[at // BLOCK : (at + n) // BLOCK]).data)
-        out.append(f"mulaw:energy={energy[k]},cross={crossings[k]},max={high[k]},min={low[k]};alaw:abs={a_energy[k]};pcm16k:n={2 * n},crc={pcm:08x};adpcm:n={n // BLOCK * per},crc={blocks:08x}")
+        out.append(f"mulaw:energy={energy[k]},cross={crossings[k]},max={high[k]},min={low[k]};alaw:abs={a_energy[k]};pcm16k:n={2 * n},crc={zlib.crc32(pcm[k]):08x};adpcm:n={n // BLOCK * per},crc={blocks:08x}")
     return out
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
         for t in bytesets.texts(batch.column(1)):
-            rows, payloads = [], []
-            for a, b in zip(t.starts.tolist(), t.ends.tolist(), strict=True):
-                media = encode_text(t.data[a:b].tobytes())
-                data = parse_wav(media)[3]
-                payloads.append(data)
-                rows.append((b - a, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest()))
-            cols = [pa.array(list(c)) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids.slice(int(t.rows[0]), len(t.rows)), *cols, pa.array(_features(payloads))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            media = [encode_text(t.data[a:b].tobytes()) for a, b in zip(t.starts.tolist(), t.ends.tolist(), strict=True)]
+            ids = batch.column(0).slice(int(t.rows[0]), len(t.rows))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(t.ends - t.starts), pa.array(media, pa.binary()), pa.array([to_pcm16k(m) for m in media], pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) as media columns: ``doc_id, media`` (mu-law) and ``pcm`` (16 kHz)."""
+    """``docs`` (doc_id, text) as media columns: ``doc_id, n_bytes, media`` (mu-law) and ``pcm`` (16 kHz).
+
+    Every row is stored by itself, whatever its id; null and empty texts are 64 bytes 0.  A text's PCM
+    has four times its bytes and must fit one value, so texts end at half a GB.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary, pcm binary")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4 * bytesets.CHUNK, "right")))
+            part = batch.slice(at, to - at)
+            at = to
+            media = part.column(2).to_pylist()
+            payloads = [parse_wav(m)[3] for m in media]
+            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()) for p, m in zip(payloads, media, strict=True)]
+            feature = _features(payloads, [parse_wav(m)[3] for m in part.column(3).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(list(c)) for c in zip(*rows, strict=True)], pa.array(feature)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in bytesets.texts(batch.column(1)):
-                media = [encode_text(t.data[a:b].tobytes()) for a, b in zip(t.starts.tolist(), t.ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(t.rows[0]), len(t.rows)), pa.array(media, pa.binary()), pa.array([to_pcm16k(m) for m in media], pa.binary())], ["doc_id", "media", "pcm"])
 
-    return docs.select("doc_id", "text").mapInArrow(stored, "doc_id long, media binary, pcm binary")
+def digests(media: DataFrame) -> DataFrame:
+    """The columns of :data:`SCHEMA` from the stored columns of :func:`text_media`, read back."""
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(_digests, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.mapInArrow(_digests, SCHEMA)
+    return digests(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))

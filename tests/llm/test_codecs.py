@@ -64,7 +64,7 @@ def test_adpcm_blocks():
 
 def test_text_as_audio(spark):
     texts = [None, "", "x" * 64, "x" * 65, "é" * 400, "x" * 64]
-    rows = {r.doc_id: r for r in brute.table(spark, texts).select("doc_id", "text").mapInArrow(media._digests, media.SCHEMA).collect()}
+    rows = {r.doc_id: r for r in media.digests(media.text_media(brute.table(spark, texts))).collect()}
     for k, t in enumerate(texts):
         raw = (t or "").encode()
         pad = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
@@ -73,3 +73,29 @@ def test_text_as_audio(spark):
     assert rows[2][1:] == rows[5][1:] and rows[0][1:] == rows[1][1:]
     pcm = media.text_media(brute.table(spark, ["hello"])).first().pcm
     assert media.parse_wav(bytes(pcm))[:2] == (media.PCM, 16000) and len(media.parse_wav(bytes(pcm))[3]) == 64 * 2 * 2
+
+
+def test_laws_and_adpcm_become_pcm_of_twice_the_rate():
+    rnd = np.random.default_rng(3)
+    codes = rnd.integers(0, 256, 128, dtype=np.uint8)
+    for kind, table in ((media.MULAW, media.mulaw_table()), (media.ALAW, media.alaw_table())):
+        kind_out, rate, _, data = media.parse_wav(media.to_pcm16k(media.wav(kind, 8000, 8, codes.tobytes())))
+        want = []
+        for k, c in enumerate(codes):
+            after = codes[min(k + 1, len(codes) - 1)]
+            want += [int(table[c]), (int(table[c]) + int(table[after])) >> 1]
+        assert (kind_out, rate) == (media.PCM, 16000) and np.frombuffer(data, "<i2").tolist() == want
+    blocks = rnd.integers(0, 256, (3, 64), dtype=np.uint8)
+    plain = media.decode_adpcm(blocks).ravel()
+    file = media.wav(media.ADPCM, 8000, 4, blocks.tobytes(), 64)
+    assert np.frombuffer(media.parse_wav(media.to_pcm16k(file))[3], "<i2")[0::2].tolist() == plain.tolist()
+
+
+def test_a_text_longer_than_a_run_of_texts(spark):
+    text = "0123456789abcdé\n" * 60_000
+    raw = text.encode()
+    pad = raw + b"\0" * (-len(raw) % 64)
+    rows = media.digests(media.text_media(brute.table(spark, ["a", text, "b"]))).collect()
+    assert {r.doc_id: (r.n_bytes, r.payload_sha256) for r in rows}[1] == (len(raw), brute.sha(pad))
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in bpe.digests(brute.table(spark, ["a", text, "b"])).collect()}
+    assert got[1] == (len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids), brute.sha(text))

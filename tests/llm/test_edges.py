@@ -13,7 +13,7 @@ LABELS = "doc_id long, quality int, toxic int"
 def operators(spark, labels):
     return {
         "suffix": suffix_dedup.digests,
-        "media": lambda d: d.select("doc_id", "text").mapInArrow(media._digests, media.SCHEMA),
+        "media": lambda d: media.digests(media.text_media(d)),
         "lines": line_dedup.digests,
         "line text": line_dedup.dedup,
         "weak": lambda d: weak_quality.classify(d, weak_quality.train(d)),
