@@ -18,10 +18,17 @@ A distributed string merge sort of sampled suffixes:
    bytes to the left and ``LENGTH - o`` to the right.  Members are joined by falling common prefix,
    the smaller side into the larger, and each meets its neighbours in left order: that yields every
    pair that matters in O(n log n).  A group over ``GROUP`` different contexts is not held: its
-   windows are counted one by one by their digests in another exchange.
+   windows are counted one by one by their digests in another exchange, and the anchors of the most
+   frequent cores (at most ``HOT`` a partition) take that way from the start.
 
 Ranges split at sampled ``CORE``-byte prefixes.  Equal contexts leave a task once, however many
-copies it has, so a hot passage costs at most one entry a task and context.
+copies it has, so a hot passage costs at most one entry a task and context.  Every partition is
+``PARTS`` smaller ranges; Spark sorts it by them (spilling where it must) and a worker holds one at
+a time.
+
+Rows are told apart by id and text: a row is ``doc`` (its id, or a hash of its text where that is
+null) and ``tag`` (another hash of the text).  Rows equal in both are the same bytes at several places, so all
+their strings of ``LENGTH`` bytes are repeated, and each of the rows gets the same spans.
 """
 
 from __future__ import annotations
@@ -46,8 +53,9 @@ RUN_ENTRIES = 400_000
 RUN_SUFFIXES = 40_000
 SAMPLE_ONE_IN = 8
 SAMPLES_PER_RANGE = 64
-NO_ID = -(2**63)
-NOBODY = -(2**63) + 1
+PARTS = 16
+HOT = 4
+NOBODY = -1  # the place of an entry that stands for a core or context without being a row's own
 
 
 # ---- anchors
@@ -91,100 +99,156 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def core_hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hashes of the cores at these places only."""
+    h, step = bytesets.second_table()[data[places[:, None] + np.arange(CORE)]], 1
+    while step < CORE:
+        h = h[:, :-step] * U64(0x9FB21C651E98DF25 + 2 * step) + h[:, step:]
+        step *= 2
+    return bytesets.mix(h[:, 0])
+
+
 # ---- which cores repeat
 
-LIST, SAMPLE = 0, 1
+LIST, SAMPLE, FREQUENT = 0, 1, 2
+
+
+def _ranges(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+
+
+def _of_row(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
+    """A range for what belongs to a row, so that many rows spread over all ranges."""
+    return _ranges(bytesets.mix(doc.view(U64) ^ bytesets.mix(tag.view(U64))), parts)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
+    """Columns of the rows of one range after another, from batches sorted by ``part``."""
+    held, at = [], None
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if held and part[a] != at:
+                yield tuple([x for h in held for x in h.column(c).to_pylist()] for c in columns)
+                held = []
+            at = part[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield tuple([x for h in held for x in h.column(c).to_pylist()] for c in columns)
+
 
+def _dealt(df: DataFrame, n: int) -> DataFrame:
+    """Rows of a range together, ranges in order within partitions."""
+    return df.withColumn("pid", F.expr(f"part div {PARTS}").cast("int")).repartitionById(n, F.col("pid")).sortWithinPartitions("part").drop("pid")
 
-def _ranges(key: np.ndarray, width: int) -> np.ndarray:
-    return ((key >> U64(32)) * U64(width) >> U64(32)).astype(np.int32)
 
+ALONE, SETTLED, STANDS = 0, 1, 2
 
-def _cores(width: int, length: int):
-    """Anchors in packed runs by core hash: ``pid, run`` with hash, doc, place, offsets and sampled cores.
 
-    A core that a task holds twice is settled there: its anchors go on as a list (hash 0 stands for
-    none) and the hash itself goes once, without an anchor.
+def _cores(parts: int, length: int):
+    """Anchors in packed runs by core hash: ``part, kind, run`` with hash, row, place, offsets and sampled cores.
+
+    A core that a task holds twice is settled there: its anchors go on by row, and the hash goes
+    once, with their number.
     """
 
-    def emit(parts, kmers):
-        h, doc, at, far, near = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def emit(held, kmers):
+        h, doc, tag, at, far, near = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, at, far, near = h[order], doc[order], at[order], far[order], near[order]
+        h, doc, tag, at, far, near = (x[order] for x in (h, doc, tag, at, far, near))
         new = np.r_[True, h[1:] != h[:-1]]
         twice = ~new
         twice[:-1] |= ~new[1:]
-        known = np.where(twice, 1, 0).astype(np.uint8)
-        pid = np.where(twice, _ranges(bytesets.mix(doc.view(U64)), width), _ranges(h, width))
         lead = np.flatnonzero(new & twice)
-        cols = [np.r_[h, h[lead]], np.r_[doc, np.full(len(lead), NOBODY)], np.r_[at, at[lead]], np.r_[far, far[lead]], np.r_[near, near[lead]], np.r_[known, np.zeros(len(lead), np.uint8)]]
-        pid = np.r_[pid, _ranges(h[lead], width)]
-        order = np.lexsort((cols[0], pid))
-        pid, cols = pid[order], [c[order] for c in cols]
-        start = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
-        ends = np.r_[start[1:], len(pid)]
+        size = np.diff(np.r_[np.flatnonzero(new), len(h)])[np.searchsorted(np.flatnonzero(new), lead)]
+        none = np.zeros(len(lead), np.int64)
+        cols = [np.r_[h, h[lead]], np.r_[doc, none], np.r_[tag, none], np.r_[at, size], np.r_[far, none.astype(np.uint16)], np.r_[near, none.astype(np.uint16)]]
+        cols.append(np.r_[np.where(twice, SETTLED, ALONE), np.full(len(lead), STANDS)].astype(np.uint8))
+        part = np.r_[np.where(twice, _of_row(doc, tag, parts), _ranges(h, parts)), _ranges(h[lead], parts)]
+        order = np.lexsort((cols[0], part))
+        part, cols = part[order], [c[order] for c in cols]
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.r_[start[1:], len(part)]
         runs = [bytesets.pack(*(c[a:b] for c in cols)) for a, b in zip(start, ends, strict=True)]
-        pids = pid[start].tolist()
+        where = part[start].tolist()
         for h0, kmer in kmers.items():
             runs.append(bytesets.pack(np.array([h0], U64), np.frombuffer(kmer, np.uint8)))
-            pids.append(int(_ranges(np.array([h0], U64), width)[0]))
+            where.append(int(_ranges(np.array([h0], U64), parts)[0]))
         kinds = [LIST] * len(start) + [SAMPLE] * len(kmers)
-        return pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(kinds, pa.int32()), pa.array(runs, pa.binary())], ["pid", "kind", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kinds, pa.int32()), pa.array(runs, pa.binary())], ["part", "kind", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, kmers, held = [], {}, 0
+        held, kmers, n = [], {}, 0
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for t in bytesets.texts(batch.column(1)):
+            docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for t in bytesets.texts(batch.column(2)):
                 at, first, last, h = anchors(t.data, t.starts, t.ends, length)
                 if not len(at):
                     continue
                 row = bytesets.owner(t, at)
-                parts.append((h, docs[t.rows[row]], at - t.starts[row], (at - first).astype(np.uint16), (at - last).astype(np.uint16)))
+                mine = t.rows[row]
+                held.append((h, docs[mine], tags[mine], at - t.starts[row], (at - first).astype(np.uint16), (at - last).astype(np.uint16)))
                 for k in np.flatnonzero(h % U64(SAMPLE_ONE_IN) == 0):
                     kmers[int(h[k])] = t.data[at[k] : at[k] + CORE].tobytes()
-                held += len(at)
-                if held >= RUN_ENTRIES:
-                    yield emit(parts, kmers)
-                    parts, kmers, held = [], {}, 0
-        if held:
-            yield emit(parts, kmers)
+                n += len(at)
+                if n >= RUN_ENTRIES:
+                    yield emit(held, kmers)
+                    held, kmers, n = [], {}, 0
+        if n:
+            yield emit(held, kmers)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one hash range to the anchors whose core repeats, as ``kind, doc, blob`` rows."""
-    parts, kmers = [], {}
-    for batch in batches:
-        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if kind == LIST:
-                parts.append(bytesets.unpack(blob))
-            else:
-                h, kmer = bytesets.unpack(blob)
-                kmers[int(h[0])] = kmer.tobytes()
-    if not parts:
-        return
-    h, doc, at, far, near, known = (np.concatenate(x) for x in zip(*parts, strict=True))
-    parts.clear()
-    open_ = known == 0
-    cores, where, count = np.unique(h[open_], return_inverse=True, return_counts=True)
-    many = count > 1
-    many[where[doc[open_] == NOBODY]] = True
-    again = known == 1
-    again[np.flatnonzero(open_)] = many[where]
-    again &= doc != NOBODY
-    doc, at, far, near = doc[again], at[again], far[again], near[again]
-    if len(doc):
-        order = np.lexsort((at, doc))
-        doc, at, far, near = doc[order], at[order], far[order], near[order]
-        start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        ends = np.r_[start[1:], len(doc)]
-        blobs = [at[a:b].astype("<i8").tobytes() + far[a:b].astype("<u2").tobytes() + near[a:b].astype("<u2").tobytes() for a, b in zip(start, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([LIST] * len(start), pa.int32()), pa.array(doc[start]), pa.array(blobs, pa.binary())], ["kind", "doc", "blob"])
-    kept = [(x, kmers[int(x)]) for x in cores[many].tolist() if x in kmers]
-    if kept:
-        yield pa.RecordBatch.from_arrays([pa.array([SAMPLE] * len(kept), pa.int32()), pa.array(np.array([x for x, _ in kept], U64).view(np.int64)), pa.array([k for _, k in kept], pa.binary())], ["kind", "doc", "blob"])
+def _repeated(frequent: int):
+    """Runs of hash ranges to the anchors whose core repeats, as ``kind, doc, tag, blob`` rows.
+
+    Also the sampled cores among them, and the hash and number of each core with over ``frequent`` anchors.
+    """
+
+    def rows(kind: int, doc: np.ndarray, tag: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(doc), pa.int32()), pa.array(doc), pa.array(tag), pa.array(blobs, pa.binary())], ["kind", "doc", "tag", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds, runs in _by_part(batches, "kind", "run"):
+            lists, kmers = [], {}
+            for kind, blob in zip(kinds, runs, strict=True):
+                if kind == LIST:
+                    lists.append(bytesets.unpack(blob))
+                else:
+                    h, kmer = bytesets.unpack(blob)
+                    kmers[int(h[0])] = kmer.tobytes()
+            if not lists:
+                continue
+            h, doc, tag, at, far, near, known = (np.concatenate(x) for x in zip(*lists, strict=True))
+            lists.clear()
+            counted = known != SETTLED
+            cores, where = np.unique(h[counted], return_inverse=True)
+            number = np.bincount(where, np.where(known[counted] == STANDS, at[counted], 1), len(cores)).astype(np.int64)
+            again = known == SETTLED
+            again[np.flatnonzero(counted)] = number[where] > 1
+            again &= known != STANDS
+            doc, tag, at, far, near = doc[again], tag[again], at[again], far[again], near[again]
+            if len(doc):
+                order = np.lexsort((at, tag, doc))
+                doc, tag, at, far, near = (x[order] for x in (doc, tag, at, far, near))
+                # rows equal in id and text name each place once
+                new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1])]
+                doc, tag, at, far, near = (x[new] for x in (doc, tag, at, far, near))
+                start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+                ends = np.r_[start[1:], len(doc)]
+                yield rows(LIST, doc[start], tag[start], [at[a:b].astype("<i8").tobytes() + far[a:b].astype("<u2").tobytes() + near[a:b].astype("<u2").tobytes() for a, b in zip(start, ends, strict=True)])
+            kept = [x for x in cores[number > 1].tolist() if x in kmers]
+            if kept:
+                yield rows(SAMPLE, np.array(kept, U64).view(np.int64), np.zeros(len(kept), np.int64), [kmers[x] for x in kept])
+            often = number > frequent
+            if often.any():
+                yield rows(FREQUENT, cores[often].view(np.int64), number[often], [b""] * int(often.sum()))
+
+    return run
 
 
 # ---- sorted runs
@@ -351,16 +415,56 @@ def solve(group: list[Suffix], shared: list[int], length: int = LENGTH) -> None:
 
 # ---- the exchange
 
+RUN, WINDOWS, DIGESTS = 0, 1, 2
+ROWS = "part int, kind int, doc long, tag long, blob binary"
+
+
+def _rows(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "kind", "doc", "tag", "blob"])
+
+
+def _window_rows(found: dict[tuple[int, int], list], parts: int) -> list[tuple[int, int, int, int, bytes]]:
+    """First and last window of each repeated range, by row."""
+    if not found:
+        return []
+    keys = np.array(list(found), np.int64)
+    where = _of_row(keys[:, 0].copy(), keys[:, 1].copy(), parts).tolist()
+    return [(p, WINDOWS, doc, tag, np.array([x for r in sorted(ranges) for x in r], "<i8").tobytes()) for p, ((doc, tag), ranges) in zip(where, found.items(), strict=True)]
+
+
+def _digest_rows(group: list[Suffix], parts: int, length: int) -> list[tuple[int, int, int, int, bytes]]:
+    """The digest of every window of some contexts, in ranges of digests."""
+    digests, doc, tag, at = [], [], [], []
+    for s in group:
+        for o in range(s.near, s.far + 1):
+            digests.append(hashlib.blake2b(s.left[:o][::-1] + s.right[: length - o], digest_size=16).digest())
+            # a context that a task held twice is settled, and so is each equal to it
+            doc.append(s.doc)
+            tag.append(s.tag)
+            at.append(s.at - o if s.at >= 0 else NOBODY)
+    if not digests:
+        return []
+    key = np.frombuffer(b"".join(digests), U64).reshape(-1, 2)
+    part = _ranges(key[:, 0], parts)
+    order = np.argsort(part, kind="stable")
+    cols = [key[order, 0], key[order, 1], *(np.array(c, np.int64)[order] for c in (doc, tag, at))]
+    start = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+    ends = np.r_[start[1:], len(order)]
+    return [(int(part[order[a]]), DIGESTS, 0, 0, bytesets.pack(*(c[a:b] for c in cols))) for a, b in zip(start, ends, strict=True)]
+
 
-def _sorted_runs(splitters: list[bytes], width: int, length: int):
-    """Rows ``doc, tag, text, lists`` to front-coded runs ``pid, kind, doc, run`` and settled windows."""
+def _sorted_runs(splitters: list[bytes], hot: np.ndarray, parts: int, length: int):
+    """Rows ``doc, tag, text, lists`` to front-coded runs, settled windows, and digests at hot cores."""
     cuts = np.array(splitters, f"S{CORE}") if splitters else np.zeros(0, f"S{CORE}")
 
-    def emit(held: list[Suffix]) -> list[tuple[int, int, int, bytes]]:
+    def emit(held: list[Suffix]) -> list[tuple[int, int, int, int, bytes]]:
         held.sort(key=lambda s: (s.right, s.left))
         found: dict[tuple[int, int], list] = {}
         runs: dict[int, list[Suffix]] = {}
-        pids = np.searchsorted(cuts, np.array([s.right[:CORE] for s in held], f"S{CORE}"), "right").tolist()
+        frequent: list[Suffix] = []
+        where = np.searchsorted(cuts, np.array([s.right[:CORE] for s in held], f"S{CORE}"), "right").tolist()
         i = 0
         while i < len(held):
             j = i + 1
@@ -370,23 +474,27 @@ def _sorted_runs(splitters: list[bytes], width: int, length: int):
             if j > i + 1:
                 for s in held[i:j]:
                     found.setdefault((s.doc, s.tag), []).append((s.at - s.far, s.at - s.near))
-                lead = Suffix(lead.right, lead.left, lead.far, lead.near, NOBODY, 0, 0)
-            runs.setdefault(pids[i], []).append(lead)
+                lead = Suffix(lead.right, lead.left, lead.far, lead.near, 0, 0, NOBODY)
+                lead.found = held[i].found
+            if lead.found is HOT_CORE:
+                lead.found = None
+                frequent.append(lead)
+            else:
+                runs.setdefault(where[i], []).append(lead)
             i = j
-        rows = [(pid, RUN, 0, front_code(run)) for pid, run in runs.items()]
-        return rows + _window_rows(found, width)
+        rows = [(part, RUN, 0, 0, front_code(run)) for part, run in runs.items()]
+        return rows + _window_rows(found, parts) + _digest_rows(frequent, parts, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Suffix] = []
         for batch in bytesets.slices(batches):
             for doc, tag, text, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text.encode()
-                for blob in lists:
-                    n = len(blob) // 12
-                    at, far, near = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<u2", n, 8 * n), np.frombuffer(blob, "<u2", n, 10 * n)
-                    for p, f, m in zip(at.tolist(), far.tolist(), near.tolist(), strict=True):
-                        if p - m + length <= len(text):  # else of another row with this id
-                            held.append(Suffix(text[p : p - m + length], text[p - f : p][::-1], f, m, doc, tag, p))
+                # a place comes in two lists if it was settled in one task and not in another
+                for p, (f, m, often) in _places(lists, text, hot).items():
+                    held.append(Suffix(text[p : p - m + length], text[p - f : p][::-1], f, m, doc, tag, p))
+                    if often:
+                        held[-1].found = HOT_CORE
                 if len(held) >= RUN_SUFFIXES:
                     yield _rows(emit(held))
                     held = []
@@ -396,56 +504,45 @@ def _sorted_runs(splitters: list[bytes], width: int, length: int):
     return run
 
 
-RUN, WINDOWS, DIGESTS = 0, 1, 2
-ROWS = "pid int, kind int, doc long, blob binary"
-
-
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["pid", "kind", "doc", "blob"])
+HOT_CORE: list = []
 
 
-def _window_rows(found: dict[tuple[int, int], list], width: int) -> list[tuple[int, int, int, bytes]]:
-    """Ranges of repeated windows by document: the tag, then first and last window of each."""
-    return [(doc % width, WINDOWS, doc, np.array([tag, *(x for r in sorted(ranges) for x in r)], "<i8").tobytes()) for (doc, tag), ranges in found.items()]
+def _places(lists: list[bytes], text: bytes, hot: np.ndarray) -> dict[int, tuple[int, int, bool]]:
+    """Each anchor's place with its offsets and whether its core is a hot one."""
+    found = {}
+    for blob in lists:
+        n = len(blob) // 12
+        at, far, near = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<u2", n, 8 * n), np.frombuffer(blob, "<u2", n, 10 * n)
+        often = np.isin(core_hashes_at(np.frombuffer(text, np.uint8), at), hot).tolist() if len(hot) else [False] * n
+        found.update(zip(at.tolist(), zip(far.tolist(), near.tolist(), often, strict=True), strict=True))
+    return found
 
 
-def _merge(width: int, length: int, limit: int):
-    """The runs of one key range to repeated windows; windows of overfull groups to digests."""
+def _merge(parts: int, length: int, limit: int):
+    """The runs of key ranges to repeated windows; windows of overfull groups to digests."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
+    def passing(batches: Iterator[pa.RecordBatch], through: list) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = np.array(batch.column(1)) == RUN
-            blobs += [x for x, m in zip(batch.column(3).to_pylist(), mine, strict=True) if m]
+            mine = batch.column("kind").to_numpy() == RUN
             if not mine.all():
-                yield batch.filter(pa.array(~mine))
+                through.append(batch.filter(pa.array(~mine)))
+                batch = batch.filter(pa.array(mine))
+            yield batch
+
+    def merge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], list] = {}
         group: list[Suffix] = []
         shared: list[int] = []
         overfull = False
 
         def digest_rows() -> list:
-            digests, doc, tag, at = [], [], [], []
             for s in group:
-                for o in range(s.near, s.far + 1):
-                    digests.append(hashlib.blake2b(s.left[:o][::-1] + s.right[: length - o], digest_size=16).digest())
-                    # a context that a task held twice is settled, and so is each equal to it
-                    doc.append(s.doc)
-                    tag.append(s.tag)
-                    at.append(s.at - o)
                 if s.found:
                     settle(s)
-            key = np.frombuffer(b"".join(digests), U64).reshape(-1, 2)
-            pid = _ranges(key[:, 0], width)
-            rows = []
-            for p in np.unique(pid):
-                k = pid == p
-                rows.append((int(p), DIGESTS, 0, bytesets.pack(key[k, 0].copy(), key[k, 1].copy(), np.array(doc)[k], np.array(tag)[k], np.array(at)[k])))
-            return rows
+            return _digest_rows(group, parts, length)
 
         def settle(s: Suffix) -> None:
-            if s.doc != NOBODY:
+            if s.at >= 0:
                 found.setdefault((s.doc, s.tag), []).extend((s.at - b, s.at - a) for a, b in s.found)
 
         def close() -> list:
@@ -458,10 +555,8 @@ def _merge(width: int, length: int, limit: int):
                     settle(s)
             return []
 
-        merged = loser_tree([decode_run(b) for b in blobs])
-        blobs = []
         same_right: dict[tuple[bytes, int], Suffix] = {}
-        for k, s in merged:
+        for k, s in loser_tree([decode_run(b) for b in blobs]):
             if k < CORE:
                 if rows := close():
                     yield _rows(rows)
@@ -487,43 +582,45 @@ def _merge(width: int, length: int, limit: int):
                 same_right[last.left, last.near] = last
         if rows := close():
             yield _rows(rows)
-        if rows := _window_rows(found, width):
+        if rows := _window_rows(found, parts):
             yield _rows(rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        through: list[pa.RecordBatch] = []
+        for (blobs,) in _by_part(passing(batches, through), "blob"):
+            yield from through
+            through.clear()
+            yield from merge(blobs)
+        yield from through
+
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests that come twice to repeated windows; windows pass."""
-    parts = []
-    for batch in batches:
-        kind = np.array(batch.column(1))
-        parts += [bytesets.unpack(x) for x, k in zip(batch.column(3).to_pylist(), kind, strict=True) if k == DIGESTS]
-        if (kind == WINDOWS).any():
-            yield batch.filter(pa.array(kind == WINDOWS))
-    if parts:
-        a, b, doc, tag, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((b, a))
-        a, b, doc, tag, at = a[order], b[order], doc[order], tag[order], at[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        twice = (np.r_[False, same] | np.r_[same, False]) & (doc != NOBODY)
-        found: dict[tuple[int, int], list] = {}
-        for d, g, p in zip(doc[twice].tolist(), tag[twice].tolist(), at[twice].tolist(), strict=True):
-            found.setdefault((d, g), []).append((p, p))
-        if found:
-            yield _rows(_window_rows(found, 1))
-
-
-def _spans(blobs: list[bytes] | None, tag: int, length: int) -> list[tuple[int, int]]:
-    """Maximal covered byte ranges of the row with this tag."""
-    ranges = []
-    for blob in blobs or ():
-        x = np.frombuffer(blob, "<i8")
-        if x[0] == tag:
-            ranges.append(x[1:].reshape(-1, 2))
-    if not ranges:
+    for kinds, docs, tags, blobs in _by_part(batches, "kind", "doc", "tag", "blob"):
+        windows = [(0, WINDOWS, d, g, x) for k, d, g, x in zip(kinds, docs, tags, blobs, strict=True) if k == WINDOWS]
+        if windows:
+            yield _rows(windows)
+        lists = [bytesets.unpack(x) for k, x in zip(kinds, blobs, strict=True) if k == DIGESTS]
+        if lists:
+            a, b, doc, tag, at = (np.concatenate(x) for x in zip(*lists, strict=True))
+            order = np.lexsort((b, a))
+            a, b, doc, tag, at = (x[order] for x in (a, b, doc, tag, at))
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            twice = (np.r_[False, same] | np.r_[same, False]) & (at >= 0)
+            found: dict[tuple[int, int], list] = {}
+            for d, g, p in zip(doc[twice].tolist(), tag[twice].tolist(), at[twice].tolist(), strict=True):
+                found.setdefault((d, g), []).append((p, p))
+            if found:
+                yield _rows(_window_rows(found, 1))
+
+
+def _spans(blobs: list[bytes] | None, length: int) -> list[tuple[int, int]]:
+    """Maximal covered byte ranges of a row."""
+    if not blobs:
         return []
-    r = np.concatenate(ranges)
+    r = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
     r = r[np.argsort(r[:, 0], kind="stable")]
     end = np.maximum.accumulate(r[:, 1] + length)
     new = np.r_[True, r[1:, 0] > end[:-1]]
@@ -533,30 +630,36 @@ def _spans(blobs: list[bytes] | None, tag: int, length: int) -> list[tuple[int,
 def repeated_spans(docs: DataFrame, make, schema: str, length: int = LENGTH, limit: int = GROUP) -> DataFrame:
     """Apply ``make(ids, texts, spans)`` (Arrow columns and lists) to all rows with their repeated spans.
 
-    The texts are exchanged by id once; sorting and applying read the same exchange.
+    The texts are exchanged once, by id and text hash; sorting and applying read the same exchange.
+    A null text is empty.  Every row is a document of its own: rows that share an id, null included,
+    get the spans of their own text, and rows equal in id and text repeat each other.
     """
     spark = docs.sparkSession
     n = scratch.width(spark)
-    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
-    cores = docs.select(doc, "text").mapInArrow(_cores(n, length), "pid int, kind int, run binary")
-    lists = scratch.save(cores.repartitionById(n, F.col("pid")).mapInArrow(_repeated, "kind int, doc long, blob binary"), "suffix-anchors")
+    parts = n * PARTS
+    text = F.coalesce("text", F.lit(""))
+    doc, tag = F.coalesce("doc_id", F.xxhash64(text, F.lit("row"))).alias("doc"), F.xxhash64(text).alias("tag")
+    cores = docs.select(doc, tag, "text").mapInArrow(_cores(parts, length), "part int, kind int, run binary")
+    lists = scratch.save(_dealt(cores, n).mapInArrow(_repeated(limit), "kind int, doc long, tag long, blob binary"), "suffix-anchors")
     sample = lists.where(F.col("kind") == SAMPLE).orderBy("doc").limit(n * SAMPLES_PER_RANGE).select("blob").collect()
     found = sorted(bytes(r["blob"]) for r in sample)
-    splitters = sorted({found[len(found) * k // n] for k in range(1, n)}) if found else []
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(doc, F.xxhash64(text).alias("tag"), text.alias("text"))  # the same columns in both joins, so that one exchange serves them
-    per_doc = lists.where(F.col("kind") == LIST).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("blob").alias("lists"))
-    both = texts.join(per_doc.hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("doc", "tag", "text", "lists")
-    runs = both.mapInArrow(_sorted_runs(splitters, n, length), ROWS)
-    merged = runs.repartitionById(n, F.col("pid")).mapInArrow(_merge(n, length, limit), ROWS)
-    counted = merged.repartitionById(n, F.col("pid")).mapInArrow(_count, ROWS)
-    windows = counted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("blob").alias("windows"))
-    rows = texts.join(windows.hint("shuffle_hash"), F.col("doc") == F.col("_doc"), "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "tag", "text", "windows")
+    splitters = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
+    often = lists.where(F.col("kind") == FREQUENT).orderBy(F.desc("tag"), "doc").limit(n * HOT).select("doc").collect()
+    hot = np.array(sorted(r["doc"] for r in often), np.int64).view(U64)
+    texts = docs.select("doc_id", doc, tag, text.alias("text"))  # the same columns in both joins, so that one exchange serves them
+    own = (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))
+    row = F.col("doc").alias("_doc"), F.col("tag").alias("_tag")
+    per_row = lists.where(F.col("kind") == LIST).groupBy(*row).agg(F.collect_list("blob").alias("lists"))
+    both = texts.join(per_row.hint("shuffle_hash"), own).select("doc", "tag", "text", "lists")
+    runs = both.mapInArrow(_sorted_runs(splitters, hot, parts, length), ROWS)
+    merged = _dealt(runs, n).mapInArrow(_merge(parts, length, limit), ROWS)
+    counted = _dealt(merged, n).mapInArrow(_count, ROWS)
+    windows = counted.groupBy(*row).agg(F.collect_list("blob").alias("windows"))
+    rows = texts.join(windows.hint("shuffle_hash"), own, "left").select("doc_id", "text", "windows")
 
     def apply(batches):
         for batch in bytesets.slices(batches):
-            spans = [_spans(w, g, length) for g, w in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield make(batch.column(0), batch.column(2), spans)
+            yield make(batch.column(0), batch.column(1), [_spans(w, length) for w in batch.column(2).to_pylist()])
 
     return rows.mapInArrow(apply, schema)
 

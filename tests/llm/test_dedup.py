@@ -30,9 +30,14 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("limit", [20_000, 2])
-@pytest.mark.parametrize("length", [40, 64])
+@pytest.mark.parametrize("length", [40, 64, 200])
 def test_suffix_dedup(spark, length, limit):
     texts = corpus(length)
+    if length == 200:
+        rnd = random.Random(8)
+        noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+        passages = [noise(n) for n in (150, 199, 200, 201, 260, 900)]
+        texts += [noise(rnd.randint(0, 90)) + p + noise(rnd.randint(0, 90)) for p in passages for _ in range(4)]
     want = brute.suffix_spans([(t or "").encode() for t in texts], length)
     got = {r.doc_id: r for r in suffix_dedup.digests(brute.table(spark, texts), length, limit).collect()}
     for k, t in enumerate(texts):
@@ -42,6 +47,41 @@ def test_suffix_dedup(spark, length, limit):
         assert r.kept_sha256 == brute.sha(suffix_dedup.cut(raw, want[k]))
 
 
+def spans_of(spark, rows, length, limit=20_000):
+    """Sorted ``(id, bytes, removed, spans, sha)`` of rows ``(id, text)``, and what brute force says."""
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], brute.SCHEMA)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, length, limit).collect()]
+    raws = [(t or "").encode() for _, t in rows]
+    want = [(d, len(x), sum(b - a for a, b in s), len(s), brute.sha(suffix_dedup.cut(x, s))) for (d, _), x, s in zip(rows, raws, brute.suffix_spans(raws, length), strict=True)]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    return sorted(got, key=key), sorted(want, key=key)
+
+
+@pytest.mark.parametrize("limit", [20_000, 2])
+@pytest.mark.parametrize("ids", ["own", "null", "one", "mixed"])
+def test_suffix_dedup_tells_rows_apart(spark, ids, limit):
+    rnd = random.Random(2)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    head = noise(150)
+    texts = [head + noise(300) for _ in range(6)]
+    number = {"own": lambda k: k, "null": lambda k: None, "one": lambda k: 7, "mixed": lambda k: [None, 7, 7, -(2**63), -(2**63) + 1, 2**63 - 1][k]}[ids]
+    rows = [(number(k), t) for k, t in enumerate(texts)]
+    got, want = spans_of(spark, rows, 200, limit)
+    assert got == want and not any(r[2] for r in got)
+    # the same row once more: all of both goes
+    got, want = spans_of(spark, rows + rows[:1], 200, limit)
+    assert got == want and sum(r[2] for r in got) == 900
+
+
+def test_suffix_dedup_of_texts_over_a_segment(spark):
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(suffix_dedup.SEGMENT + 5000))
+    cut = long[suffix_dedup.SEGMENT - 150 : suffix_dedup.SEGMENT + 150]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(brute.table(spark, [long, cut, "x" * 10])).collect()}
+    kept = long[: suffix_dedup.SEGMENT - 150] + long[suffix_dedup.SEGMENT + 150 :]
+    assert got == {0: (300, 1, brute.sha(kept)), 1: (300, 1, brute.sha("")), 2: (0, 0, brute.sha("x" * 10))}
+
+
 def test_loser_tree_keeps_order_and_prefixes():
     rnd = random.Random(3)
     make = lambda: bytes(rnd.choice(b"ab") for _ in range(rnd.randint(1, 12)))
