@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before, seen = None, check(now)
     while before != seen:
+        at = scratch.since(0)[-1:]
         now = scratch.save(_small(_large(now)), "stars")
+        scratch.release(now.sparkSession, at)
         before, seen = seen, check(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -167,3 +167,60 @@ def test_line_dedup_of_null_and_repeated_ids(spark):
     assert got == sorted((d is not None, d or 0, t.count("\n") + 1, 0) for d, t in rows)
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_dropped) for r in line_dedup.digests(docs.union(docs.limit(0)).unionByName(spark.createDataFrame([(5, line, "en", "s", 1)], brute.SCHEMA))).collect())
     assert got == sorted([(False, 0, 1)] * 3 + [(True, 4, 1)] * 3 + [(True, 5, 0), (True, 9, 0)])
+
+
+def grouped(rows, words=4, percent=85):
+    """Of rows ``(id, text)``: ``(id, set size, smallest id of the component that isn't null)`` of each, and how many components."""
+    found = brute.components({k: t for k, (_, t) in enumerate(rows)}, words, percent)
+    ids = {}
+    for k, (d, _) in enumerate(rows):
+        ids.setdefault(found[k][1], []).append(d)
+    least = {c: min((d for d in x if d is not None), default=None) for c, x in ids.items()}
+    return [(d, found[k][0], least[found[k][1]]) for k, (d, _) in enumerate(rows)], ids
+
+
+def odd_rows():
+    rnd = random.Random(11)
+    prose = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+
+    def near(w):
+        w = list(w)
+        w[3] = "other"
+        return " ".join(w)
+
+    a, b, c, e = prose(120), prose(120), prose(90), prose(100)
+    rows = [(5, " ".join(a)), (9, " ".join(b)), (None, near(a)), (None, near(b))]
+    rows += [(7, " ".join(c)), (7, " ".join(e)), (3, near(e)), (None, "only null"), (None, "only null"), (None, ""), (None, None), (1, ""), (1, "  \n"), (4, "x"), (4, "x"), (4, "y")]
+    return rows
+
+
+def test_ngram_join_tells_rows_apart(spark):
+    rows = odd_rows()
+    want, ids = grouped(rows)
+    docs = spark.createDataFrame([(d, t, "en", "s", k) for k, (d, t) in enumerate(rows)], brute.SCHEMA)
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    got = ngram_join.similar(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(want, key=key)
+    kept = ngram_join.first_of_each(docs, 4, 85).collect()
+    wordless = [k for k, (_, t) in enumerate(rows) if not (t or "").split()]
+    assert {r.n_chars for r in kept} >= set(wordless)
+    worded = [r.doc_id for r in kept if r.n_chars not in wordless]
+    groups = [x for c, x in ids.items() if (rows[c][1] or "").split()]
+    assert sorted(worded, key=lambda d: (d is not None, d or 0)) == sorted((min((d for d in x if d is not None), default=None) for x in groups), key=lambda d: (d is not None, d or 0))
+    assert all(r.text == rows[r.n_chars][1] for r in kept)
+
+
+def test_one_of_repeated_rows_stays(spark):
+    docs = brute.table(spark, ["one two three four five six"] * 2, ids=[8, 8])
+    assert ngram_join.first_of_each(docs).count() == 1
+
+
+def test_scratch_tables_go(spark):
+    from corpusmill.llm import scratch
+
+    at = scratch.mark()
+    ngram_join.similar(brute.table(spark, corpus(3, 20))).count()
+    left = scratch.since(at)
+    assert sorted(p.split("/")[-1].rsplit("-", 1)[0] for p in left) == ["ngram-classes", "ngram-sets"]
+    scratch.release(spark, left)
+    assert scratch.since(at) == []
