@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from corpusmill.llm import langid, mixing, quality_rules, toxicity, weak_quality
+from corpusmill.llm import langid, quality_rules, toxicity, weak_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,7 +33,7 @@ def test_thresholds_are_ordered():
     for k in range(400):
         t = k % 4 == 0
         rows.append(np.unique(np.r_[rnd.integers(0, 300, 20), [900] if t else []].astype("<u4")))
-        counts.append(np.ones(len(rows[-1]), np.uint8) * (1 + (k % 8)))
+        counts.append(np.full(len(rows[-1]), 1 + k % 8, "<u4"))
         toxic.append(t)
     m = toxicity.Model(rows, counts, np.array(toxic))
     assert 900 in m.chosen
@@ -48,34 +48,135 @@ def test_weak_labels(spark):
     truth = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = {r.doc_id: r.kept for r in weak_quality.query(spark, SF).collect()}
     assert np.mean([got[d] for d, r in truth.items() if r.quality == 1]) > 0.95
-    assert np.mean([got[d] for d, r in truth.items() if r.quality == 0]) < 0.4
-
-
-def test_mixing(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = mixing.decide(docs).collect()
-    assert len(rows) == docs.count()
-    goal, taken, most = {}, {}, {}
-    for r in rows:
-        goal[r.source] = r.target
-        taken[r.source] = taken.get(r.source, 0) + r.taken
-        most[r.source] = max(most.get(r.source, 0), r["size"])
-        assert r.copies in (0, 1, 2, 3) and r.taken == r.copies * r["size"]
-    for s, t in goal.items():
-        assert abs(taken[s] - t) <= most[s]
-    key = lambda rs: sorted((r.doc_id, r.taken) for r in rs)
-    assert key(mixing.decide(docs).collect()) == key(rows)
-    assert mixing.mix(docs).count() == sum(r.copies for r in rows)
-
-
-def test_targets_by_hand(spark):
-    sized = spark.createDataFrame([("a", 10), ("b", 100), ("c", 50), (None, 40)], "source string, size long")
-    got = {r.source: r.target for r in mixing.targets(sized).collect()}
-    # weights 5, 2, 1, 5 of 200: a's 76.9 is cut to 30, the others share 170 as 2, 1, 5 and stay below their caps
-    assert got == {"a": 30.0, "b": 42.5, "c": 21.25, None: 106.25}
-    # weights 5, 2, 1 of 80: a is cut to 30, then b's 33.3 of 50 to 30, and c has the rest
-    sized = spark.createDataFrame([("a", 10), ("b", 10), ("c", 60)], "source string, size long")
-    assert {r.source: r.target for r in mixing.targets(sized).collect()} == {"a": 30.0, "b": 30.0, "c": 20.0}
+    assert np.mean([got[d] for d, r in truth.items() if r.quality == 0]) < 0.1
+
+
+def plain_em(patterns, counts, rounds):
+    """Naive EM with dictionaries: two classes, independent labellers, the same smoothing."""
+    good = [(sum(v == 1 for v in p) + 1) / (sum(v != 2 for v in p) + 2) for p in patterns]
+    for _ in range(rounds):
+        table = {}
+        for c in (0, 1):
+            mass = [n * (g if c else 1 - g) for n, g in zip(counts, good, strict=True)]
+            for j in range(len(patterns[0])):
+                votes = [0.5 + sum(m for m, p in zip(mass, patterns, strict=True) if p[j] == v) for v in range(3)]
+                table[c, j] = [x / sum(votes) for x in votes]
+        prior = (sum(n * g for n, g in zip(counts, good, strict=True)) + 1) / (sum(counts) + 2)
+        new = []
+        for p in patterns:
+            like = [np.prod([table[c, j][v] for j, v in enumerate(p)]) * (prior if c else 1 - prior) for c in (0, 1)]
+            new.append(like[1] / sum(like))
+        good = new
+    return good, prior
+
+
+def test_em_equals_the_naive_one():
+    rnd = np.random.default_rng(7)
+    patterns = np.unique(rnd.integers(0, 3, (40, 4)), axis=0)
+    counts = rnd.integers(1, 50, len(patterns))
+    for rounds in (1, 2, 30):
+        posterior, _, prior = weak_quality.estimate(patterns, counts, rounds)
+        good, p = plain_em(patterns.tolist(), counts.tolist(), rounds)
+        assert np.allclose(posterior, good, atol=1e-8) and abs(prior - p) < 1e-8
+
+
+def test_em_finds_the_labellers_errors():
+    """Votes drawn from known accuracies: EM recovers them without a label."""
+    rnd = np.random.default_rng(3)
+    right = np.array([0.9, 0.8, 0.75, 0.7, 0.6])
+    truth = rnd.random(40_000) < 0.7
+    votes = np.where(rnd.random((len(truth), 5)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    _, table, prior = weak_quality.estimate(patterns, counts, 2000)
+    assert abs(prior - 0.7) < 0.03
+    assert np.abs(table[1, :, 1] - right).max() < 0.04 and np.abs(table[0, :, 0] - right).max() < 0.04
+
+
+def test_votes_do_not_jump_at_a_length():
+    import pyarrow as pa
+
+    from corpusmill.llm import bytesets
+
+    texts = [" ".join(["word"] * n) for n in (400, 1999, 2000, 2001, 30_000)]
+    found = [v for t in bytesets.texts(pa.array(texts)) for v in weak_quality.votes(weak_quality.measures(t)).tolist()]
+    assert all(v == found[0] for v in found) and found[0][6] == 0
+
+
+def test_scorer_separates_what_it_was_given():
+    rnd = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        cols = np.unique(rnd.integers(0, 500, 20)) + (0 if k % 2 else 1000)
+        rows.append((k % 2, cols.astype("<u4"), np.full(len(cols), 1 / len(cols), "<f4")))
+    m = weak_quality.Model(np.zeros(0, np.int64), np.zeros(0), [])
+    m._fit(np.array([r[0] for r in rows], float), [r[1] for r in rows], [r[2] for r in rows])
+    z = np.array([(m.weights[r[1].astype(int)] * r[2]).sum() + m.bias for r in rows])
+    assert ((z > 0) == (np.arange(300) % 2 == 1)).all()
+
+
+def test_ordinal_gradient():
+    rnd = np.random.default_rng(1)
+    n, m = 30, 5
+    row, at = np.repeat(np.arange(n), 3), rnd.integers(0, m, 3 * n)
+    x, grade = np.log2(1 + rnd.integers(1, 9, 3 * n)), rnd.integers(0, toxicity.GRADES, n)
+    w, theta = rnd.normal(size=m), rnd.normal(size=toxicity.GRADES - 1)
+    _, g = toxicity.gradient(w, theta, row, at, x, grade)
+
+    def likelihood(both):
+        """Plain form: each grade's probability as the difference of two sigmoids."""
+        w, theta = both[:m], both[m:]
+        cuts = [theta[0]]
+        for t in theta[1:]:
+            cuts.append(cuts[-1] + np.exp(t))
+        total = -toxicity.RIDGE / 2 * (w**2).sum()
+        for k in range(n):
+            f = sum(x[i] * w[at[i]] for i in range(len(row)) if row[i] == k)
+            up = [1.0] + [1 / (1 + np.exp(c - f)) for c in cuts] + [0.0]
+            total += np.log(up[grade[k]] - up[grade[k] + 1])
+        return total
+
+    both = np.r_[w, theta]
+    assert abs(likelihood(both) - toxicity.gradient(w, theta, row, at, x, grade)[0]) < 1e-8
+    for k in range(len(both)):
+        step = np.zeros(len(both))
+        step[k] = 1e-5
+        assert abs((likelihood(both + step) - likelihood(both - step)) / 2e-5 - g[k]) < 1e-4
+
+
+def test_expected_severity_follows_counts():
+    """Held-out texts that say the telling word more often get a higher grade."""
+    import pyarrow as pa
+
+    from corpusmill.llm import bytesets
+
+    rnd = np.random.default_rng(2)
+    made = lambda bad: " ".join([f"w{x}" for x in rnd.integers(0, 300, 30)] + ["vile"] * bad)
+    texts = [made([0, 0, 1, 3, 8][k % 5]) for k in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    rows = [(c, n) for b in toxicity._vectors(iter([batch])) for c, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    m = toxicity.Model([np.frombuffer(c, "<u4") for c, _ in rows], [np.frombuffer(n, "<u4") for _, n in rows], np.array([k % 5 > 1 for k in range(1000)]))
+    assert (np.diff(m.thresholds) > 0).all()
+    p = np.concatenate([m.score(t) for t in bytesets.texts(pa.array([made(n) for n in (0, 1, 3, 8, 20)]))])
+    severity = p.sum(1)
+    assert (np.diff(severity) > -1e-9).all() and severity[0] < 0.2
+    assert [(x >= 0.5).sum() for x in p[:4]] == [0, 1, 2, 3]
+
+
+def test_languages_in_a_small_table(spark):
+    from . import brute
+
+    texts, langs = [], []
+    for k in range(40):
+        for lang, words in (("en", "the house and the river"), ("de", "das haus und der fluss"), ("fr", "la maison et le fleuve")):
+            texts.append(f"{words} {k}")
+            langs.append(lang)
+    odd = [None, "", "123 ...", "the house and the river", "the house and the river", "é"]
+    docs = brute.table(spark, texts + odd, langs + [None] * 4 + ["de", "de"])
+    got = {r.doc_id: r for r in langid.classify(docs, langid.train(docs.where("doc_id < 120"))).collect()}
+    assert all(got[k].lang_pred == lang for k, lang in enumerate(langs))
+    assert [(got[120 + k].lang_pred, got[120 + k].score) for k in range(3)] == [("und", 0.0)] * 3
+    assert got[123][2:] == got[124][2:] == ("en", got[123].score) and got[125].lang_pred in ("en", "de", "fr")
+    assert {r.lang_pred for r in langid.classify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
 
 
 def test_repeated_windows(spark):
