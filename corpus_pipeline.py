@@ -7,50 +7,26 @@ as often as it is taken; the mixture is tokenized and decoded again.
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import bpe, line_dedup, mixing, ngram_join, scratch, toxicity
 
-_used: list[str] = []
-
-
-def _stage(f):
-    """Delete what the stage before left in the shared folder: its result is a table by now."""
-
-    @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.release(spark, _used)
-        at = scratch.mark()
-        out = f(spark, docs, sf_dir)
-        _used[:] = scratch.since(at)
-        return out
-
-    return run
-
-
-@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-@_stage
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs)
 
 
-@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.first_of_each(docs)
 
 
-@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-@_stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
@@ -68,7 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), "stage")
+    """The rows of the last stage; each stage's tables are deleted once the next one has been written.
+
+    The result reads the table of the stage before it, which stays in the shared folder.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        at = scratch.mark() - len(before)
+        with scratch.temporary(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), "stage")
+        scratch.release(spark, before)
+        before = scratch.since(at)
     return STAGES[-1][1](spark, docs, sf_dir)
