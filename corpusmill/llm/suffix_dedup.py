@@ -53,7 +53,7 @@ RUN_ENTRIES = 400_000
 RUN_SUFFIXES = 40_000
 SAMPLE_ONE_IN = 8
 SAMPLES_PER_RANGE = 64
-PARTS = 16
+PARTS = 8
 HOT = 4
 NOBODY = -1  # the place of an entry that stands for a core or context without being a row's own
 
@@ -111,15 +111,18 @@ def core_hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 # ---- which cores repeat
 
 LIST, SAMPLE, FREQUENT = 0, 1, 2
+ANCHOR = np.dtype([("at", "<i8"), ("far", "<u2"), ("near", "<u2")])
 
 
 def _ranges(key: np.ndarray, parts: int) -> np.ndarray:
+    """Even ranges of mixed keys: anchors have the least hashes of their windows, so those alone would crowd the first ranges."""
+    key = bytesets.mix(key)
     return ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
 
 
 def _of_row(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
     """A range for what belongs to a row, so that many rows spread over all ranges."""
-    return _ranges(bytesets.mix(doc.view(U64) ^ bytesets.mix(tag.view(U64))), parts)
+    return _ranges(doc.view(U64) ^ bytesets.mix(tag.view(U64)), parts)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
@@ -212,7 +215,21 @@ def _repeated(frequent: int):
     def rows(kind: int, doc: np.ndarray, tag: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(doc), pa.int32()), pa.array(doc), pa.array(tag), pa.array(blobs, pa.binary())], ["kind", "doc", "tag", "blob"])
 
+    def listed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, tag, at, far, near = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, tag, doc))
+        doc, tag, at, far, near = (x[order] for x in (doc, tag, at, far, near))
+        # rows equal in id and text name each place once
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1])]
+        doc, tag, at, far, near = (x[new] for x in (doc, tag, at, far, near))
+        start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+        ends = np.r_[start[1:], len(doc)]
+        packed = np.empty(len(at), ANCHOR)
+        packed["at"], packed["far"], packed["near"] = at, far, near
+        return rows(LIST, doc[start], tag[start], [packed[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for kinds, runs in _by_part(batches, "kind", "run"):
             lists, kmers = [], {}
             for kind, blob in zip(kinds, runs, strict=True):
@@ -231,22 +248,19 @@ def _repeated(frequent: int):
             again = known == SETTLED
             again[np.flatnonzero(counted)] = number[where] > 1
             again &= known != STANDS
-            doc, tag, at, far, near = doc[again], tag[again], at[again], far[again], near[again]
-            if len(doc):
-                order = np.lexsort((at, tag, doc))
-                doc, tag, at, far, near = (x[order] for x in (doc, tag, at, far, near))
-                # rows equal in id and text name each place once
-                new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1])]
-                doc, tag, at, far, near = (x[new] for x in (doc, tag, at, far, near))
-                start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-                ends = np.r_[start[1:], len(doc)]
-                yield rows(LIST, doc[start], tag[start], [at[a:b].astype("<i8").tobytes() + far[a:b].astype("<u2").tobytes() + near[a:b].astype("<u2").tobytes() for a, b in zip(start, ends, strict=True)])
+            held.append(tuple(x[again] for x in (doc, tag, at, far, near)))
+            size += len(held[-1][0])
+            if size >= RUN_ENTRIES:
+                yield listed(held)
+                held, size = [], 0
             kept = [x for x in cores[number > 1].tolist() if x in kmers]
             if kept:
                 yield rows(SAMPLE, np.array(kept, U64).view(np.int64), np.zeros(len(kept), np.int64), [kmers[x] for x in kept])
             often = number > frequent
             if often.any():
                 yield rows(FREQUENT, cores[often].view(np.int64), number[often], [b""] * int(often.sum()))
+        if size:
+            yield listed(held)
 
     return run
 
@@ -488,7 +502,7 @@ def _sorted_runs(splitters: list[bytes], hot: np.ndarray, parts: int, length: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Suffix] = []
         for batch in bytesets.slices(batches):
-            for doc, tag, text, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, tag, text, lists in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "text", "lists")), strict=True):
                 text = text.encode()
                 # a place comes in two lists if it was settled in one task and not in another
                 for p, (f, m, often) in _places(lists, text, hot).items():
@@ -509,13 +523,9 @@ HOT_CORE: list = []
 
 def _places(lists: list[bytes], text: bytes, hot: np.ndarray) -> dict[int, tuple[int, int, bool]]:
     """Each anchor's place with its offsets and whether its core is a hot one."""
-    found = {}
-    for blob in lists:
-        n = len(blob) // 12
-        at, far, near = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<u2", n, 8 * n), np.frombuffer(blob, "<u2", n, 10 * n)
-        often = np.isin(core_hashes_at(np.frombuffer(text, np.uint8), at), hot).tolist() if len(hot) else [False] * n
-        found.update(zip(at.tolist(), zip(far.tolist(), near.tolist(), often, strict=True), strict=True))
-    return found
+    found = np.frombuffer(b"".join(lists), ANCHOR)
+    often = np.isin(core_hashes_at(np.frombuffer(text, np.uint8), found["at"]), hot).tolist() if len(hot) else [False] * len(found)
+    return dict(zip(found["at"].tolist(), zip(found["far"].tolist(), found["near"].tolist(), often, strict=True), strict=True))
 
 
 def _merge(parts: int, length: int, limit: int):
@@ -650,7 +660,7 @@ def repeated_spans(docs: DataFrame, make, schema: str, length: int = LENGTH, lim
     own = (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag"))
     row = F.col("doc").alias("_doc"), F.col("tag").alias("_tag")
     per_row = lists.where(F.col("kind") == LIST).groupBy(*row).agg(F.collect_list("blob").alias("lists"))
-    both = texts.join(per_row.hint("shuffle_hash"), own).select("doc", "tag", "text", "lists")
+    both = texts.join(per_row.hint("shuffle_hash"), own).select("doc_id", "doc", "tag", "text", "lists")
     runs = both.mapInArrow(_sorted_runs(splitters, hot, parts, length), ROWS)
     merged = _dealt(runs, n).mapInArrow(_merge(parts, length, limit), ROWS)
     counted = _dealt(merged, n).mapInArrow(_count, ROWS)
