@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 # Query keys that only track, and query keys of pages that aren't downloads.
 TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "yclid")
-NOT_DOWNLOADS = ("share", "replytocom", "print")
+NOT_DOWNLOADS = ("share", "shared", "sharing", "share_source", "replytocom", "amp", "output", "print")
 # Hosts of file providers by kind.
 PROVIDERS = {
-    "drive": ("drive.google.com", "docs.google.com"),
+    "drive": ("drive.google.com", "docs.google.com", "drive.usercontent.google.com", "drive.googleusercontent.com"),
     "mega": ("mega.nz", "mega.co.nz"),
     "mediafire": ("mediafire.com",),
-    "dropbox": ("dropbox.com",),
+    "dropbox": ("dropbox.com", "dropboxusercontent.com"),
+    "terabox": ("terabox.com", "teraboxapp.com", "1024terabox.com", "1024tera.com", "terabox.app"),
     "scribd": ("scribd.com",),
 }
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"

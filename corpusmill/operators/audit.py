@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import script, sequences
 from ..plans.catalog import Catalog, load
+from .graph import reachable
 
 C = Catalog()
 
@@ -149,29 +150,6 @@ def memory_import(spark, sf):
     return c.where("conv_id % 3 = 0").join(old, ["conv_id", "turn"], "left").groupBy(outcome.alias("outcome")).agg(count().alias("k"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 20, most: int | None = None) -> DataFrame:
-    """``node, depth`` of everything reachable from ``seeds`` (``node``) along ``edges`` (``src, dst``).
-
-    A breadth-first walk by anti-joins; stops early once over ``most`` nodes are known.
-    """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    known = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    edge = known
-    for depth in range(1, rounds + 1):
-        step = edges.join(edge.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        edge = step.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if not edge.take(1):
-            break
-        known = known.unionByName(edge).checkpoint()
-        if most is not None and known.count() > most:
-            break
-    return known
-
-
 @C.add("reachable_parts", """
 WITH RECURSIVE r(node, depth) AS (SELECT 1, 0 UNION SELECT d.dst, r.depth + 1 FROM (SELECT p_partkey AS src, (p_partkey * 7) % 1999 AS dst FROM part UNION ALL SELECT p_partkey, (p_partkey * 3 + 1) % 1999 FROM part) d JOIN r ON d.src = r.node WHERE r.depth < 6)
 SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY node""")
@@ -275,10 +253,10 @@ def is_subsequence(pattern: Column, sequence: Column) -> Column:
 
 
 @C.add("role_subsequences", """
-WITH s AS (SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS roles FROM events WHERE event_id < 1500 GROUP BY user_id)
+WITH s AS (SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS roles FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN roles = 'view>click>purchase' THEN 'exact' WHEN regexp_matches(roles, 'view(>|>.*>)click(>|>.*>)purchase') THEN 'subsequence' ELSE 'none' END AS match FROM s""")
 def role_subsequences(spark, sf):
-    e = load(spark, sf, "events").where("event_id < 1500").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    e = load(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
     roles, pattern = F.transform("e", lambda x: x["event_type"]), F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))
     return e.select("user_id", F.when(roles == pattern, "exact").when(is_subsequence(pattern, roles), "subsequence").otherwise("none").alias("match"))
 

@@ -249,10 +249,10 @@ def multi_key_fallback(spark, sf):
 
 
 @C.add("containment_audit", """
-SELECT b.item_id, count(d.doc_id) AS found_in FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 40)) GROUP BY b.item_id""")
+SELECT b.item_id, count(d.doc_id) AS found_in FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) AND b.text <> '' GROUP BY b.item_id""")
 def containment_audit(spark, sf):
-    """How many texts contain each item's opening."""
-    items = load(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("needle"))
+    """How many texts contain each whole item; an empty item is in none."""
+    items = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
     docs = load(spark, sf, "documents").select("doc_id", "text")
     hits = contained(docs, items)
     return items.join(hits.groupBy("item_id").agg(count().alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("found_in"))

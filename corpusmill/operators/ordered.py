@@ -373,10 +373,10 @@ def weighted_resolver(board: DataFrame, key: str) -> DataFrame:
 
 
 @C.add("kernel", """
-SELECT user_id, CASE WHEN tags = 'click,view' THEN 'rbvn' ELSE first_tag END AS final_pos FROM (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tags, arg_min(event_type, event_id) AS first_tag FROM events WHERE event_id % 97 = 0 GROUP BY user_id)""")
+SELECT user_id, CASE WHEN tags = 'click,view' THEN 'rbvn' ELSE first_tag END AS final_pos FROM (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tags, arg_min(event_type, event_id) AS first_tag FROM events GROUP BY user_id)""")
 def kernel(spark, sf):
     """Exactly two known tags together make a third; else the first tag stands."""
-    g = events(spark, sf).where("event_id % 97 = 0").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("tags"), F.min_by("event_type", "event_id").alias("first"))
+    g = events(spark, sf).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("tags"), F.min_by("event_type", "event_id").alias("first"))
     return g.select("user_id", F.when(F.col("tags") == "click,view", "rbvn").otherwise(F.col("first")).alias("final_pos"))
 
 

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import repair, script
+from ..functions import clusters, repair, script
 from ..plans.catalog import Catalog, load
+from .graph import connected
 
 C = Catalog()
 _MM = script.as_myanmar_sql("coalesce(text, '')")
@@ -32,10 +33,9 @@ def normalized_text(spark, sf):
 @C.add("ordered_text")
 def ordered_text(spark, sf):
     """Normalised, marks in order, impossible signs gone; with the structural score before and after."""
-    d = _texts(spark, sf).withColumn("fixed", repair.column(repair.order_text)("t"))
-    d = script.with_structural_score(d, F.col("t")).select("doc_id", "fixed", F.col("disorder").alias("before"))
-    d = script.with_structural_score(d, F.col("fixed"))
-    return d.select("doc_id", F.md5("fixed").alias("digest"), F.round("before", 9).alias("before"), F.round("disorder", 9).alias("after"))
+    d = _texts(spark, sf).select("doc_id", "t", clusters.order_column(repair.GLUE)("t").alias("fixed"))
+    d = d.select("doc_id", "fixed", clusters.structural_score(F.col("t")).alias("was"), clusters.structural_score(F.col("fixed")).alias("now"))
+    return d.select("doc_id", F.md5("fixed").alias("digest"), F.round("was.disorder", 9).alias("before"), F.round("now.disorder", 9).alias("after"))
 
 
 @C.add("cleaned_text")
@@ -222,29 +222,6 @@ def guarded_upsert(stored: DataFrame, arriving: DataFrame, least: int = 200) ->
     return every.join(group, "row").groupBy("group").applyInPandas(fold, schema)
 
 
-def connected(keyed: DataFrame, rounds: int = 50) -> DataFrame:
-    """``row, group``: rows that share a key, directly or through others, have one group.
-
-    Smallest labels travel along keys until nothing changes; each round is checkpointed.
-    """
-    spark = keyed.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    pairs = keyed.select("row", F.explode("keys").alias("key")).where("key is not null").checkpoint()
-    label = keyed.select("row", F.col("row").alias("group")).checkpoint()
-    for _ in range(rounds):
-        least = pairs.join(label, "row").groupBy("key").agg(F.min("group").alias("g"))
-        moved = pairs.join(least, "key").groupBy("row").agg(F.min("g").alias("g"))
-        new = label.join(moved, "row", "left").select("row", F.least("group", F.coalesce("g", "group")).alias("group")).checkpoint()
-        changed = new.join(label.withColumnRenamed("group", "old"), "row").where(F.col("group") != F.col("old")).take(1)
-        label = new
-        if not changed:
-            break
-    return label
-
-
 @C.add("guarded_upsert")
 def guarded_upsert_rows(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.lit("").alias("author"), F.concat("source", F.lit("-"), F.col("doc_id") % 40).alias("book"), "text", F.lit("").alias("segmented"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise("").alias("sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import links, script
+from ..functions import clusters, links, script
 from ..plans.catalog import Catalog, load
 
 C = Catalog()
@@ -22,7 +22,7 @@ SELECT doc_id, round(CASE WHEN marks > 0 THEN 1 - greatest(orphan, disorder) ELS
   round(CASE WHEN length(t) > 0 THEN len(regexp_extract_all(t, '[က-႟]')) / length(t) ELSE 0 END, 9) AS ratio
 FROM ({script.structural_score_sql(_MM)})""")
 def structural_score(spark, sf):
-    s = script.with_structural_score(_docs(spark, sf), script.as_myanmar(F.col("text")))
+    s = clusters.with_structural_score(_docs(spark, sf), script.as_myanmar(F.col("text")))
     return s.select("doc_id", *[F.round(c, 9).alias(c) for c in ("score", "orphan", "disorder", "duplicate", "ratio")], "marks")
 
 
@@ -31,7 +31,7 @@ SELECT lang, route, count(*) AS n FROM (
   SELECT d.lang, CASE WHEN s.marks < 50 THEN 'thin' WHEN 1 - greatest(orphan, disorder) >= 0.85 THEN 'clean' WHEN orphan > disorder THEN 'orphans' ELSE 'order' END AS route
   FROM ({script.structural_score_sql(_MM)}) s JOIN documents d USING (doc_id)) GROUP BY ALL""")
 def structural_quality_gate(spark, sf):
-    s = script.with_structural_score(_docs(spark, sf).select("lang", "text"), script.as_myanmar(F.col("text")))
+    s = clusters.with_structural_score(_docs(spark, sf).select("lang", "text"), script.as_myanmar(F.col("text")))
     route = F.when(F.col("marks") < 50, "thin").when(F.col("score") >= 0.85, "clean").when(F.col("orphan") > F.col("disorder"), "orphans").otherwise("order")
     return s.groupBy("lang", route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -78,7 +78,25 @@ def english_letter_runs(spark, sf):
     return _docs(spark, sf).select("doc_id", *[(F.round(v, 9) if k == "common_ratio" else v).alias(k) for k, v in f.items()])
 
 
-@C.add("english_verdict")
+_PAIRS = ", ".join(f"'{p}'" for p in script.NEVER_PAIRS)
+_FOUR = "|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+@C.add("english_verdict", f"""
+WITH w AS (SELECT doc_id, contains(coalesce(text, ''), ' ') AS spaced, unnest({_RUNS}) AS w FROM documents),
+l AS (SELECT doc_id, spaced, w, lower(w) AS low, length(w) AS n, list_transform(range(1, length(w)), lambda i: substr(lower(w), i, 2)) AS twos FROM w),
+x AS (SELECT doc_id, spaced, n, CASE WHEN n >= 2 THEN 1 ELSE 0 END AS long, CASE WHEN n >= 2 AND low IN ({_COMMON}) THEN 1 ELSE 0 END AS common,
+    CASE WHEN NOT (n <= 6 AND w = upper(w)) AND n >= 3 AND low NOT IN ('{"', '".join(script.VOWELLESS)}') AND NOT regexp_matches(low, '[aeiouy]') THEN 1 ELSE 0 END
+    + CASE WHEN regexp_matches(low, '{_FOUR}') THEN 2 ELSE 0 END + len(list_filter(twos, lambda p: p IN ({_PAIRS})))
+    + len(list_filter(twos, lambda p: p[1] = 'q' AND p[2] <> 'u')) + CASE WHEN ends_with(low, 'q') THEN 1 ELSE 0 END
+    + CASE WHEN n > 16 THEN 1 ELSE 0 END + CASE WHEN n > 20 THEN 1 ELSE 0 END + CASE WHEN n > 45 THEN 2 ELSE 0 END AS faults FROM l),
+f AS (SELECT doc_id, bool_or(spaced) AND count(*) > 1 AS spaces, count(*) AS runs, sum(n) AS letters, max(n) AS longest, sum(faults) / sum(n) AS broken,
+    CASE WHEN sum(long) > 0 THEN sum(common) / sum(long) ELSE 0 END AS ratio FROM x GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN letters >= 12 THEN CASE
+    WHEN ratio >= 0.15 AND broken <= 0.02 AND longest <= 20 THEN 'english' WHEN ratio >= 0.08 AND spaces AND broken <= 0.01 AND longest <= 16 THEN 'english'
+    WHEN broken > 0.03 AND ratio < 0.05 THEN 'not-english' WHEN NOT spaces AND longest > 20 AND ratio < 0.05 THEN 'not-english'
+    WHEN ratio > 0 AND ratio < 0.05 AND broken > 0.015 THEN 'not-english' WHEN ratio = 0 AND letters >= 24 AND runs >= 4 THEN 'not-english' END END AS verdict
+FROM documents d LEFT JOIN f USING (doc_id)""")
 def english_verdict(spark, sf):
     return _docs(spark, sf).select("doc_id", script.english_verdict(F.col("text")).alias("verdict"))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions import html, links, repair, script
+from corpusmill.functions import clusters, html, links, repair, script
 from corpusmill.operators import ordered
 from corpusmill.operators.repair_queries import guarded_upsert
 from corpusmill.sources import sinks
@@ -21,7 +21,7 @@ def test_number_class(spark, token, want):
 
 
 def test_structural_score(spark):
-    score = lambda t: one(spark, t, script.structural_score)
+    score = lambda t: one(spark, t, clusters.structural_score)
     assert (score("abc").score, score("abc").marks, score(None).score) == (0.0, 0, 0.0)
     assert score("ိ").orphan == 1.0 and score("ကိ").orphan == 0.0
     assert score("ကးိ").disorder == 1.0 and score("ကိး").disorder == 0.0
@@ -173,8 +173,41 @@ def test_splitters():
     assert splitters.numbers_of("1-2,5, 2") == [1, 2, 5]
     with pytest.raises(ValueError):
         splitters.numbers_of("4-2")
-    text, changes = splitters.repair_quotes('"abc" he said: "x"')
-    assert text == "“abc” he said: “x”" and [c["choice"] for c in changes] == ["open", "close", "open", "close"]
+
+
+QUOTED = {
+    '"abc" he said: "x"': ("“abc” he said: “x”", ["line start", "closes an open quote", "after a colon", "closes an open quote"]),
+    '"外"里"内"': ("“外“里”内”", ["line start", "opens a nested term", "closes a nested term", "closes an open quote"]),
+    '"外" 里"内"': ("“外” 里“内”", ["line start", "closes an open quote", "by default", "closes an open quote"]),
+    '"外"七个字长的间隔"内"': ("“外”七个字长的间隔“内”", ["line start", "closes an open quote", "by default", "closes an open quote"]),
+    '他说。"': ("他说。”", ["line end"]),
+    '他说。"好': ("他说。”好", ["after a stop"]),
+    '他"好"说。"走': ("他“好”说。“走", ["by default", "closes an open quote", "after narrative"]),
+    '真!"好': ("真!”好", ["after a sentence"]),
+    '好",走': ("好”,走", ["before punctuation"]),
+    '说：",走': ("说：“,走", ["after a colon"]),
+    '“"好"': ("“好”", ["doubled opening", "closes an open quote"]),
+    "&quot;好&quot;": ("“好”", ["line start", "closes an open quote"]),
+    '  "  ': ("  “  ", ["line start"]),
+    '“好" 走"吧': ("“好” 走“吧", ["closes an open quote", "by default"]),
+    '“好” 走"吧': ("“好” 走“吧", ["by default"]),
+    "none": ("none", []),
+    "": ("", []),
+}
+
+
+def test_quotes_of_lines(spark):
+    from corpusmill.functions import splitters
+
+    df = spark.createDataFrame([(k,) for k in QUOTED], "line string").select("line", splitters.repair_line(F.col("line")).alias("q"))
+    for r in df.collect():
+        text, reasons = QUOTED[r.line]
+        assert (r.q.text, [c.reason for c in r.q.changes]) == (text, reasons), r.line
+        assert all(r.line[c.column - 1] in '"&' for c in r.q.changes)
+    whole = "\n".join(QUOTED)
+    r = spark.createDataFrame([(whole,), (None,), ("",)], "t string").select(splitters.quote_repair(F.col("t")).alias("q")).collect()
+    assert r[0].q.text == "\n".join(x for x, _ in QUOTED.values()) and r[0].q.changes == sum(len(x) for _, x in QUOTED.values())
+    assert [(x.q.text, x.q.changes) for x in r[1:]] == [("", 0), ("", 0)]
 
 
 def test_shapes():
@@ -202,6 +235,8 @@ def test_mends_and_suggestions():
     assert repair.without_one_i("ကို") == ["ကု"]
     assert "ကိ" in repair.insertions("က")
     assert repair.suggest("အက", {"ကအ"}) == ["ကအ"]
+    assert repair.suggest("abcd", {"bacd", "bcad", "bcda", "dcba", "abcd"}) == ["bacd", "bcad", "bcda"]
+    assert repair.suggest("x" + "y" * 400 + "z", {"x" + "y" * 399 + "zy"}) == ["x" + "y" * 399 + "zy"]
     assert repair.fragment_class("b", ["a"], {"ab"}) == "unit" and repair.fragment_class("zz", [], set()) == "loan"
     assert repair.better_reading({"score": 0.5, "marks": 80, "faults": 9}, {"score": 0.9, "marks": 80, "faults": 1})
 
@@ -252,3 +287,24 @@ def test_grammar_rules(spark):
     assert best[3] == "verb" and best[4] == "tense"
     s = grammar.sentence_types(tokens.union(spark.createDataFrame([("q", 0, "လား", [])], tokens.schema))).collect()
     assert {r.sentence: (r.meaning, r.construction) for r in s} == {"s": ("statement", "simple"), "q": ("question", "simple")}
+
+
+def test_clusters_equal_the_plain_versions(spark):
+    rnd = random.Random(1)
+    chars = "ကခဥဧအဣ" + script.MARK_ORDER + "္" + " \n" + "aေေြြိုံ\u200b"
+    texts = ["", " ", "ေ", "ေက", "aေြက ိက"] + ["".join(rnd.choice(chars) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    assert clusters.ordered(texts, repair.GLUE) == [repair.order_text(t) for t in texts]
+    rows = spark.createDataFrame([(0, None), (1, "ြေက"), (2, "")], "k int, t string").select("k", clusters.order_column(repair.GLUE)("t").alias("t")).collect()
+    assert {r.k: r.t for r in rows} == {0: None, 1: repair.order_text("ြေက"), 2: ""}
+
+
+def test_walks_go_to_their_end(spark):
+    from corpusmill.operators import graph
+
+    n = 210
+    chain = spark.createDataFrame([(k, [f"k{k}", f"k{k + 1}"]) for k in range(n)] + [(1000, None), (1001, [None])], "row long, keys array<string>")
+    got = {r.row: r.group for r in graph.connected(chain).collect()}
+    assert got == dict.fromkeys(range(n), 0) | {1000: 1000, 1001: 1001}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "src long, dst long")
+    far = graph.reachable(edges, spark.createDataFrame([(0,)], "node long")).collect()
+    assert {r.node: r.depth for r in far} == {k: k for k in range(31)}
