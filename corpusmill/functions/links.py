@@ -171,3 +171,46 @@ def is_token(name: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     s = seconds.cast("bigint")
     return F.when(s >= 3600, F.format_string("%dh %dm", (s / 3600).cast("bigint"), F.pmod((s / 60).cast("bigint"), F.lit(60)))).otherwise(F.format_string("%dm", (s / 60).cast("bigint")))
+
+
+# Agents that copy whole sites, and crawlers that are welcome.
+DOWNLOADER_AGENT = r"(?i)(httrack|webcopier|cyotek|webcopy|teleport\s*pro|offline\s*explorer|webzip|sitesucker|website\s*downloader|webreaper|webstripper|getleft|pavuk|wpull|grab-site|httrack|wget|curl\/|libwww-perl|lwp::simple|python-requests|python-urllib|scrapy|go-http-client|okhttp|apache-httpclient|java\/\d|node-fetch|axios\/)"
+FRIENDLY_AGENT = r"(?i)(googlebot|google-inspectiontool|bingbot|adidxbot|slurp|duckduckbot|baiduspider|yandexbot|applebot|facebookexternalhit|twitterbot|linkedinbot|discordbot|telegrambot|whatsapp|pinterestbot|ia_archiver|uptimerobot|pingdom)"
+
+
+def is_downloader(agent: Column) -> Column:
+    return F.coalesce(agent, F.lit("")).rlike(DOWNLOADER_AGENT)
+
+
+def is_friendly(agent: Column) -> Column:
+    return F.coalesce(agent, F.lit("")).rlike(FRIENDLY_AGENT)
+
+
+def is_document_request(dest: Column, accept: Column) -> Column:
+    """A navigation: by the destination where one is sent, else by what is accepted."""
+    sent = F.lower(F.coalesce(dest, F.lit("")))
+    return F.when(sent != "", sent == "document").otherwise(F.coalesce(accept, F.lit("")).contains("text/html"))
+
+
+def pdf_offset(head: Column, window: int = 1024) -> Column:
+    """Where a PDF's mark starts within its first bytes, from 0; null without one."""
+    at = F.instr(F.left(head, F.lit(window)), "%PDF-")
+    return F.when(at > 0, at - 1)
+
+
+def exclusion(name: Column, families: dict[str, tuple[str, ...]]) -> Column:
+    """The first family of domains that a host belongs to, null for none."""
+    out = F.lit(None).cast("string")
+    for family, domains in reversed(families.items()):
+        found = F.lit(False)
+        for d in domains:
+            found = found | in_domain(name, d)
+        out = F.when(found, family).otherwise(out)
+    return out
+
+
+def ranges_of(spec: Column) -> Column:
+    """``"1-2,5"`` as ordered distinct numbers; a range that runs backwards is null as a whole."""
+    parts = F.filter(F.split(F.regexp_replace(spec, " ", ""), ","), lambda p: p != "")
+    low, high = (lambda p: F.get(F.split(p, "-"), F.lit(0)).try_cast("int")), (lambda p: F.element_at(F.split(p, "-"), -1).try_cast("int"))
+    return F.when(F.forall(parts, lambda p: low(p) <= high(p)), F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p), high(p))))))

@@ -40,7 +40,7 @@ def numbers_of(spec: str) -> list[int]:
 
 def table_row(line: Column) -> Column:
     """Cells of a ``| a | b |`` line; null for other lines and rules."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return F.when(F.trim(line).rlike(r"^\|.*\|$") & ~F.trim(line).rlike(r"^\|[\s:|-]+\|$"), cells)
 
 

@@ -15,6 +15,8 @@ MODULES = (
     "operators.matching",
     "operators.audit",
     "operators.grammar",
+    "operators.column_queries",
+    "operators.source_queries",
 )
 
 

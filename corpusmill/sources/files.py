@@ -152,3 +152,27 @@ def sitemap_locations(xml: DataFrame, column: str = "xml") -> DataFrame:
     """``loc`` of each entry of a sitemap or an index of sitemaps, and which of both it was."""
     index = F.col(column).rlike(r"<(\w+:)?sitemapindex\b")
     return xml.select(F.explode(F.expr(f"xpath({column}, '//*[local-name()=\"loc\"]/text()')")).alias("loc"), index.alias("is_index"))
+
+
+def parquet_codecs(spark: SparkSession, path: str) -> DataFrame:
+    """``path, codec, rows`` of each Parquet file: the codec of its first column chunk and the rows its footer names."""
+    import pyarrow.parquet as pq
+
+    def read(content: bytes) -> Iterator[tuple]:
+        meta = pq.ParquetFile(io.BytesIO(content)).metadata
+        yield meta.row_group(0).column(0).compression if meta.num_row_groups else None, meta.num_rows
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return by_file(found, read, "codec string, rows long")
+
+
+def mapped_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``text, ascii, id`` from ``"text":"ascii":"id"`` lines; a byte order mark, comments and other lines go."""
+    part = lambda k: F.regexp_extract("value", r'^\ufeff?\s*"([^"]*)"\s*:\s*"([^"]*)"\s*:\s*"([^"]*)"\s*$', k)
+    rows = spark.read.text(path).where(~F.trim("value").startswith("#"))
+    return rows.select(part(1).alias("text"), part(2).alias("ascii"), part(3).alias("id")).where("id <> ''")
+
+
+def json_members(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The members of a file that is one JSON array, a row each."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,16 @@ def write_collection(df: DataFrame, path: str, level: int = 19) -> None:
     df.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
 
 
+def rewrite_collection(df: DataFrame, path: str, level: int = 19) -> int:
+    """Write a collection anew and return its number of rows; refused if a row got lost on the way."""
+    seen = Observation("rewritten")
+    write_collection(df.observe(seen, F.count(F.lit(1)).alias("n")), path, level)
+    stored = df.sparkSession.read.parquet(path).count()
+    if stored != seen.get["n"]:
+        raise RuntimeError(f"{seen.get['n']} rows were read, {stored} are stored")
+    return stored
+
+
 def write_lines(df: DataFrame, tokens: str, path: str) -> None:
     """Token arrays as lines, two spaces between tokens, blank tokens left out."""
     df.select(line_format(F.col(tokens)).alias("value")).write.mode("overwrite").text(path)
