@@ -70,10 +70,15 @@ def encoding_facts(spark, sf):
 @C.add("nearest_rank_percentiles", """
 SELECT source, v[CAST(round_even(0.5 * (n - 1), 0) AS INT) + 1] AS p50, v[CAST(round_even(0.9 * (n - 1), 0) AS INT) + 1] AS p90, n FROM (SELECT source, list_sort(list(n_chars)) AS v, count(*) AS n FROM documents GROUP BY source)""")
 def nearest_rank_percentiles(spark, sf):
-    """``values[round(q (n - 1))]`` with half-even rounding, by rank in a window."""
-    w = Window.partitionBy("source")
-    d = load(spark, sf, "documents").select("source", "n_chars", F.row_number().over(w.orderBy("n_chars")).alias("rank"), count().over(w).alias("n"))
-    at = lambda q: F.max(F.when(F.col("rank") == F.bround(F.lit(q) * (F.col("n") - 1), 0) + 1, F.col("n_chars")))
+    """``values[round(q (n - 1))]`` with half-even rounding: values are counted first, then their numbers cumulated."""
+    d = load(spark, sf, "documents").groupBy("source", "n_chars").agg(count().alias("k"))
+    upto = Window.partitionBy("source").orderBy("n_chars").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.select("source", "n_chars", "k", F.sum("k").over(upto).alias("to"), F.sum("k").over(Window.partitionBy("source")).alias("n"))
+
+    def at(q: float) -> Column:
+        rank = F.bround(F.lit(q) * (F.col("n") - 1), 0) + 1
+        return F.max(F.when((rank > F.col("to") - F.col("k")) & (rank <= F.col("to")), F.col("n_chars")))
+
     return d.groupBy("source").agg(at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("n").alias("n"))
 
 

