@@ -163,18 +163,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
     Rows are told apart by id, text and source; rows equal in all three are interchangeable.
     """
-    same = ("doc_id", "tag", "source")
-    taken = _decided(docs, weights, cap, BLOCK).where("size > 0").groupBy(*[F.col(c).alias(f"__mill_{c}") for c in same]).agg(F.sort_array(F.collect_list("copies")).alias("__mill_copies"))
-    rows = docs.withColumn("__mill_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    here = {"doc_id": "doc_id", "tag": "__mill_t", "source": "source"}
-    nth = F.row_number().over(Window.partitionBy(*here.values()).orderBy("__mill_t"))
+    decided = _decided(docs, weights, cap, BLOCK).where("size > 0")
+    taken = decided.groupBy(F.col("tag").alias("__mill_tag"), _who("tag").alias("__mill_who")).agg(F.sort_array(F.collect_list("copies")).alias("__mill_copies"))
+    rows = docs.withColumn("__mill_t", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__mill_w", _who("__mill_t"))
+    # numbered and joined by the same two columns, so that the texts are exchanged once
+    nth = F.row_number().over(Window.partitionBy("__mill_t", "__mill_w").orderBy("__mill_t"))
     rows = rows.withColumn("__mill_nth", nth)
-    met = (F.col("__mill_t") == F.col("__mill_tag")) & F.col("doc_id").eqNullSafe(F.col("__mill_doc_id")) & F.col("source").eqNullSafe(F.col("__mill_source"))
-    rows = rows.join(taken, met).withColumn("__mill_copies", F.get("__mill_copies", F.col("__mill_nth") - 1)).where("__mill_copies > 0")
+    rows = rows.join(taken, (F.col("__mill_t") == F.col("__mill_tag")) & (F.col("__mill_w") == F.col("__mill_who")))
+    rows = rows.withColumn("__mill_copies", F.get("__mill_copies", F.col("__mill_nth") - 1)).where("__mill_copies > 0")
     rows = rows.withColumn("__mill_copy", F.explode(F.sequence(F.lit(1), F.col("__mill_copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _who(tag: str) -> Column:
+    """With ``tag``, what tells a row apart: a hash of id, source and text that isn't null."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", tag)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return decide(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -523,12 +523,13 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     """
     sets, named = _grouped(docs, words, percent)
     tops = _tops(sets, named).select(F.col("row").alias("_row"))
-    kept = sets.join(tops, F.col("row") == F.col("_row")).select(F.col("doc_id").alias("__mill_id"), F.col("tag").alias("__mill_tag"))
+    who = lambda tag: F.xxhash64(F.col("doc_id").isNull(), "doc_id", tag)
+    kept = sets.join(tops, F.col("row") == F.col("_row")).select(F.col("tag").alias("__mill_tag"), who("tag").alias("__mill_who"))
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.where(~wordless).withColumn("__mill_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(kept, (F.col("__mill_t") == F.col("__mill_tag")) & F.col("doc_id").eqNullSafe(F.col("__mill_id")))
-    # rows equal in id and text were kept together: one of them is enough
-    one = Window.partitionBy("__mill_t", "doc_id").orderBy("__mill_t")
+    rows = docs.where(~wordless).withColumn("__mill_t", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__mill_w", who("__mill_t"))
+    rows = rows.join(kept, (F.col("__mill_t") == F.col("__mill_tag")) & (F.col("__mill_w") == F.col("__mill_who")))
+    # rows equal in id and text were kept together: one of them is enough; the exchange is that of the join
+    one = Window.partitionBy("__mill_t", "__mill_w").orderBy("__mill_t")
     rows = rows.withColumn("__mill_nth", F.row_number().over(one)).where("__mill_nth = 1")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns).union(docs.where(wordless).select(*columns))
