@@ -52,7 +52,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = []
             for k in range(len(t.starts)):
                 cols, n = np.unique(b[cut[k] : cut[k + 1]], return_counts=True)
-                made.append((cols.astype("<u4").tobytes(), n.astype("<u4").tobytes()))
+                made.append((cols.astype("<u4").tobytes(), n.astype("u1" if n.max(initial=0) < 256 else "<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(t.rows[0]), len(t.rows)), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.binary())], ["doc_id", "cols", "counts"])
 
 
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = marked.where(dice(F.col("_id")))
     vectors = docs.where(dice(F.col("doc_id"))).select("doc_id", "text").mapInArrow(_vectors, "doc_id long, cols binary, counts binary")
     rows = vectors.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "cols", "counts", "toxic").orderBy("doc_id", "cols", "counts").toPandas()
-    return Model([np.frombuffer(x, "<u4") for x in rows["cols"]], [np.frombuffer(x, "<u4") for x in rows["counts"]], rows["toxic"].to_numpy() > 0)
+    return Model([np.frombuffer(x, "<u4") for x in rows["cols"]], [np.frombuffer(n, "u1" if 4 * len(n) == len(c) else "<u4") for c, n in zip(rows["cols"], rows["counts"], strict=True)], rows["toxic"].to_numpy() > 0)
 
 
 def _scored(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:

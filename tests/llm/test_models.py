@@ -154,7 +154,7 @@ def test_expected_severity_follows_counts():
     texts = [made([0, 0, 1, 3, 8][k % 5]) for k in range(1000)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
     rows = [(c, n) for b in toxicity._vectors(iter([batch])) for c, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-    m = toxicity.Model([np.frombuffer(c, "<u4") for c, _ in rows], [np.frombuffer(n, "<u4") for _, n in rows], np.array([k % 5 > 1 for k in range(1000)]))
+    m = toxicity.Model([np.frombuffer(c, "<u4") for c, _ in rows], [np.frombuffer(n, "u1") for _, n in rows], np.array([k % 5 > 1 for k in range(1000)]))
     assert (np.diff(m.thresholds) > 0).all()
     p = np.concatenate([m.score(t) for t in bytesets.texts(pa.array([made(n) for n in (0, 1, 3, 8, 20)]))])
     severity = p.sum(1)
