@@ -122,6 +122,15 @@ def ordered(texts: list[str], glue: str) -> list[str]:
     return b.texts()
 
 
+def sorted_marks(texts: list[str], glue: str = "") -> list[str]:
+    """Each text without glue, the marks after each base in order, one of each."""
+    b = Batch(texts)
+    b.keep(~np.isin(b.codes, [ord(c) for c in glue]))
+    b.classes()
+    _sort_marks(b)
+    return b.texts()
+
+
 def _sort_marks(b: Batch) -> None:
     """The marks, spaces and line breaks after each base by rank, one of each."""
     rank = b.rank.astype(np.int64)

@@ -17,6 +17,7 @@ MODULES = (
     "operators.grammar",
     "operators.column_queries",
     "operators.source_queries",
+    "operators.variant_queries",
 )
 
 

@@ -137,6 +137,13 @@ def docx_paragraphs(content: bytes, most: int = 1 << 28) -> Iterator[tuple]:
 DOCX = "k long, paragraph string"
 
 
+def headings(paragraphs: DataFrame) -> DataFrame:
+    """``path, k, tag, heading`` of the paragraphs that begin with ``[ZH]`` or ``[MY]``."""
+    mark = r"^\[(ZH|MY)\]\s?"
+    found = paragraphs.where(F.col("paragraph").rlike(mark))
+    return found.select("path", "k", F.regexp_extract("paragraph", mark, 1).alias("tag"), F.regexp_replace("paragraph", mark, "").alias("heading"))
+
+
 def pdf_objects(content: bytes) -> Iterator[tuple]:
     """Number, generation and dictionary text of each plain object of a PDF file."""
     if b"%PDF-" not in content[:1024]:

@@ -114,7 +114,7 @@ def text_bytes(token: bytes) -> bytes:
 def character_map(data: bytes) -> dict[int, str]:
     """Codes to text from ``bfchar`` and ``bfrange`` sections; two-byte codes are marked by key -1."""
     out: dict[int, str] = {}
-    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "surrogatepass")  # noqa: E731  # halves of a pair meet in shown()
     hexes = lambda s: re.findall(rb"<([0-9A-Fa-f]+)>", s)
     for part in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
         h = hexes(part)
@@ -139,7 +139,8 @@ def shown(raw: bytes, codes: dict[int, str] | None) -> str:
     if not codes:
         return raw.decode("latin-1")
     step = 2 if -1 in codes else 1
-    return "".join(codes.get(int.from_bytes(raw[k : k + step], "big"), "") for k in range(0, len(raw), step))
+    text = "".join(codes.get(int.from_bytes(raw[k : k + step], "big"), "") for k in range(0, len(raw), step))
+    return text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
 
 
 def lines(data: bytes, fonts: dict[bytes, dict[int, str] | None]) -> list[tuple[float, float, float, str]]:
@@ -203,3 +204,11 @@ def pages(content: bytes) -> Iterator[tuple]:
         data = b"\n".join(pdf.stream(pdf.objects.get(c, b"")) for c in pdf.refs(body, b"Contents"))
         found = lines(data, pdf.fonts(body))
         yield k, [{"x": a, "y": b, "size": c, "text": t} for a, b, c, t in found], "\n".join(t for *_, t in found)
+
+
+METADATA = "field string, value string"
+
+
+def metadata(content: bytes) -> Iterator[tuple]:
+    """Fields of the document's description and their values; for :func:`files.by_file`."""
+    yield from Pdf(content).info().items()

@@ -58,3 +58,8 @@ def without(ledger: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_json_in_order(df: DataFrame, key: str, path: str) -> None:
     df.orderBy(key).write.mode("overwrite").json(path)
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Append records to a journal; a write that fails leaves none."""
+    df.write.mode("append").json(path)
