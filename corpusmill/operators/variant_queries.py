@@ -205,7 +205,7 @@ def fragment_classes(spark, sf):
     for c in ("token", "t1", "t2", "t3"):
         at = at.join(words.select(F.col("word").alias(c), F.lit(True).alias(f"is_{c}")), c, "left")
     is_ = lambda c: F.coalesce(f"is_{c}", F.lit(False))
-    kind = F.when(is_("token"), "word").when(is_("t1") | is_("t2") | is_("t3"), "unit").when(F.col("token").rlike("^[A-Za-z]+$"), "loan").otherwise("unknown")
+    kind = F.when(is_("token"), "word").when(is_("t1") | is_("t2") | is_("t3"), "unit").when(F.col("token").rlike(r"^[A-Za-z]+\z"), "loan").otherwise("unknown")
     return at.groupBy(kind.alias("class")).agg(F.sum("n").alias("n"))
 
 

@@ -18,6 +18,8 @@ MODULES = (
     "operators.column_queries",
     "operators.source_queries",
     "operators.variant_queries",
+    "operators.particles",
+    "operators.engine_queries",
 )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import registry
 from corpusmill.functions import clusters, layout, legacy_rules, repair, script
+from corpusmill.functions.tries import surface_class
 from corpusmill.sources import files, pdf, writers
 
 SF = "/root/testdata/sf0.001"
@@ -178,3 +179,55 @@ def test_json_is_in_order(spark, tmp_path):
     sinks.write_json_in_order(spark.range(1000).selectExpr("(id * 389) % 1000 as id").repartition(5), "id", f"{tmp_path}/m")
     found = [int(re.search(r"\d+", x)[0]) for p in sorted((tmp_path / "m").glob("part-*")) for x in p.read_text().split()]
     assert found == list(range(1000))
+
+
+def test_engine_by_signature(spark, texts):
+    import zlib
+
+    seen = {}
+    for t, _ in texts.values():
+        for s in {t[k : k + n] for k in range(len(t)) for n in (1, 2)}:
+            if re.fullmatch("[က-႟]{1,2}", s):
+                seen[s] = seen.get(s, 0) + 1
+    ids = {s: "S" + s.encode().hex().upper() for s, n in seen.items() if n >= 3}
+    tags = lambda i: (["n"], ["v"], ["n", "v"], ["p", "q"])[zlib.crc32(i.encode()) % 4]
+    lines, sites, merged = {}, {}, {}
+    for d, (t, _) in texts.items():
+        pieces, k = [], 0
+        while k < len(t):
+            end = t.find("}", k) + 1 if t[k] == "{" else 0
+            n = end - k if end else next((n for n in (2, 1) if len(t[k : k + n]) == n and t[k : k + n] in ids), 1)
+            if not t[k].isspace():
+                pieces.append(t[k : k + n])
+            k += n if not t[k].isspace() else 1
+        tokens, k = [], 0
+        while k < len(pieces):
+            i = ids.get(pieces[k])
+            if pieces[k] == "။":
+                found, n = ["eos"], 1
+            elif i is None:
+                found, n = [surface_class(pieces[k])], 1
+            elif k + 1 < len(pieces) and ids.get(pieces[k + 1]) == i:
+                found, n = ["r"], 2
+            else:
+                found, n = tags(i), 1
+            tokens.append(("".join(pieces[k : k + n]), "".join(ids.get(p, "") for p in pieces[k : k + n]), found, n))
+            k += n
+        final = lambda f: "rbvn" if set(f) == {"n", "v"} else f[0]
+        lines[d] = md5("  ".join(pieces))
+        sites[d] = (len(tokens), sum(len(f) > 1 for _, _, f, _ in tokens), md5(" ".join(f"{s}{{{final(f)}}}" for s, _, f, _ in tokens)))
+        merged[d] = (len(pieces), len(tokens), md5(" ".join(i for _, i, _, _ in tokens)))
+    run = lambda name: registry.queries()[name](spark, SF).collect()
+    assert {r.doc_id: r.digest for r in run("engine_public")} == lines
+    assert {r.doc_id: (r.tokens, r.ambiguous, r.digest) for r in run("engine_site")} == sites
+    assert {r.doc_id: (r.ids, r.merged, r.digest) for r in run("engine_debugger")} == merged
+
+
+def test_particles(spark):
+    from corpusmill.operators import particles
+
+    rows = [("a", 0, "သူ", ["n"]), ("a", 1, "က", None), ("a", 2, "စား", ["v"]), ("a", 3, "သည်", []), ("b", 0, "မနေ့က", []), ("b", 1, "စား", ["v"]), ("b", 2, "သည်", []), ("b", 3, None, None), ("c", 0, "၅", ["num"]), ("c", 1, "ခု", []), ("c", 2, "ပင်", []), ("d", 0, "က", [])]
+    tokens = spark.createDataFrame(rows, "sentence string, k int, text string, tags array<string>")
+    got = {(r.sentence, r.k, r.scope) for r in particles.classify(tokens, sets={"classifier": ("ခု",)}).collect()}
+    assert got == {("a", 1, "subject_marker"), ("a", 3, "present_tense"), ("b", 2, "past_tense"), ("c", 1, "classifier"), ("c", 2, "focus_emphasis")}
+    assert particles.classify(tokens.where("false")).count() == 0
