@@ -231,3 +231,14 @@ def test_particles(spark):
     got = {(r.sentence, r.k, r.scope) for r in particles.classify(tokens, sets={"classifier": ("ခု",)}).collect()}
     assert got == {("a", 1, "subject_marker"), ("a", 3, "present_tense"), ("b", 2, "past_tense"), ("c", 1, "classifier"), ("c", 2, "focus_emphasis")}
     assert particles.classify(tokens.where("false")).count() == 0
+
+
+def test_targets_of_a_page():
+    from corpusmill.functions.controls import targets
+
+    page = """<base href="/b/"><a href="x.pdf"> A <i>b</i></a><a href="#top">top</a><form action="f.docx"><input type=submit formaction="g.docx" title="T"><a href="y">in <a>form</form>
+    <button onclick="open('h.pdf', &quot;i.pdf&quot;)">Go</button><div data-x="j.pdf"/><img src="k.pdf"> https:\\/\\/mega.nz/f.)"""
+    found = [(c["url"], c["label"], c["kind"]) for c in targets(page, "http://h.example/p?q=1")]
+    assert [f[0] for f in found] == [*(f"http://h.example/b/{x}" for x in ("x.pdf", "f.docx", "g.docx", "y", "h.pdf", "i.pdf", "j.pdf")), "https://mega.nz/f"]
+    assert found[0] == ("http://h.example/b/x.pdf", "A b", "anchor") and found[2][1:] == ("T", "attribute") and found[4][1:] == ("Go", "code") and found[-1][2] == "plain"
+    assert targets(None, None) == [] and targets("<a href='http://[bad'>x</a>", "http://h/")[1:] == []
