@@ -20,6 +20,7 @@ MODULES = (
     "operators.variant_queries",
     "operators.particles",
     "operators.engine_queries",
+    "operators.clauses",
 )
 
 

@@ -242,3 +242,16 @@ def test_targets_of_a_page():
     assert [f[0] for f in found] == [*(f"http://h.example/b/{x}" for x in ("x.pdf", "f.docx", "g.docx", "y", "h.pdf", "i.pdf", "j.pdf")), "https://mega.nz/f"]
     assert found[0] == ("http://h.example/b/x.pdf", "A b", "anchor") and found[2][1:] == ("T", "attribute") and found[4][1:] == ("Go", "code") and found[-1][2] == "plain"
     assert targets(None, None) == [] and targets("<a href='http://[bad'>x</a>", "http://h/")[1:] == []
+
+
+def test_clauses_and_order(spark):
+    from corpusmill.operators import clauses
+
+    rows = [("s", 0, "က", []), ("s", 1, "a", ["n"]), ("s", 2, "b", ["v"]), ("s", 3, "ကို", []), ("s", 4, "c", ["n"]), ("s", 5, "က", []), ("s", 6, "d", ["v"]), ("s", 7, "မှာ", []), ("e", 0, None, None)]
+    t = spark.createDataFrame(rows, "sentence string, k int, text string, tags array<string>")
+    assert sorted((r.first, r.last, r.particle) for r in clauses.clauses(t, clauses.ENDS["noun"]).collect()) == [(0, 3, "ကို"), (4, 7, "မှာ")]
+    assert clauses.clauses(t, clauses.ENDS["adverb"]).count() == 0
+    more = [("p", 0, "x", ["n"]), ("p", 1, "သော", []), ("p", 2, "y", ["v"]), ("p", 3, "တွင်", []), ("p", 4, "z", ["n"]), ("p", 5, "သော", [])]
+    t = t.union(spark.createDataFrame(more, t.schema))
+    found = {(r.sentence, r.k, r.rule, r.right, r.wanted, r.distance) for r in clauses.word_order(t).collect()}
+    assert found == {("s", 5, 207, True, None, None), ("p", 1, 208, False, "z", 3), ("p", 3, 209, False, None, None)}
