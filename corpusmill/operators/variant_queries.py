@@ -274,7 +274,7 @@ def zip_member_scan(spark, sf):
     """Members of archives, from their directories; an archive holds at most a hundred ids of one source."""
     name = F.concat("doc_id", F.when(F.col("doc_id") % 3 == 0, ".PDF").otherwise(".txt"))
     member = F.struct(name.alias("name"), F.encode("t", "utf-8").alias("data"))
-    d = _docs(spark, sf).groupBy("source", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.collect_list(member).alias("members"))
+    d = _docs(spark, sf).groupBy("source", F.coalesce(F.floor(F.col("doc_id") / 100), F.pmod(F.xxhash64("t"), F.lit(1 << 20))).alias("part")).agg(F.collect_list(member).alias("members"))
     d = d.select(F.col("source").alias("path"), writers.archive(F.col("members")).alias("content")).where("path is not null")
     return files.by_file(d, files.zip_members, files.ZIP).select(F.col("path").alias("source"), "name", "size", "pdf")
 
