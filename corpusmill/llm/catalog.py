@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, media, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, weak_quality
+from . import (
+    bpe,
+    conversation_repair,
+    langid,
+    line_dedup,
+    media,
+    mixing,
+    ngram_join,
+    quality_rules,
+    source_divergence,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    weak_quality,
+)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,9 +29,14 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_bpe": bpe.query,
     "op10_source_mixing": mixing.query,
+    "op11_recompression": substring_dedup.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_source_divergence": source_divergence.query,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
     "op6_quality_rules": quality_rules.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
+    "op13_source_divergence": source_divergence.SQL,
 }

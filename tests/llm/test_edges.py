@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, langid, line_dedup, media, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, weak_quality
+from corpusmill.llm import bpe, langid, line_dedup, media, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup, toxicity, weak_quality
 
 from . import brute
 
@@ -24,10 +24,11 @@ def operators(spark, labels):
         "ngram": ngram_join.similar,
         "bpe": bpe.digests,
         "mix": mixing.decide,
+        "recompression": substring_dedup.digests,
     }
 
 
-NAMES = ["suffix", "media", "lines", "line text", "weak", "toxic", "clean", "rules", "lang", "ngram", "bpe", "mix"]
+NAMES = ["suffix", "media", "lines", "line text", "weak", "toxic", "clean", "rules", "lang", "ngram", "bpe", "mix", "recompression"]
 
 
 @pytest.mark.parametrize("name", NAMES)
