@@ -41,7 +41,8 @@ from .suffix_dedup import _by_part, _dealt, _of_row, _ranges, _spans
 from .suffix_dedup import PARTS as _PARTS
 
 LENGTH = 20
-ROUNDS = ("pair", "pair", "run", "pair", "pair", "pair", "run", "pair", "pair")
+#: Symbols of up to eight words and longer runs: more rounds make names rarer, but fewer windows take the same symbol.
+ROUNDS = ("pair", "run", "pair", "pair")
 SEGMENT = 1 << 17
 BUFFER = 1 << 20
 NO_ID = -(2**63)
