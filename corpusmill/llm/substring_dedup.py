@@ -17,7 +17,7 @@ but for the window's first occurrence.
 Tasks settle first what they can alone: of a window that a task holds more than once, one goes on, so a
 hot passage costs at most an entry a task.  What is left of a hot name is the different windows around it;
 names that are frequent in a fixed share of the rows (a list of at most ``HOT`` a partition) are
-dealt by name *and* digest.  Every partition is smaller ranges, held one at a time, and long
+dealt by name *and* digest.  Repeated windows go back to their rows packed by ranges of rows.  Every partition is smaller ranges, held one at a time, and long
 texts are handled in pieces, since a symbol within a window doesn't depend on what is outside.
 
 Rows are told apart by id and text hash.  A null id comes before all others; rows that share an id are in the order of their text
@@ -211,7 +211,7 @@ def _first_of(name: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return first
 
 
-def _window_rows(doc, tag, at, kind: int, parts: int) -> pa.RecordBatch | None:
+def _settled_rows(doc, tag, at, parts: int) -> pa.RecordBatch | None:
     """Rows of covered windows, one a document, as ``(first, last)`` pairs; input sorted by document and place."""
     if not len(doc):
         return None
@@ -222,7 +222,7 @@ def _window_rows(doc, tag, at, kind: int, parts: int) -> pa.RecordBatch | None:
     edge = np.searchsorted(cut, np.r_[start, len(at)])
     blobs = [ranges[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
     doc, tag = doc[start], tag[start]
-    return pa.RecordBatch.from_arrays([pa.array(_of_row(doc, tag, parts)), pa.array([kind] * len(doc), pa.int32()), pa.array(doc), pa.array(tag), pa.array(blobs, pa.binary())], [c.split()[0] for c in ROWS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(_of_row(doc, tag, parts)), pa.array([SETTLED] * len(doc), pa.int32()), pa.array(doc), pa.array(tag), pa.array(blobs, pa.binary())], [c.split()[0] for c in ROWS.split(", ")])
 
 
 def _task(held: list[tuple[np.ndarray, ...]], parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def _task(held: list[tuple[np.ndarray, ...]], parts: int, hot: np.ndarray) -> It
     there = first[other]
     # a row equal to another in id and text holds the same window at the same place: that isn't another one
     other = other[(doc[entry[other]] != doc[entry[there]]) | (tag[entry[other]] != tag[entry[there]]) | (place[other] != place[there])]
-    if (rows := _window_rows(doc[entry[other]], tag[entry[other]], place[other], SETTLED, parts)) is not None:
+    if (rows := _settled_rows(doc[entry[other]], tag[entry[other]], place[other], parts)) is not None:
         yield rows
     entry, place, digest = entry[lead], place[lead], digest[lead]
     alone = np.isin(name, hot)[entry]
@@ -298,44 +298,63 @@ def _names(length: int):
 
 
 def _verified(parts: int):
-    """Entries of names to the windows that aren't the first of theirs, gathered by document over a partition's ranges."""
+    """Entries of names to the windows that aren't the first of theirs, and windows that pass, packed by ranges of rows."""
 
     def flush(held):
-        doc, tag, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, tag, doc))
-        return _window_rows(doc[order], tag[order], at[order], SETTLED, parts)
+        doc, tag, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = _of_row(doc, tag, parts)
+        order = np.lexsort((first, tag, doc, part))
+        part, cols = part[order], [x[order] for x in (doc, tag, first, last)]
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        blobs = [bytesets.pack(*(c[a:b] for c in cols)) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for kinds, docs, tags, blobs in _by_part(batches, "kind", "doc", "tag", "blob"):
-            passing = [k for k, kind in enumerate(kinds) if kind == SETTLED]
+            passing = [(d, g, np.frombuffer(b, "<i8").reshape(-1, 2)) for k, d, g, b in zip(kinds, docs, tags, blobs, strict=True) if k == SETTLED]
             if passing:
-                cols = [[x[k] for k in passing] for x in (docs, tags, blobs)]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(passing), pa.int32()), pa.array([SETTLED] * len(passing), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], [c.split()[0] for c in ROWS.split(", ")])
+                sizes = [len(r) for _, _, r in passing]
+                ranges = np.concatenate([r for _, _, r in passing])
+                held.append((np.repeat(np.array([d for d, _, _ in passing], np.int64), sizes), np.repeat(np.array([g for _, g, _ in passing], np.int64), sizes), ranges[:, 0], ranges[:, 1]))
+                n += len(ranges)
             lists = [bytesets.unpack(b) for b, kind in zip(blobs, kinds, strict=True) if kind == ENTRIES]
-            if not lists:
-                continue
-            doc, tag, at, name, size, digest = (np.concatenate(x) for x in zip(*lists, strict=True))
-            size = size.astype(np.int64)
-            start = np.r_[0, np.cumsum(size)[:-1]]
-            order = np.lexsort((at, tag, doc))
-            digest = digest[_expanded(start[order], size[order])]
-            doc, tag, at, name, size = (x[order] for x in (doc, tag, at.astype(np.int64), name, size))
-            place, entry = _expanded(at, size), np.repeat(np.arange(len(size)), size)
-            first = _first_of(name[entry], digest)
-            here = np.flatnonzero((doc[entry] != doc[entry[first]]) | (tag[entry] != tag[entry[first]]) | (place != place[first]))
-            if len(here):
-                held.append((doc[entry[here]], tag[entry[here]], place[here]))
-                n += len(here)
-                if n >= BUFFER:
-                    yield flush(held)
-                    held, n = [], 0
-        if held:
+            if lists:
+                doc, tag, at, name, size, digest = (np.concatenate(x) for x in zip(*lists, strict=True))
+                lists.clear()
+                size = size.astype(np.int64)
+                start = np.r_[0, np.cumsum(size)[:-1]]
+                order = np.lexsort((at, tag, doc))
+                digest = digest[_expanded(start[order], size[order])]
+                doc, tag, at, name, size = (x[order] for x in (doc, tag, at.astype(np.int64), name, size))
+                place, entry = _expanded(at, size), np.repeat(np.arange(len(size)), size)
+                first = _first_of(name[entry], digest)
+                here = np.flatnonzero((doc[entry] != doc[entry[first]]) | (tag[entry] != tag[entry[first]]) | (place != place[first]))
+                if len(here):
+                    cut = np.flatnonzero(np.r_[True, (np.diff(entry[here]) != 0) | (np.diff(place[here]) != 1)])
+                    mine = entry[here[cut]]
+                    held.append((doc[mine], tag[mine], place[here[cut]], place[here[np.r_[cut[1:], len(here)] - 1]]))
+                    n += len(cut)
+            if n >= BUFFER:
+                yield flush(held)
+                held, n = [], 0
+        if n:
             yield flush(held)
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_doc, _tag, windows``: all ranges of repeated windows of each row."""
+    for (blobs,) in _by_part(batches, "blob"):
+        doc, tag, first, last = (np.concatenate(x) for x in zip(*map(bytesets.unpack, blobs), strict=True))
+        order = np.lexsort((first, tag, doc))
+        doc, tag, ranges = doc[order], tag[order], np.stack([first[order], last[order]], axis=1).astype("<i8")
+        edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]), True])
+        windows = [ranges[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(tag[edge[:-1]]), pa.array(windows, pa.binary())], ["_doc", "_tag", "windows"])
+
+
 def _frequent(keyed: DataFrame, n: int, length: int) -> np.ndarray:
     """Names with most entries in one of ``HOT_ONE_IN`` rows by hash, at most ``HOT`` a partition; they only decide how entries are dealt."""
     part = keyed.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(HOT_ONE_IN)) == 0)
@@ -352,14 +371,14 @@ def repeated_words(docs: DataFrame, make, schema: str, length: int = LENGTH) ->
     doc, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tag")
     keyed = docs.select(doc, tag, "text")
     sent = keyed.mapInArrow(_sent(parts, _frequent(keyed, n, length), length), ROWS)
-    found = _dealt(sent, n).mapInArrow(_verified(parts), ROWS)
-    windows = found.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("blob").alias("windows"))
+    found = _dealt(sent, n).mapInArrow(_verified(parts), "part int, blob binary")
+    windows = _dealt(found, n).mapInArrow(_gathered, "_doc long, _tag long, windows binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc, tag, text.alias("text"))
     rows = texts.join(windows.hint("shuffle_hash"), (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "windows")
 
     def apply(batches):
         for batch in bytesets.slices(batches):
-            yield make(batch.column(0), batch.column(1), [_spans(w, length) for w in batch.column(2).to_pylist()])
+            yield make(batch.column(0), batch.column(1), [_spans(w and [w], length) for w in batch.column(2).to_pylist()])
 
     return rows.mapInArrow(apply, schema)
 
