@@ -3,7 +3,10 @@
 The distinct words of a run of texts lie as symbols in one flat array.  In each round every
 neighbouring pair inside a word is looked up by binary search in the sorted pair keys of the
 merge table; each word applies its lowest-rank pair, at all its places from the left, until no
-word has a pair left.  Words seen before are taken from a bounded table.
+word has a pair left.  Words over ``LONG`` bytes (texts in scripts without spaces are such words) keep their
+symbols in a linked list instead and their places in a queue by rank: a round takes the places of the lowest
+rank of all, and only pairs beside them are looked up anew.  That applies the same merges, as a token that exists
+by one merge alone is in pairs of later ranks only.  Words seen before are taken from a table of bounded bytes.
 
 The vocabulary is read from a tokenizer file given by path; it is not part of the library.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,9 @@ from . import bytesets
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The word pattern of byte-level BPE, with white space spelled out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-KNOWN_LIMIT = 150_000
+KNOWN_BYTES = 32 << 20
+KNOWN_ENTRY = 200  # about what a table entry takes beside its bytes
+LONG = 512
 NONE = np.iinfo(np.int64).max
 
 
@@ -55,7 +61,10 @@ class Codec:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, np.ndarray] = {}
+        #: Whether some token comes from two merges: then a merge may make a pair of lower rank, and places go one by one.
+        self.twofold = len(np.unique(self.merged)) < len(self.merged)
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _ranks(self, symbols: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The rank of the pair that starts at each symbol, NONE where there is none."""
@@ -68,8 +77,62 @@ class Codec:
             rank[inside[hit]] = self.ranks[at[hit]]
         return rank
 
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], NONE)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Token ids of one word, in about the time of its merges."""
+        n = len(word)
+        symbols = self.first[np.frombuffer(word, np.uint8)]
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank = np.full(n, NONE)  # of the pair that starts at each place
+        rank[:-1] = self._pair_ranks(symbols[:-1], symbols[1:])
+        queue: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enqueue(places: np.ndarray) -> None:
+            places = places[rank[places] != NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            of = rank[places]
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+            for r, some in zip(of[start].tolist(), np.split(places, start[1:]), strict=bool(len(of))):
+                if r not in queue:
+                    heappush(heap, r)
+                queue.setdefault(r, []).append(some)
+
+        enqueue(np.arange(n - 1))
+        while heap:
+            lowest = heappop(heap)
+            places = np.unique(np.concatenate(queue.pop(lowest)))
+            places = places[rank[places] == lowest]
+            if not len(places):
+                continue
+            # of overlapping places (a run of one symbol) every second one counts, from the left
+            order = np.arange(len(places))
+            start = np.maximum.accumulate(np.where(np.r_[True, after[places[:-1]] != places[1:]], order, 0))
+            left = places[(order - start) % 2 == 0]
+            if self.twofold:
+                left = left[:1]
+            gone = after[left]
+            symbols[left], rank[gone], alive[gone], after[left] = self.merged[lowest], NONE, False, after[gone]
+            inner = left[after[left] < n]
+            before[after[inner]] = inner
+            near = np.unique(np.r_[left, before[left][before[left] >= 0]])
+            rank[near] = NONE
+            some = near[after[near] < n]
+            rank[some] = self._pair_ranks(symbols[some], symbols[after[some]])
+            enqueue(np.r_[near, places] if self.twofold else near)
+        return symbols[alive].astype(np.uint32)
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.merge([w for w in words if len(w) <= LONG]))
+            return [self.merge_long(w) if len(w) > LONG else next(short) for w in words]
+        if not words:
+            return []
         sizes = np.array([len(w) for w in words])
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -115,11 +178,14 @@ class Codec:
         known = self.known
         new = {w for p in parts for w in p if w not in known and isinstance(w, str)}
         if new:
-            if len(known) + len(new) > KNOWN_LIMIT:
+            if self.held > KNOWN_BYTES:
                 known.clear()
+                self.held = 0
                 new = {w for p in parts for w in p if isinstance(w, str)}
             words = list(new)
-            known.update(zip(words, (x.tobytes() for x in self.merge([w.encode() for w in words])), strict=True))
+            merged = [x.tobytes() for x in self.merge([w.encode() for w in words])]
+            known.update(zip(words, merged, strict=True))
+            self.held += sum(4 * len(w) + len(x) + KNOWN_ENTRY for w, x in zip(words, merged, strict=True))
         known.update((i, np.array([i], np.uint32).tobytes()) for i in self.special.values())
         return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint32) for p in parts]
 
@@ -192,7 +258,10 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: each text encoded, then decoded again."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: each text encoded, then decoded again.
+
+    A null text counts as an empty one, with no tokens; repeated rows and rows without an id get a row each.  Other columns aren't read.
+    """
     path = path or default_path()
 
     def run(batches):

@@ -6,7 +6,8 @@ its grams and whole texts are scored in one vectorised pass.  The family is chos
 support vector machines, one family against the rest; within a family, every two languages have a
 machine of their own and the language with most wins (then the largest margin) is taken.
 
-Training reads a bounded sample: at most ``PER_LANG`` documents a language, those of lowest hash.
+Training reads a bounded sample: at most ``PER_LANG`` different documents, those of least hash, of each of at most
+``MAX_LANGS`` languages, those of most documents.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytesets
+from . import bytesets, sampling
 
 BITS = 17
 PER_LANG = 400
+MAX_LANGS = 64
 ROUNDS = 120
 FOLDS = 5
 UNKNOWN = "und"
@@ -195,29 +197,26 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([langs.slice(int(t.rows[0]), len(t.rows)), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["lang", "cols", "vals"])
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """A model of the non-null ``lang`` of ``docs`` from at most ``per_lang`` documents of each.
+def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+    """A model of the ``max_langs`` most frequent non-null ``lang`` of ``docs``, from at most ``per_lang`` documents of each.
 
-    A language's rate of sampling follows from its number of documents, so the documents of lowest
-    hash are read; the driver gets bounded vectors (at most ``2**BITS`` buckets each), no texts.
+    Of equally frequent ones the first by name are learned; a language beyond that isn't, so values that are no
+    languages cost neither memory nor machines.  The driver gets bounded vectors (at most ``2**BITS`` buckets each), no texts.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
-    if not counts:
-        return Model([], {})
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))]), F.col("lang"))
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.where(dice < rate).select("text", "lang").mapInArrow(_vectors, "lang string, cols binary, vals binary")
-    rows: dict[str, list] = {x: [] for x in counts}
+    sample = sampling.bounded(labelled, per_lang, ["text", "lang"], F.col("lang"), max_langs).mapInArrow(_vectors, "lang string, cols binary, vals binary")
+    rows: dict[str, list] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["cols"], r["vals"])):  # a bounded sample
-        rows[r["lang"]].append((np.frombuffer(r["cols"], "<u4"), np.frombuffer(r["vals"], "<f4")))
-    return Model([x for x in counts if rows[x]], rows)
+        rows.setdefault(r["lang"], []).append((np.frombuffer(r["cols"], "<u4"), np.frombuffer(r["vals"], "<f4")))
+    return Model(sorted(rows), rows)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each whole text.
 
-    A null text or one without a letter is ``und`` with score 0; so is everything when nothing was learned.
+    A null text or one without a letter is ``und`` with score 0; so is everything when nothing was learned.  Rows with
+    equal texts, repeated ids or none get equal languages; a row without an id isn't held out.  Languages with equally many wins
+    go by the larger sum of margins, then by the later name.  Other columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -227,7 +226,9 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             for t in bytesets.texts(batch.column(1), 1 << 18):
                 ids = batch.column(0).slice(int(t.rows[0]), len(t.rows))
                 lang, score = m.predict(t)
-                for k, (a, b) in enumerate(zip(t.starts.tolist(), t.ends.tolist(), strict=True)):
+                plain = np.r_[0, np.cumsum(_LETTER[t.data] & (t.data < 128))]
+                for k in np.flatnonzero(plain[t.ends] == plain[t.starts]).tolist():  # no Latin letter: perhaps another one
+                    a, b = int(t.starts[k]), int(t.ends[k])
                     if not _ANY_LETTER.search(t.data[a:b].tobytes().decode("utf-8", "replace")):
                         lang[k], score[k] = UNKNOWN, 0.0
                 held = [x is not None and fold_of(str(x)) == 0 for x in ids.to_pylist()]

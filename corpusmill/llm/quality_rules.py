@@ -62,40 +62,46 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that the rules use, as ``bigint`` columns.
 
     The word array is built once a row; repeated three-word windows are found from a sorted array
-    of (hash, place), and only in rows whose distinct windows are fewer than their windows.
+    of (hash, place), and only in rows whose distinct windows are fewer than their windows.  Columns named like
+    a count are replaced by it, all others stay: working columns are named apart from them.  Repeated rows are
+    measured each, a null text is empty.
     """
-    own = ("_text", "_words", "_lines", "_grams", "_sorted", "_marks")
-    kept = [c for c in docs.columns if c not in own]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    df = df.select("*", F.array_remove(F.split("_text", SPACES), "").alias("_words"), F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
-    grams = F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))))
-    df = df.select("*", grams.alias("_grams"))
-    df = df.select("*", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_sorted"))
-    same = lambda j, e: F.coalesce(F.get("_sorted", j)["h"] == e["h"], F.lit(False))
-    marked = F.transform("_sorted", lambda e, j: F.when(same(j - 1, e) | same(j + 1, e), e["i"]))
-    df = df.select("*", F.sort_array(F.filter(marked, lambda x: x.isNotNull())).alias("_marks"))
-    gain = F.transform("_marks", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("_marks", j + 1) - x, F.lit(3))))
-    stop = F.filter("_words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(*STOP_WORDS))
+    kept, own = docs.columns, "rules_"
+    while any(c.lower().startswith(own) for c in kept):
+        own = "_" + own
+    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(f"{own}text"))
+    df = df.select("*", F.array_remove(F.split(f"{own}text", SPACES), "").alias(f"{own}words"), F.filter(F.split(f"{own}text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(f"{own}lines"))
+    grams = F.when(F.size(f"{own}words") >= 3, F.transform(F.sequence(F.lit(0), F.size(f"{own}words") - 3), lambda i: F.xxhash64(F.get(f"{own}words", i), F.get(f"{own}words", i + 1), F.get(f"{own}words", i + 2))))
+    df = df.select("*", grams.alias(f"{own}grams"))
+    df = df.select("*", F.when(F.size(F.array_distinct(f"{own}grams")) < F.size(f"{own}grams"), F.sort_array(F.transform(f"{own}grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias(f"{own}sorted"))
+    same = lambda j, e: F.coalesce(F.get(f"{own}sorted", j)["h"] == e["h"], F.lit(False))
+    marked = F.transform(f"{own}sorted", lambda e, j: F.when(same(j - 1, e) | same(j + 1, e), e["i"]))
+    df = df.select("*", F.sort_array(F.filter(marked, lambda x: x.isNotNull())).alias(f"{own}marks"))
+    gain = F.transform(f"{own}marks", lambda x, j: F.least(F.lit(3), F.coalesce(F.get(f"{own}marks", j + 1) - x, F.lit(3))))
+    stop = F.filter(f"{own}words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(*STOP_WORDS))
     counts = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
-        "n_symbols": F.regexp_count("_text", F.lit("[#*$%&|<>]")),
-        "n_shouts": F.regexp_count("_text", F.lit("!")),
+        "n_words": F.size(f"{own}words"),
+        "word_chars": F.length(F.array_join(f"{own}words", "")),
+        "n_symbols": F.regexp_count(f"{own}text", F.lit("[#*$%&|<>]")),
+        "n_shouts": F.regexp_count(f"{own}text", F.lit("!")),
         "n_stop": F.size(stop),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_lines": F.size(f"{own}lines"),
+        "n_dup_lines": F.size(f"{own}lines") - F.size(F.array_distinct(f"{own}lines")),
         "n_repeat_words": F.coalesce(F.aggregate(gain, F.lit(0), lambda a, b: a + b), F.lit(0)),
     }
-    return df.select(*[F.col(f"`{c}`") for c in kept if c not in counts], *[c.cast("bigint").alias(n) for n, c in counts.items()])
+    return df.select(*[F.col(f"`{c}`") for c in kept if c.lower() not in counts], *[c.cast("bigint").alias(n) for n, c in counts.items()])
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with its counts, ``base_failed``, the names of broken rules and ``kept``."""
+    """``docs`` with its counts, ``base_failed``, ``broken_rules`` (names) and ``kept``.
+
+    A column of ``docs`` that is named like a result is replaced by it; no other is lost.
+    """
     df = measure(docs, text)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     broken = F.filter(F.array(*[F.when(~r.holds(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     own = ("base_failed", "broken_rules", "kept")
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own], base.alias("base_failed"), broken.alias("broken_rules"))
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own], base.alias("base_failed"), broken.alias("broken_rules"))
     return df.select("*", (~F.col("base_failed") & (F.size("broken_rules") == 0)).alias("kept"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytesets
+from . import bytesets, sampling
 
 BITS = 32
 SAMPLE = 8_000
@@ -144,17 +144,20 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most about ``sample`` labelled documents; null labels are left out.
+    """Fit on at most ``sample`` labelled documents; null labels are left out.
 
-    The documents are thinned by a hash of their id before their words are read and the labels joined;
-    the driver gets distinct buckets with counts, no texts.
+    Of the labelled ids the ``sample`` of least hash are taken (a repeated label is toxic if one of its rows
+    is), and of the rows with these ids again at most ``sample`` different ones, so a repeated id neither floods the
+    driver nor is left out.  The driver gets distinct buckets with counts, no texts.
     """
     marked = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
-    n = marked.count()
-    dice = lambda c: F.pmod(F.xxhash64(c, F.lit("toxicity")), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20))
-    marked = marked.where(dice(F.col("_id")))
-    vectors = docs.where(dice(F.col("doc_id"))).select("doc_id", "text").mapInArrow(_vectors, "doc_id long, cols binary, counts binary")
-    rows = vectors.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "cols", "counts", "toxic").orderBy("doc_id", "cols", "counts").toPandas()
+    marked = marked.where("_id IS NOT NULL").orderBy(F.xxhash64("_id", F.lit("toxicity")), "_id").limit(sample)
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(marked.collect(), "_id long, toxic int")  # at most ``sample`` rows of two numbers
+    labelled = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    vectors = sampling.bounded(labelled, sample, ["doc_id", "text"]).mapInArrow(_vectors, "doc_id long, cols binary, counts binary")
+    rows = vectors.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "cols", "counts", "toxic").toPandas()
+    rows = rows.sort_values(["doc_id", "cols", "counts"], kind="stable")  # a bounded sample: in order here, not in an exchange
     return Model([np.frombuffer(x, "<u4") for x in rows["cols"]], [np.frombuffer(n, "u1" if 4 * len(n) == len(c) else "<u4") for c, n in zip(rows["cols"], rows["counts"], strict=True)], rows["toxic"].to_numpy() > 0)
 
 
@@ -173,7 +176,7 @@ def _scored(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:
 def grade(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     """``doc_id, p_toxic, expected_severity, grade, toxic, kept`` of each whole text (null: empty).
 
-    ``grade`` is the number of exceedance probabilities of a half or more; a document is toxic when
+    Rows with equal texts, repeated ids or none get equal results; other columns aren't read.  ``grade`` is the number of exceedance probabilities of a half or more; a document is toxic when
     that of the first grade reaches ``reject``.
     """
 
@@ -185,7 +188,7 @@ def grade(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, all columns unchanged."""
+    """The rows of ``docs`` that aren't toxic, all columns unchanged; repeated rows and rows without an id are judged by their text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -14,9 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import bytesets
+from . import bytesets, sampling
 from .quality_rules import STOP_WORDS
 
 BITS = 16
@@ -184,12 +183,17 @@ class Model:
         self.patterns = patterns
         self.posterior, self.table, self.prior = estimate(patterns[:, None] // _PLACES % 3, counts) if len(patterns) else (np.zeros(0), np.zeros((2, LABELLERS, 3)), 0.5)
         self.weights, self.bias = np.zeros(1 << BITS), 0.0
+        self.fitted = bool(sample)
         if sample:
             self._fit(self.of(np.array([s[0] for s in sample])), [s[1] for s in sample], [s[2] for s in sample])
         self.weights = self.weights.astype(np.float32)
 
     def of(self, pattern: np.ndarray) -> np.ndarray:
-        return self.posterior[np.searchsorted(self.patterns, pattern)] if len(self.patterns) else np.full(len(pattern), 0.5)
+        """The posterior of each pattern; the prior for one that training didn't meet."""
+        if not len(self.patterns):
+            return np.full(len(pattern), 0.5)
+        at = np.minimum(np.searchsorted(self.patterns, pattern), len(self.patterns) - 1)
+        return np.where(self.patterns[at] == pattern, self.posterior[at], self.prior)
 
     def _fit(self, y: np.ndarray, cols: list[np.ndarray], vals: list[np.ndarray], rounds: int = 200, ridge: float = 1e-4) -> None:
         n = len(y)
@@ -216,24 +220,29 @@ class Model:
         """The scorer's probability of good quality, and the labellers' posterior; a text without words scores 0."""
         m = measures(t)
         f, row = features(t, m)
+        posterior = self.of(votes(m) @ _PLACES)
+        if not self.fitted:
+            return np.where(m["words"] > 0, posterior, 0.0), posterior
         total = np.bincount(row, self.weights[f[:, 0]].astype(float) + self.weights[f[:, 1]], len(t.starts))
         z = total / np.maximum(2 * m["words"], 1) + self.bias
-        return np.where(m["words"] > 0, 1 / (1 + np.exp(-np.clip(z, -35, 35))), 0.0), self.of(votes(m) @ _PLACES)
+        return np.where(m["words"] > 0, 1 / (1 + np.exp(-np.clip(z, -35, 35))), 0.0), posterior
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """EM over the vote patterns of all documents, then the scorer from a bounded sample."""
+    """EM over the vote patterns of all documents, then the scorer from a sample of at most ``sample`` different rows."""
     counted = docs.select("text").mapInArrow(_votes_of, "pattern long").groupBy("pattern").count().collect()
     counted.sort(key=lambda r: r["pattern"])
-    n = sum(r["count"] for r in counted)
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20))
-    rows = docs.where(dice).select("text").mapInArrow(_vectors, "pattern long, cols binary, vals binary").collect()
+    rows = sampling.bounded(docs, sample, ["text"]).mapInArrow(_vectors, "pattern long, cols binary, vals binary").collect()
     rows.sort(key=lambda r: (r["pattern"], r["cols"], r["vals"]))  # a bounded sample: in order here, not in an exchange
     return Model(np.array([r["pattern"] for r in counted], np.int64), np.array([r["count"] for r in counted]), [(r["pattern"], np.frombuffer(r["cols"], "<u4"), np.frombuffer(r["vals"], "<f4")) for r in rows])
 
 
 def classify(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """``doc_id, score, posterior, kept`` of each whole text (null: empty, never kept)."""
+    """``doc_id, score, posterior, kept`` of each whole text (null: empty, never kept).
+
+    Rows with equal texts, repeated ids or none get equal results; a model that was fitted on no rows scores
+    by its labellers' posterior.  A score of exactly ``keep`` is kept.  Other columns aren't read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

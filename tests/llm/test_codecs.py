@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,37 @@ def test_bpe_equals_the_library():
         assert ours.decode(a).decode("utf-8", "replace") == theirs.decode(b.ids, skip_special_tokens=False)
 
 
+def test_long_words_equal_the_library(monkeypatch):
+    """Words over LONG bytes take the queue; with LONG 1, all do."""
+    theirs = Tokenizer.from_file(PATH)
+    rnd = random.Random(6)
+    alphabets = ["ab", "a", "the", "aeioutn", "日本語テキスト", "မြန်မာစာ", "xyzé", "abcdefghijklmnopqrstuvwxyz"]
+    for long, count, sizes in ((512, 60, (500, 1500)), (1, 800, (0, 30)), (512, 1, (64_000, 64_000))):
+        monkeypatch.setattr(bpe, "LONG", long)
+        ours = bpe.Codec(PATH)
+        words = ["".join(rnd.choice(rnd.choice(alphabets[-2:]) if long > 1 and count == 1 else alphabets[k % 8]) for _ in range(rnd.randint(*sizes))) for k in range(count)]
+        for w, ids in zip(words, ours.encode_batch(words), strict=True):
+            assert ids.tolist() == theirs.encode(w, add_special_tokens=False).ids, w[:50]
+
+
+def test_work_of_a_long_word_grows_with_its_length():
+    rnd, ours = random.Random(2), bpe.Codec(PATH)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode() for n in (64_000, 1_000_000)]
+    start = time.process_time()
+    ours.merge(words[:1])
+    short = time.process_time() - start
+    ours.merge(words[1:])
+    assert short < 2 and time.process_time() - start - short < 16 * max(short, 0.2)
+
+
+def test_known_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 10_000)
+    ours = bpe.Codec(PATH)
+    for k in range(30):
+        ours.encode_batch([f"word{k}x{j}" for j in range(20)])
+        assert sum(4 * len(w) + len(x) for w, x in ours.known.items() if isinstance(w, str)) < 10_000 + 60 * 300
+
+
 def test_bpe_frames(spark):
     docs = brute.table(spark, [None, "", "hello world", "hello world", "é\n"])
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()}

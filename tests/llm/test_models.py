@@ -187,3 +187,14 @@ def test_repeated_windows(spark):
     texts = ["a b c a b c", "a a a a", "a b c d e", "x y", "a b a b a b a b z a b a", "", None]
     got = quality_rules.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_repeat_words for r in got} == {k: plain((t or "").split()) for k, t in enumerate(texts)}
+
+
+def test_no_column_is_lost_by_the_rules(spark):
+    """Working names, as a user might have them, and others that differ by case only."""
+    names = ["_text", "_words", "_lines", "_grams", "_sorted", "_marks", "rules_text", "_rules_WORDS"]
+    docs = spark.createDataFrame([(1, "a b c " * 40), (1, None)], "doc_id long, text string").selectExpr("*", *[f"'{n} kept' AS `{n}`" for n in names])
+    out = quality_rules.judge(docs)
+    assert set(names) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    for r in out.collect():
+        assert [r[n] for n in names] == [f"{n} kept" for n in names]
+        assert r.n_words in (120, 0) and r.base_failed
