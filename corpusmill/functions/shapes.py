@@ -1,4 +1,4 @@
-"""Shapes as point lists and masks: outlines compared by distance, masks by distance fields."""
+"""Outlines as point lists and shapes as masks: area, even points, and distance fields."""
 
 from __future__ import annotations
 
@@ -20,58 +20,25 @@ def resample(points: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.interp(at, along, closed[:, k]) for k in (0, 1)], 1)
 
 
-def unit(points: np.ndarray) -> np.ndarray:
-    """Moved and scaled into the unit square, keeping proportions."""
-    low, high = points.min(0), points.max(0)
-    return (points - low) / max(float((high - low).max()), 1e-12)
-
-
-def cloud_distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean distance to the nearest point, both ways."""
-    d = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
-    return float((d.min(1).mean() + d.min(0).mean()) / 2)
-
-
-def same_topology(count_a: int, count_b: int, aspect_a: float, aspect_b: float, areas_a, areas_b, aspect_off: float = 0.2, area_off: float = 0.15) -> bool:
-    """Equal number of outlines, aspect and sorted areas within tolerances: the cheap test before a distance."""
-    return count_a == count_b and abs(np.log(aspect_a / aspect_b)) <= aspect_off and bool((np.abs(np.sort(areas_a) - np.sort(areas_b)) <= area_off).all())
-
-
 def distance_field(mask: np.ndarray) -> np.ndarray:
-    """Chamfer distance (1 straight, sqrt 2 diagonal) of each cell to the nearest set one, in two passes."""
-    far = float(sum(mask.shape) * 2)
-    d = np.where(mask, 0.0, far)
-    rows, cols = d.shape
-    diagonal = 2**0.5
+    """Chamfer distance (1 straight, sqrt 2 diagonal) of each cell to the nearest set one, in two passes.
+
+    Takes one mask or a stack of them (last two axes).
+    """
+    rows, cols = mask.shape[-2:]
+    d = np.where(mask, 0.0, float((rows + cols) * 2))
+    diagonal, along = 2**0.5, np.arange(cols)
     for r in range(rows):
         if r:
-            d[r] = np.minimum(d[r], d[r - 1] + 1)
-            d[r, 1:] = np.minimum(d[r, 1:], d[r - 1, :-1] + diagonal)
-            d[r, :-1] = np.minimum(d[r, :-1], d[r - 1, 1:] + diagonal)
-        d[r] = np.minimum.accumulate(d[r] - np.arange(cols)) + np.arange(cols)
+            d[..., r, :] = np.minimum(d[..., r, :], d[..., r - 1, :] + 1)
+            d[..., r, 1:] = np.minimum(d[..., r, 1:], d[..., r - 1, :-1] + diagonal)
+            d[..., r, :-1] = np.minimum(d[..., r, :-1], d[..., r - 1, 1:] + diagonal)
+        d[..., r, :] = np.minimum.accumulate(d[..., r, :] - along, axis=-1) + along
     for r in range(rows - 1, -1, -1):
         if r + 1 < rows:
-            d[r] = np.minimum(d[r], d[r + 1] + 1)
-            d[r, 1:] = np.minimum(d[r, 1:], d[r + 1, :-1] + diagonal)
-            d[r, :-1] = np.minimum(d[r, :-1], d[r + 1, 1:] + diagonal)
-        back = d[r, ::-1]
-        d[r] = (np.minimum.accumulate(back - np.arange(cols)) + np.arange(cols))[::-1]
+            d[..., r, :] = np.minimum(d[..., r, :], d[..., r + 1, :] + 1)
+            d[..., r, 1:] = np.minimum(d[..., r, 1:], d[..., r + 1, :-1] + diagonal)
+            d[..., r, :-1] = np.minimum(d[..., r, :-1], d[..., r + 1, 1:] + diagonal)
+        back = d[..., r, ::-1]
+        d[..., r, :] = (np.minimum.accumulate(back - along, axis=-1) + along)[..., ::-1]
     return d
-
-
-def shape_distance(a: np.ndarray, b: np.ndarray, aspect_a: float, aspect_b: float) -> float:
-    """Mean field distance of each mask on the other's cells, both ways, and the difference of aspects."""
-    if not a.any() or not b.any():
-        return float("inf")
-    return float((distance_field(b)[a].mean() + distance_field(a)[b].mean()) / 2 + abs(np.log(aspect_a / aspect_b)))
-
-
-def nearest(query: np.ndarray, shapes: list[np.ndarray], most: float, margin: float, coarse: int = 12) -> int | None:
-    """Index of the nearest outline: a coarse pass keeps ``coarse``, an exact one decides; None beyond
-    ``most`` or when the next is within ``margin``."""
-    rough = [cloud_distance(query[::4], s[::4]) for s in shapes]
-    kept = np.argsort(rough, kind="stable")[:coarse]
-    exact = sorted((cloud_distance(query, shapes[k]), int(k)) for k in kept)
-    if not exact or exact[0][0] > most or (len(exact) > 1 and exact[1][0] - exact[0][0] < margin):
-        return None
-    return exact[0][1]

@@ -50,10 +50,11 @@ def word_order(tokens: DataFrame) -> DataFrame:
     The first and last token of a sentence are never judged.
     """
     w = Window.partitionBy("sentence").orderBy("k")
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    # read backwards, so that each row adds to what the one behind it saw
+    ahead = Window.partitionBy("sentence").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     has = lambda tag: F.coalesce(F.array_contains("tags", tag), F.lit(False))
     t = tokens.select("sentence", "k", "text", has("n").alias("n"), has("v").alias("v"), F.row_number().over(w).alias("place"))
-    near = lambda tag: F.first(F.when(F.col(tag), F.struct("place", "text")), ignorenulls=True).over(ahead)
+    near = lambda tag: F.last(F.when(F.col(tag), F.struct("place", "text")), ignorenulls=True).over(ahead)
     t = t.select("*", F.lag("n").over(w).alias("n_before"), F.lead("n").over(w).alias("n_behind"), F.lead("v").over(w).alias("v_behind"), near("n").alias("noun"), near("v").alias("verb"))
     t = t.where("n_before is not null and n_behind is not null")
     is_ = lambda forms: F.col("text").isin(*forms)

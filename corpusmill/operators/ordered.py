@@ -95,9 +95,9 @@ SELECT h.doc_id, h.k, h.level, coalesce((SELECT min(g.k) FROM h g WHERE g.doc_id
 def sibling_ranges(spark, sf):
     """A section ends before the next one of its level or above: one window a level, no range join."""
     level = F.when(F.length("line") < 30, 1).otherwise(2)
-    after = Window.partitionBy("doc_id").orderBy("k").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     rows = lines(spark, sf).withColumn("total", F.max("k").over(Window.partitionBy("doc_id"))).where(F.length("line").between(2, 60)).withColumn("level", level)
-    top, any_ = F.first(F.when(F.col("level") == 1, F.col("k")), True).over(after), F.first("k").over(after)
+    top, any_ = F.last(F.when(F.col("level") == 1, F.col("k")), True).over(after), F.last("k").over(after)
     return rows.select("doc_id", "k", "level", F.coalesce(F.when(F.col("level") == 1, top).otherwise(any_) - 1, "total").alias("range_end"))
 
 
@@ -219,7 +219,8 @@ def negative_context(spark, sf):
 @C.add("nearest_match", "SELECT event_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_purchase, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS last_signup FROM events")
 def nearest_match(spark, sf):
     of = lambda t: F.when(F.col("event_type") == t, F.col("event_id"))
-    return events(spark, sf).select("event_id", F.first(of("purchase"), True).over(_seq().rowsBetween(0, Window.unboundedFollowing)).alias("next_purchase"), F.last(of("signup"), True).over(_seq()).alias("last_signup"))
+    back = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
+    return events(spark, sf).select("event_id", F.last(of("purchase"), True).over(back).alias("next_purchase"), F.last(of("signup"), True).over(_seq()).alias("last_signup"))
 
 
 @C.add("construction_windows", "SELECT event_id, CAST(sum(CAST(event_type = 'click' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 9 FOLLOWING) AS BIGINT) AS verbs, CAST(sum(CAST(event_type = 'view' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS BIGINT) AS marks FROM events")

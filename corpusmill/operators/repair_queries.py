@@ -254,12 +254,12 @@ SELECT a.vec_id, a.label AS nearest, b.d - a.d > 0.02 AS accepted FROM r a JOIN
 def nearest_with_margin(spark, sf):
     """The nearest class centre of each vector, accepted only with a margin to the next.
 
-    Centres are one a class; their number is checked before they are broadcast, and larger sets are
-    blocked by the first component instead.
+    Centres are one a class; over 10,000 are refused before more are read (shape_matching searches
+    references of any number).
     """
     e = load(spark, sf, "embeddings")
     centre = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
-    centres = centre.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c")).orderBy("label").collect()
+    centres = centre.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c")).orderBy("label").limit(10_001).collect()
     if len(centres) > 10_000:
         raise ValueError("too many classes to compare each vector with all of them")
     labels = [int(r["label"]) for r in centres]

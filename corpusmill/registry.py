@@ -21,6 +21,7 @@ MODULES = (
     "operators.particles",
     "operators.engine_queries",
     "operators.clauses",
+    "operators.shape_matching",
 )
 
 
