@@ -22,6 +22,7 @@ MODULES = (
     "operators.engine_queries",
     "operators.clauses",
     "operators.shape_matching",
+    "operators.mending",
 )
 
 
