@@ -23,6 +23,7 @@ MODULES = (
     "operators.clauses",
     "operators.shape_matching",
     "operators.mending",
+    "operators.templates",
 )
 
 
