@@ -63,39 +63,61 @@ def _lookup(key: Column, values: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
 
 
-def tokens(line: Column, entries: tuple[Entry, ...] | None = None) -> Column:
-    """``array<struct<word, family, noun, verb, category, type, style>>`` of a tagged line.
+def _light(line: Column, entries: tuple[Entry, ...]) -> Column:
+    """``array<struct<word, family>>``: ``known`` is a particle of the register, ``open`` a word without a tag.
 
-    Marks of the end and punctuation are of family ``boundary``.  A word of the register is a particle
-    whatever its tag; others trust their tag, and without one may be noun or verb.  Null: no tokens.
+    One step after another, so that each value of a token is computed once.
     """
-    entries = register() if entries is None else entries
     known = [e.word for e in entries]
-    kinds = {e.word: e for e in entries}
     parts = F.filter(F.split(F.coalesce(line, F.lit("")), r"\s+"), lambda w: w != "")
-    # one step after another, so that each value of a token is computed once
-    read = F.transform(parts, lambda w: F.struct(w.alias("part"), F.when(w.endswith("}"), F.regexp_extract(w, r"^.+?\{([^}]+)\}\z", 1)).otherwise("").alias("tag")))
-    split = F.transform(read, lambda t: F.struct(F.when(t["tag"] == "", t["part"]).otherwise(F.left(t["part"], F.length(t["part"]) - F.length(t["tag"]) - 2)).alias("word"), t["tag"].alias("tag")))
+
+    def read(w: Column) -> Column:
+        head, tail = F.substring_index(w, "{", 1), F.substring_index(w, "{", -1)
+        single = F.length(head) + F.length(tail) + 1 == F.length(w)
+        # with one brace the tag is what it opens; the pattern decides where there are more
+        tag = F.when((head != "") & (F.locate("}", tail) == F.length(tail)), F.left(tail, F.length(tail) - 1)).otherwise("")
+        return F.struct(w.alias("part"), F.when(~w.endswith("}"), "").when(single, tag).otherwise(F.regexp_extract(w, r"^.+?\{([^}]+)\}\z", 1)).alias("tag"))
+
+    def cut(t: Column) -> Column:
+        return F.struct(F.when(t["tag"] == "", t["part"]).otherwise(F.left(t["part"], F.length(t["part"]) - F.length(t["tag"]) - 2)).alias("word"), t["tag"].alias("tag"))
 
     def family(t: Column) -> Column:
         word, tag = t["word"], t["tag"]
-        edge = tag.isin("eos", "pan") | (word == "<EOS>") | (F.translate(word, "။၊!?", "") == "")
-        particle = word.isin(*known) if known else F.lit(False)
-        of_tag = F.when(tag == "", F.when(word.isin(*ASKING), "pronoun").otherwise("open")).otherwise(F.coalesce(_lookup(F.upper(tag), NAMES), F.when(word.isin(*ASKING), "pronoun"), _lookup(tag, CODES), F.lit("noun")))
-        return F.struct(word.alias("word"), F.when(edge, "boundary").when(particle, "known").otherwise(of_tag).alias("family"))
+        asks = word.isin(*ASKING)
+        edge = tag.isin("eos", "pan") | (word == "<EOS>") | (F.left(word, F.lit(1)).isin("။", "၊", "!", "?") & word.rlike(r"^[။၊!?]+\z"))
+        codes = {k: v for k, v in CODES.items() if k.upper() not in NAMES}
+        of_tag = F.when(tag == "", F.when(asks, "pronoun").otherwise("open")).when(tag.isin(*codes), F.when(asks, "pronoun").otherwise(_lookup(tag, codes))).otherwise(F.coalesce(_lookup(F.upper(tag), NAMES), F.when(asks, "pronoun"), F.lit("noun")))
+        return F.struct(word.alias("word"), F.when(edge, "boundary").when(word.isin(*known) if known else F.lit(False), "known").otherwise(of_tag).alias("family"))
+
+    return F.transform(F.transform(F.transform(parts, read), cut), family)
+
+
+def _about(t: Column, entries: tuple[Entry, ...]) -> Column:
+    """``struct<category, type, style>`` of a particle of the register, else null."""
+    if not entries:
+        return F.lit(None).cast("struct<category:string,type:string,style:string>")
+    rows = F.create_map(*[x for e in entries for x in (F.lit(e.word), F.struct(*[F.lit(getattr(e, n)).alias(n) for n in ("category", "type", "style")]))])
+    return F.when(t["family"] == "known", F.element_at(rows, t["word"]))
 
-    about = F.create_map(*[x for e in kinds.values() for x in (F.lit(e.word), F.struct(*[F.lit(getattr(e, n)).alias(n) for n in ("category", "type", "style")]))]) if kinds else None
 
-    def known_as(t: Column) -> Column:
-        info = F.when(t["family"] == "known", F.element_at(about, t["word"])) if kinds else F.lit(None).cast("struct<category:string,type:string,style:string>")
-        return F.struct(t["word"].alias("word"), t["family"].alias("family"), info.alias("info"))
+def tokens(line: Column, entries: tuple[Entry, ...] | None = None) -> Column:
+    """``array<struct<word, family, noun, verb, category, type, style>>`` of a tagged line.
+
+    Marks of the end and punctuation are of family ``boundary``.  A word of the register is a particle
+    whatever its tag; others trust their tag, and without one may be noun or verb.  Null: no tokens.
+    """
+    entries = register() if entries is None else entries
+    told = F.transform(_light(line, entries), lambda t: F.struct(t["word"].alias("word"), t["family"].alias("family"), _about(t, entries).alias("about")))
 
     def token(t: Column) -> Column:
         fam = t["family"]
         named = F.when(fam == "known", "particle").when(fam == "open", "noun").otherwise(fam)
-        return F.struct(t["word"].alias("word"), named.alias("family"), fam.isin("noun", "pronoun", "open").alias("noun"), fam.isin("verb", "open").alias("verb"), *[t["info"][n].alias(n) for n in ("category", "type", "style")])
+        return F.struct(t["word"].alias("word"), named.alias("family"), fam.isin(*_NOUN).alias("noun"), fam.isin(*_VERB).alias("verb"), *[t["about"][n].alias(n) for n in ("category", "type", "style")])
+
+    return F.transform(told, token)
 
-    return F.transform(F.transform(F.transform(split, family), known_as), token)
+
+_NOUN, _VERB, _PARTICLE = ("noun", "pronoun", "open"), ("verb", "open"), ("known", "particle")
 
 
 def parse(lines: DataFrame, line: str, entries: tuple[Entry, ...] | None = None) -> DataFrame:
@@ -111,38 +133,38 @@ def parse(lines: DataFrame, line: str, entries: tuple[Entry, ...] | None = None)
     by one, so repeated rows and ids get a result each; a column named ``parsed`` is replaced.
     """
     none = F.lit(None).cast("string")
-    t = F.reverse(tokens(F.col(line), entries))
-    first = lambda x: F.element_at(x, 1)
+    entries = register() if entries is None else entries
+    t = F.reverse(_light(F.col(line), entries))
     d = lines.select("*", t.alias("mill_all"))
     start = F.coalesce(F.nullif(F.array_position(F.transform("mill_all", lambda x: x["family"] != "boundary"), True), F.lit(0)), F.size("mill_all") + 1)
     d = d.withColumn("mill_t", F.slice("mill_all", start.cast("int"), F.greatest(F.size("mill_all"), F.lit(1))))
     # numbered content words from the right; a particle is found again by its place
-    content = F.filter(F.transform("mill_t", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda c: c["x"]["family"] != "particle")
+    content = F.filter(F.transform("mill_t", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda c: ~c["x"]["family"].isin(*_PARTICLE))
     d = d.withColumn("mill_c", F.slice(content, 1, MOST_ARGUMENTS + 1))
     last, head = F.try_element_at("mill_t", F.lit(1)), F.try_element_at("mill_c", F.lit(1))
     rest = F.slice("mill_c", 2, MOST_ARGUMENTS)
-    stop = F.coalesce(F.nullif(F.array_position(F.transform(rest, lambda c: c["x"]["noun"]), False), F.lit(0)), F.size(rest) + 1)
+    stop = F.coalesce(F.nullif(F.array_position(F.transform(rest, lambda c: c["x"]["family"].isin(*_NOUN)), False), F.lit(0)), F.size(rest) + 1)
     behind = lambda c: F.element_at("mill_t", c["at"].cast("int"))  # noqa: E731  # place ``at`` counts from 0, so this is one to the right
-    marked = lambda c: F.when(behind(c)["family"] == "particle", behind(c))
-    args = F.transform(F.slice(rest, 1, (stop - 1).cast("int")), lambda c, i: F.struct((i + 1).alias("slot"), c["x"]["word"].alias("noun"), marked(c)["word"].alias("particle"), _lookup(F.coalesce(marked(c)["type"], F.lit("")), ROLES).alias("role")))
+    marked = lambda c: F.when(behind(c)["family"].isin(*_PARTICLE), behind(c))
+    args = F.transform(F.slice(rest, 1, (stop - 1).cast("int")), lambda c, i: F.struct((i + 1).alias("slot"), c["x"]["word"].alias("noun"), marked(c)["word"].alias("particle"), _lookup(F.coalesce(_about(behind(c), entries)["type"], F.lit("")), ROLES).alias("role")))
     d = d.select("*", args.alias("mill_args"), last.alias("mill_last"), head.alias("mill_head"))
-    closed = F.coalesce(F.col("mill_last.family") == "particle", F.lit(False))
+    closed = F.coalesce(F.col("mill_last.family").isin(*_PARTICLE), F.lit(False))
     ends = lambda xs: F.col("mill_last.word").rlike("(" + "|".join(xs) + r")\z")
     noun_end = closed & ends(NOUN_ENDS)
-    noun = F.coalesce(F.col("mill_head.x.noun"), F.lit(False))
+    noun = F.coalesce(F.col("mill_head.x.family").isin(*_NOUN), F.lit(False))
     anchored = F.when(~closed & noun, "msp-02").when(noun_end & noun, "msp-05")
-    verbal = closed & ~noun_end & F.coalesce(F.col("mill_head.x.verb"), F.lit(False))
+    verbal = closed & ~noun_end & F.coalesce(F.col("mill_head.x.family").isin(*_VERB), F.lit(False))
     has_subject = F.exists("mill_args", lambda a: a["role"] == "subject")
     outer = F.try_element_at("mill_args", F.lit(-1))["role"]
     deep = F.when(has_subject & outer.isNotNull() & (outer != "subject"), "msp-07").when(has_subject, "msp-06").when(ends(STATEMENT_ENDS) & (F.try_element_at("mill_args", F.lit(1))["role"] == "place"), "msp-04").when(F.size("mill_args") > 0, "msp-03").otherwise("msp-01")
     d = d.select("*", anchored.alias("mill_anchored"), F.coalesce(anchored, F.when(verbal, deep)).alias("mill_template"))
     template, by_verb = F.col("mill_template"), F.coalesce(F.col("mill_template").isin("msp-01", "msp-03", "msp-04", "msp-06", "msp-07"), F.lit(False))
     by_noun = F.coalesce(template.isin("msp-02", "msp-05"), F.lit(False))
-    style = F.when(template.isNotNull(), F.coalesce(F.col("mill_last.style"), F.lit("N"))).when(F.size("mill_t") > 0, "N")
+    style = F.when(template.isNotNull(), F.coalesce(_about(F.col("mill_last"), entries)["style"], F.lit("N"))).when(F.size("mill_t") > 0, "N")
     topic = lambda a: (template == "msp-07") & (a["slot"] == F.size("mill_args"))
     arguments = F.when(by_verb, F.transform("mill_args", lambda a: F.struct(a["slot"].alias("slot"), a["noun"].alias("noun"), a["particle"].alias("particle"), a["role"].alias("role"), topic(a).alias("topic"))))
     closing = F.when(by_verb, F.reverse(F.transform(F.slice("mill_t", 1, F.col("mill_head.at").cast("int")), lambda x: x["word"])))
-    nouns = F.when(by_noun, F.reverse(F.transform(F.filter(F.slice("mill_t", 2, F.size("mill_t")), lambda x: x["noun"]), lambda x: x["word"])))
+    nouns = F.when(by_noun, F.reverse(F.transform(F.filter(F.slice("mill_t", 2, F.size("mill_t")), lambda x: x["family"].isin(*_NOUN)), lambda x: x["word"])))
     inherits = F.element_at(F.create_map(*[x for k, v in INHERITS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]).cast("array<string>"))]), template)
     said = F.when(F.size("mill_t") == 0, "empty").when(template.isNull(), "unknown").otherwise(F.concat(F.lit("Ls-"), style, F.lit(".Fof-Fs.St-c")))
     parsed = F.struct(template.alias("template"), F.col("mill_anchored").alias("anchored"), style.alias("style"), said.alias("classification"), F.when(by_verb, F.col("mill_head.x.word")).otherwise(none).alias("verb"), closing.alias("closing"), arguments.alias("arguments"), nouns.alias("nouns"), inherits.alias("inherits"))

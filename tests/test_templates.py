@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import templates as T
 
@@ -113,6 +114,13 @@ def test_register_styles():
     assert {w for w, s in styles.items() if s == "E"} == set(T.WRITTEN) and len(styles) == len(T.register())
 
 
+def test_braces(spark):
+    odd = ["a{n}b{v}", "a{b{v}", "{n}", "a{}", "a}{v}", "a{x}y}", "a{n", "a}", "{{v}", "a{ADV}", "a{adv}", "a{Verbs}", "ဘာ{v}", "ဘာ{verbs}", "က{eos}", "?!", "?a", "က{zz}"]
+    d = spark.createDataFrame([(x,) for x in odd], "text string").select("text", T.tokens(F.col("text")).alias("t"))
+    for r in d.collect():
+        assert [(t.word, t.family, t.verb, t.type, t.style) for t in r.t] == plain_tokens(r.text), r.text
+
+
 def test_empty_and_long(spark):
     assert T.parse(spark.createDataFrame([], "text string"), "text").count() == 0
     long = "a{n} က " * 60_000 + "go{v} သည်"
