@@ -1,8 +1,8 @@
 """Segmentation and tagging from tables of syllables and tag paths.
 
 A lexicon is a table: ``syllable, id`` for segmentation, ``path array<id>, tags array<string>`` for
-tagging.  Its size is checked before it is shared with the workers; the walk always takes the
-longest entry at a place.
+tagging.  A lexicon of up to ``MOST`` rows is shared with the workers; a larger one is met in joins (``joined``), with the
+same results.  The walk always takes the longest entry at a place.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import joined
+
 FULL_STOP = "။"
 MOST = 2_000_000
 VALUE = ("value",)
@@ -43,12 +45,11 @@ class Trie:
         return end, value
 
 
-def rows_of(table: DataFrame, most: int = MOST) -> list:
-    """A lexicon's rows, refused beyond a size."""
+def rows_of(table: DataFrame, most: int | None = None) -> list | None:
+    """A lexicon's rows; None if there are more of them than are shared."""
+    most = MOST if most is None else most
     rows = table.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a lexicon of more than {most} rows isn't shared; join with it instead")
-    return rows
+    return rows if len(rows) <= most else None
 
 
 def _pieces(t: str, trie: Trie) -> tuple[list[str], list[str | None]]:
@@ -95,13 +96,34 @@ def _shared(docs: DataFrame, entries):
     return docs.sparkSession.sparkContext.broadcast(Trie(entries))
 
 
+def pieces_by_answers(met: DataFrame, text: str, runs: joined.Runs) -> DataFrame:
+    """``pieces`` of texts that brought their answers (``mill_found``), which go."""
+
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            out.append(None if t is None else [{"surface": a, "id": b} for a, b in zip(*_pieces(t, joined.Answers(t, runs, f)), strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("surface", pa.string()), ("id", pa.string())])))
+
+    return met.withColumn("pieces", F.arrow_udf(run, "array<struct<surface:string,id:string>>")(F.col(f"`{text}`"), F.col("mill_found"))).drop("mill_found")
+
+
+def _segment_joined(docs: DataFrame, syllables: DataFrame, text: str) -> DataFrame:
+    entries = syllables.select(F.col("syllable").alias("path"), F.col("id").alias("value"))
+    runs = joined.runs_of_alphabet(entries, "path")
+    return pieces_by_answers(joined.with_answers(docs, F.col(f"`{text}`"), runs, lambda r: joined.spans(r, entries)), text, runs)
+
+
 def segment(docs: DataFrame, syllables: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pieces``: ``array<struct<surface, id>>`` by the longest syllable at each place.
 
     Masked spans in braces stay whole, white space separates and isn't a piece, other characters
     stand alone without an id.  Null gives null.
     """
-    trie = _shared(docs, ((r["syllable"], r["id"]) for r in rows_of(syllables)))
+    rows = rows_of(syllables)
+    if rows is None:
+        return _segment_joined(docs, syllables, text)
+    trie = _shared(docs, ((r["syllable"], r["id"]) for r in rows))
 
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [{"surface": a, "id": b} for a, b in zip(*_pieces(t, trie.value), strict=True)], na_action="ignore")
@@ -109,31 +131,52 @@ def segment(docs: DataFrame, syllables: DataFrame, text: str = "text") -> DataFr
     return docs.withColumn("pieces", F.pandas_udf(run, "array<struct<surface:string,id:string>>")(F.col(text)))
 
 
+def _token_array(texts: list, pieces_of, answers_of) -> pa.Array:
+    """Tokens of each text: ``pieces_of(k)`` are its surfaces and ids, ``answers_of(k, ids)`` finds paths."""
+    surface, ids, tags = [], [], []
+    cuts, rows, tag_cuts = [0], [0], [0]
+    for k, t in enumerate(texts):
+        if t is not None:
+            pieces, found = pieces_of(k)
+            for end, names in _tokens(pieces, found, answers_of(k, found)):
+                cuts.append(len(surface) + end)
+                tags += names
+                tag_cuts.append(len(tags))
+            surface += pieces
+            ids += found
+        rows.append(len(cuts) - 1)
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.string()))
+    token = pa.StructArray.from_arrays([lists(cuts, surface), lists(cuts, [x or "" for x in ids]), lists(tag_cuts, tags)], ["syllables", "ids", "tags"])
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), token, mask=pa.array([t is None for t in texts], pa.bool_()))
+
+
+def _tag_joined(docs: DataFrame, syllables: DataFrame, paths: DataFrame, text: str) -> DataFrame:
+    entries = paths.select("path", F.col("tags").alias("value"))
+    cut = segment(docs.withColumn("mill_text", F.col(f"`{text}`")), syllables, "mill_text").withColumnRenamed("pieces", "mill_pieces")
+    met = joined.with_answers(cut, F.col("mill_pieces.id"), joined.runs_of_ids, lambda r: joined.spans(r, entries))
+
+    def run(pieces: pa.Array, found: pa.Array) -> pa.Array:
+        texts, said = pieces.to_pylist(), found.to_pylist()
+        return _token_array(texts, lambda k: ([p["surface"] for p in texts[k]], [p["id"] for p in texts[k]]), lambda k, ids: joined.Answers(ids, joined.runs_of_ids, said[k]))
+
+    return met.withColumn("tokens", F.arrow_udf(run, TOKENS)(F.col("mill_pieces"), F.col("mill_found"))).drop("mill_pieces", "mill_found", "mill_text")
+
+
 def tag(docs: DataFrame, syllables: DataFrame, paths: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``tokens``: segments, then the longest path of ids at each place and its tags.
 
     A full stop is ``eos``; a piece without an id gets the class of its surface; an id that begins no
-    path is ``?``.  Both walks are one step, so segments don't cross between the JVM and Python.
+    path is ``?``.  Where both tables are shared, both walks are one step, so segments don't cross between the JVM and Python.
     """
-    first = _shared(docs, ((r["syllable"], r["id"]) for r in rows_of(syllables)))
-    second = _shared(docs, ((r["path"], r["tags"]) for r in rows_of(paths)))
+    one, two = rows_of(syllables), rows_of(paths)
+    if one is None or two is None:
+        return _tag_joined(docs, syllables, paths, text)
+    first = _shared(docs, ((r["syllable"], r["id"]) for r in one))
+    second = _shared(docs, ((r["path"], r["tags"]) for r in two))
 
     def run(texts: pa.Array) -> pa.Array:
-        surface, ids, tags = [], [], []
-        cuts, rows, tag_cuts = [0], [0], [0]
-        for t in texts.to_pylist():
-            if t is not None:
-                pieces, found = _pieces(t, first.value)
-                for end, names in _tokens(pieces, found, second.value):
-                    cuts.append(len(surface) + end)
-                    tags += names
-                    tag_cuts.append(len(tags))
-                surface += pieces
-                ids += found
-            rows.append(len(cuts) - 1)
-        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.string()))
-        token = pa.StructArray.from_arrays([lists(cuts, surface), lists(cuts, [x or "" for x in ids]), lists(tag_cuts, tags)], ["syllables", "ids", "tags"])
-        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), token, mask=texts.is_null())
+        texts = texts.to_pylist()
+        return _token_array(texts, lambda k: _pieces(texts[k], first.value), lambda k, ids: second.value)
 
     return docs.withColumn("tokens", F.arrow_udf(run, TOKENS)(F.col(text)))
 

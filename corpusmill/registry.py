@@ -24,6 +24,7 @@ MODULES = (
     "operators.shape_matching",
     "operators.mending",
     "operators.templates",
+    "operators.two_way",
 )
 
 
