@@ -96,6 +96,15 @@ def _shared(docs: DataFrame, entries):
     return docs.sparkSession.sparkContext.broadcast(Trie(entries))
 
 
+def pieces_by_walk(docs: DataFrame, text: str, walk) -> DataFrame:
+    """``pieces`` of texts by a broadcast object that knows the longest entry at a place."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"surface": a, "id": b} for a, b in zip(*_pieces(t, walk.value), strict=True)], na_action="ignore")
+
+    return docs.withColumn("pieces", F.pandas_udf(run, "array<struct<surface:string,id:string>>")(F.col(f"`{text}`")))
+
+
 def pieces_by_answers(met: DataFrame, text: str, runs: joined.Runs) -> DataFrame:
     """``pieces`` of texts that brought their answers (``mill_found``), which go."""
 
@@ -123,12 +132,7 @@ def segment(docs: DataFrame, syllables: DataFrame, text: str = "text") -> DataFr
     rows = rows_of(syllables)
     if rows is None:
         return _segment_joined(docs, syllables, text)
-    trie = _shared(docs, ((r["syllable"], r["id"]) for r in rows))
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"surface": a, "id": b} for a, b in zip(*_pieces(t, trie.value), strict=True)], na_action="ignore")
-
-    return docs.withColumn("pieces", F.pandas_udf(run, "array<struct<surface:string,id:string>>")(F.col(text)))
+    return pieces_by_walk(docs, text, _shared(docs, ((r["syllable"], r["id"]) for r in rows)))
 
 
 def _token_array(texts: list, pieces_of, answers_of) -> pa.Array:

@@ -7,8 +7,8 @@ syllables.  Reverse table ``reversed, suffix, roots, rank``: the suffixes that a
 the roots that it goes with; the first in ``rank`` that lists the root confirms, and root and suffix are the id.  A walk
 goes on over what isn't confirmed and falls back to the last place that was.
 
-Both tables may have any size.  The forward one is shared where it has at most ``tries.MOST`` rows, and is met in a join beyond;
-candidates always meet the reverse table in a join, once for each distinct run of characters.
+Both tables may have any size.  Of at most ``tries.MOST`` rows each, both are shared and texts are walked where they lie.  Else
+candidates meet the reverse table in a join, once for each distinct run of characters; a large forward table is met in a join, too.
 """
 
 from __future__ import annotations
@@ -50,32 +50,54 @@ def _clean(forward: DataFrame) -> DataFrame:
     return forward.where("length(root) = 1 AND length(token) > 0").select("root", "step", "token", F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("ids", F.lit(False)).alias("ids"))
 
 
-def _walked(runs: DataFrame, forward: DataFrame) -> DataFrame:
-    """``key, start, size, root, reversed`` of each candidate in each run; the forward table is shared."""
+def _steps(forward: DataFrame) -> Steps:
     steps: Steps = {}
     for r in tries.rows_of(forward):
         sizes, tokens = steps.setdefault((r["root"], r["step"]), (set(), {}))
         sizes.add(len(r["token"]))
         mine = r["rank"], r["token"], r["ids"]
         tokens[r["token"]] = min(tokens.get(r["token"], mine), mine)
-    shared = runs.sparkSession.sparkContext.broadcast(steps)
+    return steps
+
+
+def ends_in(run: str, start: int, steps: Steps) -> Iterator[int]:
+    """:func:`visited` with a table in memory."""
+
+    def choices(root, step, place):
+        if (root, step) not in steps:
+            return False
+        sizes, tokens = steps[root, step]
+        got = min((tokens[t] for t in {run[place : place + n] for n in sizes} if t in tokens), default=None)
+        return got and (len(got[1]), got[2])
+
+    return visited(run, start, choices)
+
+
+class Confirmed:
+    """Both tables in memory: the longest confirmed syllable at a place."""
+
+    def __init__(self, steps: Steps, names: dict[tuple[str, str], str]):
+        self.steps, self.names = steps, names
+
+    def longest(self, sequence: str, start: int) -> tuple[int, str | None]:
+        found = start + 1, None
+        for end in ends_in(sequence, start, self.steps):
+            name = self.names.get((sequence[start], sequence[end - 1 : start : -1]))
+            if name is not None:
+                found = end, name
+        return found
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
 
+def _walked(runs: DataFrame, forward: DataFrame) -> DataFrame:
+    """``key, start, size, root, reversed`` of each candidate in each run; the forward table is shared."""
+    shared = runs.sparkSession.sparkContext.broadcast(_steps(forward))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for key, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-
-                    def choices(root, step, place, run=run):
-                        if (root, step) not in table:
-                            return False
-                        sizes, tokens = table[root, step]
-                        got = min((tokens[t] for t in {run[place : place + n] for n in sizes} if t in tokens), default=None)
-                        return got and (len(got[1]), got[2])
-
                     for k in range(len(run)):
-                        for end in visited(run, k, choices):
+                        for end in ends_in(run, k, shared.value):
                             yield key, k, end - k, run[k], run[end - 1 : k : -1]
 
         yield from joined.batches_of(rows(), ["key", "start", "size", "root", "reversed"], [pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.string()])
@@ -138,11 +160,15 @@ def _met(runs: DataFrame, forward: DataFrame) -> DataFrame:
     return asked.select("key", "start", "window").distinct().join(ends, "window").select("key", "start", "size", "root", "reversed")
 
 
-def confirmed(candidates: DataFrame, reverse: DataFrame) -> DataFrame:
+def names_of(reverse: DataFrame) -> DataFrame:
+    """``root, reversed, value``: the id of each body with each root that it goes with."""
+    by_root = reverse.where("length(reversed) > 0").select("reversed", "suffix", F.coalesce("rank", F.lit(0)).alias("rank"), F.explode("roots").alias("root")).where("suffix IS NOT NULL AND root IS NOT NULL")
+    return by_root.groupBy("root", "reversed").agg(F.min(F.struct("rank", "suffix")).alias("f")).select("root", "reversed", F.concat("root", "f.suffix").alias("value"))
+
+
+def confirmed(candidates: DataFrame, names: DataFrame) -> DataFrame:
     """``key, spans`` of the candidates that the reverse table confirms, with their ids."""
-    by_root = reverse.where("length(reversed) > 0").select("reversed", "suffix", F.coalesce("rank", F.lit(0)).alias("rank"), F.explode("roots").alias("root")).where("suffix IS NOT NULL")
-    first = by_root.groupBy("root", "reversed").agg(F.min(F.struct("rank", "suffix")).alias("f")).select("root", "reversed", F.concat("root", "f.suffix").alias("value"))
-    return candidates.join(first, ["root", "reversed"]).groupBy("key").agg(F.collect_list(F.struct("start", "size", "value")).alias("spans"))
+    return candidates.join(names, ["root", "reversed"]).groupBy("key").agg(F.collect_list(F.struct("start", "size", "value")).alias("spans"))
 
 
 def verified_segments(docs: DataFrame, forward: DataFrame, reverse: DataFrame, text: str = "text") -> DataFrame:
@@ -151,10 +177,14 @@ def verified_segments(docs: DataFrame, forward: DataFrame, reverse: DataFrame, t
     Masks in braces stay whole, white space goes, what isn't confirmed stands alone by its character without an id.  Null gives
     null, an empty text no pieces; equal texts get equal pieces; an empty table confirms nothing.
     """
-    forward = _clean(forward)
+    forward, names = _clean(forward), names_of(reverse)
+    few_steps, few_names = tries.rows_of(forward) is not None, tries.rows_of(names)
+    if few_steps and few_names is not None:
+        walk = Confirmed(_steps(forward), {(r["root"], r["reversed"]): r["value"] for r in few_names})
+        return tries.pieces_by_walk(docs, text, docs.sparkSession.sparkContext.broadcast(walk))
     runs = joined.runs_of_alphabet(forward.select(F.concat("root", "token").alias("x")), "x")
-    candidates = _met if tries.rows_of(forward) is None else _walked
-    met = joined.with_answers(docs, F.col(f"`{text}`"), runs, lambda r: confirmed(candidates(r, forward), reverse))
+    candidates = _walked if few_steps else _met
+    met = joined.with_answers(docs, F.col(f"`{text}`"), runs, lambda r: confirmed(candidates(r, forward), names))
     return tries.pieces_by_answers(met, text, runs)
 
 
@@ -193,7 +223,7 @@ def _documents(spark, sf) -> DataFrame:
 @C.add("verified_walk")
 def verified_walk(spark, sf):
     """Documents in letters of the script, walked by the syllables that five places have."""
-    docs = _saved(_documents(spark, sf), "letters")
+    docs = _documents(spark, sf)
     out = verified_segments(docs, *tables_of(_syllables(docs)))
     named = F.filter("pieces", lambda p: p["id"].isNotNull())
     return out.select("doc_id", F.size("pieces").alias("pieces"), F.size(named).alias("named"), F.md5(F.array_join(F.transform(named, lambda p: p["id"]), " ")).alias("digest"))

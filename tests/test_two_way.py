@@ -63,7 +63,7 @@ def tables(rng):
 FORWARD, REVERSE = "root string, step int, token string, rank int, ids boolean", "reversed string, suffix string, roots array<string>, rank int"
 
 
-@pytest.mark.parametrize("most", [tries.MOST, 0])
+@pytest.mark.parametrize("most", [tries.MOST, 100, 0])  # both tables are shared, the forward one, none
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_confirmed_walk(spark, monkeypatch, most, seed):
     monkeypatch.setattr(tries, "MOST", most)
