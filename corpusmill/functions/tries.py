@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,23 +95,41 @@ def _shared(docs: DataFrame, entries):
     return docs.sparkSession.sparkContext.broadcast(Trie(entries))
 
 
+SLICE = 64
+PIECE = pa.struct([("surface", pa.string()), ("id", pa.string())])
+
+
+def _piece_array(texts: pa.Array, walk_of) -> pa.Array:
+    """Pieces of each text, ``walk_of(k, t)`` knows the longest entries of the k-th; only a slice is held as Python objects."""
+    done = []
+    for at in range(0, len(texts), SLICE):
+        part = texts.slice(at, SLICE)
+        surface, ids, cuts = [], [], [0]
+        for k, t in enumerate(part.to_pylist(), at):
+            if t is not None:
+                one, two = _pieces(t, walk_of(k, t))
+                surface += one
+                ids += two
+            cuts.append(len(surface))
+        flat = pa.StructArray.from_arrays([pa.array(surface, pa.string()), pa.array(ids, pa.string())], ["surface", "id"])
+        done.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat, mask=part.is_null()))
+    return pa.concat_arrays(done) if done else pa.array([], pa.list_(PIECE))
+
+
 def pieces_by_walk(docs: DataFrame, text: str, walk) -> DataFrame:
     """``pieces`` of texts by a broadcast object that knows the longest entry at a place."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"surface": a, "id": b} for a, b in zip(*_pieces(t, walk.value), strict=True)], na_action="ignore")
+    def run(texts: pa.Array) -> pa.Array:
+        return _piece_array(texts, lambda k, t: walk.value)
 
-    return docs.withColumn("pieces", F.pandas_udf(run, "array<struct<surface:string,id:string>>")(F.col(f"`{text}`")))
+    return docs.withColumn("pieces", F.arrow_udf(run, "array<struct<surface:string,id:string>>")(F.col(f"`{text}`")))
 
 
 def pieces_by_answers(met: DataFrame, text: str, runs: joined.Runs) -> DataFrame:
     """``pieces`` of texts that brought their answers (``mill_found``), which go."""
 
     def run(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            out.append(None if t is None else [{"surface": a, "id": b} for a, b in zip(*_pieces(t, joined.Answers(t, runs, f)), strict=True)])
-        return pa.array(out, pa.list_(pa.struct([("surface", pa.string()), ("id", pa.string())])))
+        return _piece_array(texts, lambda k, t: joined.Answers(t, runs, found[k].as_py()))
 
     return met.withColumn("pieces", F.arrow_udf(run, "array<struct<surface:string,id:string>>")(F.col(f"`{text}`"), F.col("mill_found"))).drop("mill_found")
 
