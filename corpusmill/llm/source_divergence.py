@@ -1,7 +1,9 @@
 """How far the sources of each language differ in their words: divergence of each pair, and telling terms.
 
-1. *Counts.*  Texts become terms by built-in expressions; occurrences and documents of a term are counted
-   by language and source, first in each task.  One such exchange is all that sees texts.
+1. *Counts.*  Occurrences and documents of a term are counted by language and source, first for runs of about
+   ``RUN`` bytes of text in each task: bytes between the separators are terms of one Arrow array, numbered
+   and sorted as integers.  The counts are exchanged once, by language and term, where Spark sums them by
+   source and then drops what too few documents hold.
 2. *Wide vectors.*  Terms of at least ``MIN_DOCS`` documents of a language are pivoted: one row a term,
    with an array of its counts in place of the language's sources, in their order.  Counts become shares
    in whole units of a billionth, smoothed by ``PRIOR`` occurrences a term, so all sums are exact.
@@ -22,10 +24,14 @@ alone in its language has no pairs.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import bytesets, scratch
 
 MIN_DOCS = 30
 PRIOR = 5
@@ -33,31 +39,75 @@ UNIT = 1_000_000_000
 TOP = 50
 SALTS = 32
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+RUN = 1 << 24
+ROWS = 1 << 16
+
+#: A-Z in lower case, a-z and all bytes of other code points; 0 for what separates terms.
+LETTERS = bytesets.LOWER * np.array([k >= 0x80 or chr(k).isalpha() for k in range(256)], np.uint8)
+
+
+def _held(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def _count(t: bytesets.Texts, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different terms of a run of texts; and of each pair of a group and a term its group, the term's place, occurrences and documents."""
+    low = LETTERS[t.data]
+    inside = low != 0
+    starts, ends = bytesets.runs(inside, t.starts, t.ends)
+    each = np.diff(np.searchsorted(starts, np.r_[t.starts, len(t.data)]))
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    del starts, ends
+    coded = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(low[inside])).dictionary_encode()
+    del low, inside, offsets
+    terms, bits = coded.dictionary, len(each).bit_length()
+    key = np.repeat(group * len(terms), each)
+    key += coded.indices.to_numpy()
+    key <<= bits
+    key += np.repeat(np.arange(len(each), dtype=np.int32), each)
+    del coded
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key >>= bits
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    docs = np.add.reduceat(new, at, dtype=np.int64) if len(at) else at
+    return terms, *np.divmod(key[at], max(1, len(terms))), np.diff(np.r_[at, len(key)]), docs
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, text`` to ``lang, source, term, n, n_docs``, of each run of texts."""
+    for batch in bytesets.slices(batches, ROWS):
+        langs, sources = (batch.column(k).dictionary_encode() for k in (0, 1))
+        lang, source = (x.indices.to_numpy().astype(np.int64) for x in (langs, sources))
+        both, group = np.unique(lang * len(sources.dictionary) + source, return_inverse=True)
+        of_lang, of_source = (pa.array(x) for x in np.divmod(both, max(1, len(sources.dictionary))))
+        for t in bytesets.texts(batch.column(2), RUN):
+            terms, at, place, n, docs = _count(t, group[t.rows])
+            columns = [x.dictionary.take(of.take(pa.array(at))).cast(pa.string()) for x, of in ((langs, of_lang), (sources, of_source))]
+            columns += [terms.take(pa.array(place)), pa.array(n), pa.array(docs)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "n_docs"])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, n_docs``; a row of null term for each group with a text that has no term."""
-    held = lambda c: F.coalesce(F.col(c), F.lit(""))
-    split = F.split(F.translate(held("text"), UPPER, LOWER), BETWEEN)
-    terms = docs.select(held("lang").alias("lang"), held("source").alias("source"), F.array_remove(split, "").alias("terms"))
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc")))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc")))
-    found = terms.select("lang", "source", F.explode_outer(F.concat(each, once)).alias("x")).select("lang", "source", "x.term", "x.doc")
-    return found.groupBy("lang", "source", "term").agg(F.count_if(F.col("doc") == 0).alias("n"), F.coalesce(F.sum("doc"), F.lit(0)).alias("n_docs"))
+    """``lang, source, term, n, n_docs``, a language's term in one partition."""
+    found = docs.select(*(_held(c).alias(c) for c in ("lang", "source", "text"))).mapInArrow(_counts, "lang string, source string, term string, n long, n_docs long")
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang, term, total, by_source`` (a map) of the terms that enough documents of a language hold."""
-    by_term = counts.where("term IS NOT NULL").groupBy("lang", "term")
+    by_term = counts.groupBy("lang", "term")
     out = by_term.agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source"))
     return out.where(F.col("n_docs") >= min_docs).drop("n_docs")
 
 
-def frames(counts: DataFrame, kept: DataFrame) -> DataFrame:
+def frames(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """``lang, v, size, sources, sizes``: kept terms, their occurrences, and those of each source, of each language."""
-    groups = counts.select("lang", "source").distinct()
+    groups = docs.select(_held("lang").alias("lang"), _held("source").alias("source")).distinct()
     sizes = kept.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     lists = groups.join(sizes, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("g"))
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("size"))
@@ -100,9 +150,8 @@ def telling_terms(wide: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank`` of ``docs`` (``text, lang, source``); ranks start at 1 by falling value, then item."""
-    counts = scratch.save(term_counts(docs), "term-counts")
-    kept = scratch.save(kept_terms(counts, min_docs), "kept-terms")
-    of_lang = scratch.save(frames(counts, kept), "source-lists")
+    kept = scratch.save(kept_terms(term_counts(docs), min_docs), "kept-terms")
+    of_lang = scratch.save(frames(docs, kept), "source-lists")
     wide = vectors(kept, of_lang)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))

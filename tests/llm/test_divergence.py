@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from corpusmill.llm import source_divergence
 
 from . import brute
@@ -67,3 +69,33 @@ def test_counts_beyond_the_range_of_doubles(spark):
 
 def test_empty_table(spark):
     assert rows(spark, [], 1, 5) == []
+
+
+def test_words_are_counted_before_rows_are_made(spark):
+    """Counts by language and term come by one exchange, and no row is made for a word of a text."""
+    df = brute.table(spark, ["a b"], langs=["en"], sources=["x"])
+    plan = source_divergence.kept_terms(source_divergence.term_counts(df), 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate " not in plan
+
+
+def test_counts_of_runs_add_up(monkeypatch):
+    """Runs of a few bytes and rows: terms meet at the ends of texts, case, zero bytes and code points of several bytes."""
+    texts = ["ab", "AB ab", "", "b\x00B\x7fb", "é[É`é@x{", "漢字 a漢", "12 !", "ab" * 30, "\u0085a\u00a0b", "ſK İ"] * 7
+    docs = [(x, ["en", "fr", ""][k % 3], ["s", "t"][k % 2]) for k, x in enumerate(texts)]
+    table = pa.table([pa.array(c, pa.string()) for c in ([d[1] for d in docs], [d[2] for d in docs], texts)], ["lang", "source", "text"])
+    want_n, want_docs = Counter(), Counter()
+    for text, lang, source in docs:
+        words = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.translate(LOW))
+        want_n.update((lang, source, w) for w in words)
+        want_docs.update((lang, source, w) for w in set(words))
+    for run, rows_at_once in [(1, 1), (16, 7), (50, 1000), (1 << 24, 1 << 16)]:
+        monkeypatch.setattr(source_divergence, "RUN", run)
+        monkeypatch.setattr(source_divergence, "ROWS", rows_at_once)
+        n, n_docs = Counter(), Counter()
+        for batch in source_divergence._counts(iter(table.to_batches())):
+            found = batch.to_pylist()
+            assert len({(r["lang"], r["source"], r["term"]) for r in found}) == len(found)
+            for r in found:
+                n[r["lang"], r["source"], r["term"]] += r["n"]
+                n_docs[r["lang"], r["source"], r["term"]] += r["n_docs"]
+        assert n == want_n and n_docs == want_docs
