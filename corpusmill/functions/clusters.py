@@ -1,18 +1,22 @@
 """Vectorised passes over whole batches of Myanmar text: base letters with their marks.
 
 The texts of a batch lie end to end as code points; classes come from a table of the script's block,
-so counting and reordering are array operations, whatever the number of rows.
+so counting and reordering are array operations, whatever the number of rows.  A batch of Arrow is taken
+in parts, as arrays are some thirty times a text's size.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .repair import cluster_spans
 from .script import MARK_ORDER
 
 LOW, HIGH = 0x1000, 0x109F
@@ -26,6 +30,36 @@ _BASE[0x1000 - LOW : 0x1022 - LOW] = True  # the consonants and the first vowel
 _BASE[[0x1025 - LOW, 0x1027 - LOW]] = True
 
 
+#: Bytes of text that a pass holds as arrays at once; a longer text is a part of its own.
+PART = 1 << 20
+
+
+def parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The array in slices of at most ``PART`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right"))
+        to = max(to, at + 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def text_column(f: Callable[[list[str]], list[str]]):
+    """A column function of a function of lists of strings; null stays null."""
+
+    @F.arrow_udf("string")
+    def apply(texts: pa.Array) -> pa.Array:
+        done = []
+        for part in parts(texts):
+            known = part.is_valid()
+            made = iter(f(part.drop_null().to_pylist()))
+            done.append(pa.array((next(made) if k else None for k in known.to_pylist()), pa.string()))
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+    return apply
+
+
 class Batch:
     """Code points of many texts end to end."""
 
@@ -149,17 +183,21 @@ def _sort_marks(b: Batch) -> None:
 _FIELDS = ("score", "orphan", "disorder", "duplicate", "marks", "ratio")
 
 
-def _scores(s: pd.Series) -> pd.DataFrame:
-    c = counts(s.fillna("").tolist())
-    share = lambda a, b: c[a] / np.maximum(c[b], 1)
-    orphan, disorder = share("orphans", "marks"), share("disorder", "pairs")
-    score = np.where(c["marks"] > 0, 1 - np.maximum(orphan, disorder), 0.0)
-    return pd.DataFrame({"score": score, "orphan": orphan, "disorder": disorder, "duplicate": share("duplicate", "attached"), "marks": c["marks"], "ratio": share("script", "n")})
+def _scores(texts: pa.Array) -> pa.Array:
+    made = []
+    for part in parts(texts):
+        c = counts(pc.fill_null(part, "").to_pylist())
+        share = lambda a, b: c[a] / np.maximum(c[b], 1)  # noqa: B023, E731
+        orphan, disorder = share("orphans", "marks"), share("disorder", "pairs")
+        score = np.where(c["marks"] > 0, 1 - np.maximum(orphan, disorder), 0.0)
+        made.append((score, orphan, disorder, share("duplicate", "attached"), c["marks"].astype(np.int64), share("script", "n")))
+    columns = [np.concatenate(x) for x in zip(*made, strict=True)] or [np.zeros(0, np.int64 if name == "marks" else np.float64) for name in _FIELDS]
+    return pa.StructArray.from_arrays([pa.array(x) for x in columns], list(_FIELDS))
 
 
 def structural_score(text: Column) -> Column:
     """``struct(score, orphan, disorder, duplicate, marks, ratio)``; without marks the score is 0, null is empty."""
-    return F.pandas_udf(_scores, "score double, orphan double, disorder double, duplicate double, marks bigint, ratio double")(text)
+    return F.arrow_udf(_scores, "score double, orphan double, disorder double, duplicate double, marks bigint, ratio double")(text)
 
 
 def with_structural_score(df: DataFrame, text: Column) -> DataFrame:
@@ -170,12 +208,19 @@ def with_structural_score(df: DataFrame, text: Column) -> DataFrame:
 
 def order_column(glue: str):
     """A column function for :func:`ordered`; null stays null."""
+    return text_column(lambda texts: ordered(texts, glue))
 
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        some = s.notna()
-        out = s.copy()
-        out[some] = ordered(s[some].tolist(), glue)
-        return out
 
-    return apply
+def _spans(texts: pa.Array) -> pa.Array:
+    ends, cuts = [], [np.zeros(1, np.int32)]
+    for part in parts(texts):
+        found = [cluster_spans(t) if t is not None else [] for t in part.to_pylist()]
+        cuts.append(np.cumsum([len(x) for x in found], dtype=np.int32) + cuts[-1][-1])
+        ends.append(np.array([x for spans in found for x in spans], np.int32).reshape(-1, 2))
+    a, b = (pa.array(x) for x in np.concatenate([np.zeros((0, 2), np.int32), *ends]).T)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(cuts)), pa.StructArray.from_arrays([a, b], ["a", "b"]), mask=texts.is_null())
+
+
+def spans(text: Column) -> Column:
+    """``array<struct(a, b)>``, the spans of :func:`repair.cluster_spans`; null stays null."""
+    return F.arrow_udf(_spans, "array<struct<a:int,b:int>>")(text)

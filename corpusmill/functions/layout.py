@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,18 +73,6 @@ def replace_in_turn(t: Column, table: dict[str, str]) -> Column:
     return t
 
 
-def _whole(f):
-    """A column function of a function of lists of strings; null stays null."""
-
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        some, out = s.notna(), s.copy()
-        out[some] = f(s[some].tolist())
-        return out
-
-    return apply
-
-
 def _composed(texts: list[str]) -> list[str]:
     return [unicodedata.normalize("NFC", t) for t in texts]
 
@@ -93,12 +80,12 @@ def _composed(texts: list[str]) -> list[str]:
 def engine_normalise(t: Column, punctuation: bool = False) -> Column:
     """Composed, without glue (and punctuation), marks in order, then the imposters; null stays null."""
     glue = GLUE + (PUNCTUATION if punctuation else "")
-    return replace_in_turn(_whole(lambda texts: clusters.sorted_marks(_composed(texts), glue))(t), IMPOSTERS)
+    return replace_in_turn(clusters.text_column(lambda texts: clusters.sorted_marks(_composed(texts), glue))(t), IMPOSTERS)
 
 
 def deletion_normalise(t: Column) -> Column:
     """Composed, without blocks, imposters replaced, then marks in order; glue stays."""
-    return _whole(clusters.sorted_marks)(replace_in_turn(delete_blocks(_whole(_composed)(t)), IMPOSTERS))
+    return clusters.text_column(clusters.sorted_marks)(replace_in_turn(delete_blocks(clusters.text_column(_composed)(t)), IMPOSTERS))
 
 
 def mapper_normalise(t: Column) -> Column:
