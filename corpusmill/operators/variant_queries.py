@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import layout, legacy_rules, repair, script
+from ..functions import clusters, layout, legacy_rules, script
 from ..plans.catalog import Catalog, load
 from ..plans.storage import new_path
 from ..sources import files, pdf, sinks, writers
@@ -173,8 +173,7 @@ SELECT doc_id, CAST(len(c) AS INT) AS clusters, CAST(coalesce(list_sum(list_tran
 FROM (SELECT doc_id, regexp_extract_all({_MM}, '[က-ဪဿ](?:[{script.MARK_ORDER}]|္[က-ဪ])*') AS c FROM documents)""")
 def cluster_counts(spark, sf):
     """Clusters of each text and the characters that they cover, by their spans."""
-    spans = F.pandas_udf(lambda s: s.map(lambda t: [{"a": a, "b": b} for a, b in repair.cluster_spans(t)]), "array<struct<a:int,b:int>>")
-    d = _texts(spark, sf).select("doc_id", spans("t").alias("s"))
+    d = _texts(spark, sf).select("doc_id", clusters.spans(F.col("t")).alias("s"))
     return d.select("doc_id", F.size("s").alias("clusters"), F.aggregate("s", F.lit(0), lambda n, x: n + x["b"] - x["a"]).alias("covered"))
 
 
