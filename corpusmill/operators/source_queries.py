@@ -22,7 +22,7 @@ def _lines(rows: DataFrame, line, name: str) -> str:
 @C.add("line_scan", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY line")
 def line_scan(spark, sf):
     path = _lines(load(spark, sf, "documents"), F.col("text"), "lines")
-    return files.text_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return files.loose_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @C.add("whole_file_read", "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COLLECTION = ("author", "book", "text", "segmented", "sha256")
@@ -40,10 +40,22 @@ def search_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEARCH).option("multiLine", True).json(path)
 
 
+def loose_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line`` of text files, in no order: Spark cuts a large file into parts, so none is held whole."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, k, line`` of whole text files, in order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\n$", "").alias("value"))
-    return files.select("path", F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    """``path, k, line`` of text files, lines numbered in order from 0; no file is held whole.
+
+    Lines are numbered in each part that Spark cuts a file into; parts are few, so the lines before each are added up in a small table.
+    """
+    part = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part")]
+    rows = spark.read.option("lineSep", "\n").text(path).select(*part, F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    parts = rows.groupBy("path", "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("part")) - F.col("n")
+    parts = parts.select("path", "part", "first", before.alias("before"))
+    return rows.join(F.broadcast(parts), ["path", "part"]).select("path", (F.col("id") - F.col("first") + F.col("before")).cast("int").alias("k"), "line")
 
 
 def failed_ledger(spark: SparkSession, path: str) -> DataFrame:

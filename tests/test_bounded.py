@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions import clusters, repair, script
+from corpusmill.functions import clusters, layout, repair, script
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,34 @@ def test_columns_over_parts(spark, texts):
     assert column(clusters.order_column(repair.GLUE)("t")) == maybe(repair.order_text)
     assert column(clusters.text_column(lambda x: clusters.sorted_marks(x, ""))("t")) == maybe(repair.reorder_text)
     assert column(F.transform(clusters.spans(F.col("t")), lambda x: F.array(x["a"], x["b"]))) == maybe(lambda t: [list(s) for s in repair.cluster_spans(t)])
+
+
+def test_lines_of_large_files(spark, tmp_path):
+    from corpusmill.sources import files
+
+    rnd = random.Random(3)
+    texts = {f"f{k}": "\n".join("".join(rnd.choices("ab \r\u2028", k=rnd.randint(0, 60))) for _ in range(rnd.randint(1, 400))) for k in range(4)} | {"last": "a\n\n"}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode() + b"\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # parts of files
+    try:
+        parts = files.loose_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+        got = {(r.path.rsplit("/", 1)[1], r.k, r.line) for r in files.text_lines(spark, str(tmp_path)).collect()}
+        loose = sorted(r.line for r in files.loose_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert parts > len(texts)
+    assert got == {(name, k, line) for name, t in texts.items() for k, line in enumerate(t.split("\n"))}
+    assert loose == sorted(line for t in texts.values() for line in t.split("\n"))
+
+
+def test_modes_in_one_pass(spark, texts, monkeypatch):
+    monkeypatch.setattr(clusters, "PART", 300)
+    some = [*texts, "God of  Slaughter က {x}  ၁၂ 34", "{{}}"]
+    d = spark.createDataFrame(list(enumerate(some)), "k int, t string")
+    one = d.select("k", layout.every_mode(F.col("t")).alias("m"), *[layout.normaliser(m)(F.col("t")).alias(m) for m in layout.MODES[:-1]])
+    wrapped = d.select("k", layout.wrap_blocks(layout.engine_normalise(F.col("t"))).alias("w"))
+    rows = one.join(wrapped, "k").collect()
+    assert len(rows) == len(some)
+    assert all((r.m.normalize, r.m.mynormalize, r.m.mapper) == (r.normalize, r.mynormalize, r.w) and r.mapper == r.w for r in rows)
