@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,20 +79,59 @@ def _composed(texts: list[str]) -> list[str]:
     return [unicodedata.normalize("NFC", t) for t in texts]
 
 
+_BLOCKS, _SPACES = re.compile(BLOCK), re.compile(" +")
+
+
+def _imposters_replaced(t: str) -> str:
+    """:func:`replace_in_turn` with the imposters, of one text."""
+    for k in sorted(IMPOSTERS, key=len, reverse=True):
+        t = t.replace(k, IMPOSTERS[k])
+    return t
+
+
+def _wrapped(t: str) -> str:
+    """:func:`wrap_blocks` of one text."""
+    return _BLOCKS.sub(lambda m: f"{{{_SPACES.sub(' ', m[1])}}}{m[2]}", t.replace("{", "").replace("}", ""))
+
+
+def _engine(composed: list[str], glue: str = GLUE) -> list[str]:
+    return [_imposters_replaced(t) for t in clusters.sorted_marks(composed, glue)]
+
+
+def _deletion(composed: list[str]) -> list[str]:
+    return clusters.sorted_marks([_imposters_replaced(_BLOCKS.sub(r"\2", t)) for t in composed])
+
+
 def engine_normalise(t: Column, punctuation: bool = False) -> Column:
     """Composed, without glue (and punctuation), marks in order, then the imposters; null stays null."""
     glue = GLUE + (PUNCTUATION if punctuation else "")
-    return replace_in_turn(clusters.text_column(lambda texts: clusters.sorted_marks(_composed(texts), glue))(t), IMPOSTERS)
+    return clusters.text_column(lambda texts: _engine(_composed(texts), glue))(t)
 
 
 def deletion_normalise(t: Column) -> Column:
     """Composed, without blocks, imposters replaced, then marks in order; glue stays."""
-    return clusters.text_column(clusters.sorted_marks)(replace_in_turn(delete_blocks(clusters.text_column(_composed)(t)), IMPOSTERS))
+    return clusters.text_column(lambda texts: _deletion(_composed(texts)))(t)
 
 
 def mapper_normalise(t: Column) -> Column:
     """:func:`engine_normalise`, then blocks in braces."""
-    return wrap_blocks(engine_normalise(t))
+    return clusters.text_column(lambda texts: [_wrapped(x) for x in _engine(_composed(texts))])(t)
+
+
+def every_mode(t: Column) -> Column:
+    """``struct(normalize, mynormalize, mapper)`` of a text in one pass; nulls where it is null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        done = []
+        for part in clusters.parts(texts):
+            known = part.is_valid().to_pylist()
+            composed = _composed(part.drop_null().to_pylist())
+            engine = _engine(composed)
+            made = [iter(x) for x in (engine, _deletion(composed), map(_wrapped, engine))]
+            done.append(pa.StructArray.from_arrays([pa.array((next(x) if k else None for k in known), pa.string()) for x in made], list(MODES[:-1])))
+        return pa.concat_arrays(done) if done else pa.array([], pa.struct([(m, pa.string()) for m in MODES[:-1]]))
+
+    return F.arrow_udf(run, ", ".join(f"{m} string" for m in MODES[:-1]))(t)
 
 
 def normaliser(mode: str | None):

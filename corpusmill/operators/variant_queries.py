@@ -55,7 +55,8 @@ def normaliser_modes(spark, sf):
     """Each text by the three modes of the normaliser; half of a text keeps its Latin letters."""
     half = F.concat(F.col("t"), F.lit(" "), F.reverse("raw"))
     d = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("raw")).withColumn("t", script.as_myanmar(F.col("raw"))).select("doc_id", half.alias("t"))
-    return d.select("doc_id", *[F.md5(layout.normaliser(m)(F.col("t"))).alias(m) for m in layout.MODES[:-1]])
+    m = d.select("doc_id", layout.every_mode(F.col("t")).alias("m"))
+    return m.select("doc_id", *[F.md5(F.col(f"m.{name}")).alias(name) for name in layout.MODES[:-1]])
 
 
 @C.add("normalised_scan")
@@ -63,7 +64,7 @@ def normalised_scan(spark, sf):
     """Lines of a file by the mapper's normaliser, equal ones counted."""
     path = new_path(spark, "normalised")
     _texts(spark, sf).select("t").write.text(path)
-    lines = files.text_lines(spark, path).select(layout.mapper_normalise(F.col("line")).alias("line"))
+    lines = files.loose_lines(spark, path).select(layout.mapper_normalise(F.col("line")).alias("line"))
     return lines.groupBy(F.md5("line").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
