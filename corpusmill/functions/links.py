@@ -121,6 +121,19 @@ def is_prefix_child(child: Column, parent: Column) -> Column:
     return (host(child) == host(parent)) & part(child, 5).startswith(F.concat(at, F.lit("/"))) & (F.length(part(child, 5)) > F.length(at) + 1)
 
 
+def trunk(url: Column) -> Column:
+    """The path without slashes at its end."""
+    return F.regexp_replace(part(url, 5), "/+$", "")
+
+
+def trunks_above(url: Column) -> Column:
+    """Every part of the path in front of a slash that something follows: the trunks of those that :func:`is_prefix_child` takes for parents."""
+    path = part(url, 5)
+    segments = F.split(path, "/")
+    fronts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1))), lambda k: F.array_join(F.slice(segments, 1, k), "/"))
+    return F.when(path.contains("/"), F.filter(fronts, lambda x: F.length(path) > F.length(x) + 1))
+
+
 def is_query_child(child: Column, parent: Column) -> Column:
     """Same host and path, another query that isn't empty."""
     return (host(child) == host(parent)) & (part(child, 5) == part(parent, 5)) & (part(child, 6) != "") & (part(child, 6) != part(parent, 6))

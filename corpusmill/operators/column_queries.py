@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clusters, legacy_rules, links, script, splitters
 from ..plans.catalog import Catalog, load
 from ..sources import sinks
+from .text_queries import prefix_pairs
 
 C = Catalog()
 _MM = script.as_myanmar_sql("coalesce(text, '')")
@@ -184,10 +185,8 @@ def url_variant_forms(spark, sf):
 
 @C.add("prefix_children", f"SELECT a.page_id AS parent, b.page_id AS child FROM {_URLS} a JOIN {_URLS} b ON a.h = b.h AND a.k = b.k AND NOT starts_with(a.tail, '/') AND starts_with(b.tail, '/')")
 def prefix_children(spark, sf):
-    """Pairs of one host where the second path extends the first; joined by host."""
-    p = _urls(spark, sf).withColumn("h", links.host(F.col("u")))
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & links.is_prefix_child(F.col("b.u"), F.col("a.u"))).select(F.col("a.page_id").alias("parent"), F.col("b.page_id").alias("child"))
+    """Pairs of one host where the second path extends the first; joined by the paths in front of each slash."""
+    return prefix_pairs(_urls(spark, sf), "u")
 
 
 @C.add("query_children", f"SELECT a.page_id AS parent, b.page_id AS child FROM {_URLS} a JOIN {_URLS} b ON a.h = b.h AND a.k = b.k AND NOT starts_with(a.tail, '/') AND starts_with(b.tail, '?') AND a.tail <> b.tail")

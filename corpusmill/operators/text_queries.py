@@ -194,9 +194,25 @@ def url_ancestors(spark, sf):
 WITH p AS (SELECT page_id, {_HOST} AS h, {_PART(5)} AS path FROM pages)
 SELECT a.page_id AS parent, b.page_id AS child FROM p a JOIN p b ON a.h = b.h AND starts_with(b.path, regexp_replace(a.path, '/+$', '') || '/') AND length(b.path) > length(regexp_replace(a.path, '/+$', '')) + 1""")
 def url_children(spark, sf):
-    p = _pages(spark, sf).select("page_id", "url", links.host(F.col("url")).alias("h"))
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & links.is_prefix_child(F.col("b.url"), F.col("a.url"))).select(F.col("a.page_id").alias("parent"), F.col("b.page_id").alias("child"))
+    return prefix_pairs(_pages(spark, sf))
+
+
+#: Tasks that the children of one parent are dealt to.
+SHARES = 32
+
+
+def prefix_pairs(pages: DataFrame, url: str = "url") -> DataFrame:
+    """``parent, child``: pairs of ``page_id`` where :func:`links.is_prefix_child` holds.
+
+    Children meet the parts of their own paths, so nothing is compared that isn't a pair.  As few rows make many pairs, the
+    children of a parent are dealt to some tasks, which Spark then doesn't merge.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h, u = links.host(F.col(url)).alias("h"), F.col(url)
+    a = pages.select(F.col("page_id").alias("parent"), h, links.trunk(u).alias("front")).where("h is not null").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    b = pages.select(F.col("page_id").alias("child"), h, F.explode(links.trunks_above(u)).alias("front")).where("h is not null").withColumn("share", F.pmod(F.xxhash64("child"), F.lit(SHARES)).cast("int"))
+    on = ["h", "front", "share"]
+    return a.repartition(n, *on).join(b.repartition(n, *on), on).select("parent", "child")
 
 
 # ---- identities

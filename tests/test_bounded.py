@@ -82,3 +82,58 @@ def test_modes_in_one_pass(spark, texts, monkeypatch):
     rows = one.join(wrapped, "k").collect()
     assert len(rows) == len(some)
     assert all((r.m.normalize, r.m.mynormalize, r.m.mapper) == (r.normalize, r.mynormalize, r.w) and r.mapper == r.w for r in rows)
+
+
+def test_prefix_pairs_compare_no_others(spark):
+    from corpusmill.functions import links
+    from corpusmill.operators.text_queries import prefix_pairs
+
+    rnd = random.Random(6)
+    paths = ["", "/", "//", "/a/", *("".join(rnd.choices("/ab", k=rnd.randint(0, 9))) for _ in range(150))]
+    urls = [None, "x", "ftp:/a", *(f"http://{rnd.choice(['h', 'H', 'g'])}{'/' if p and p[0] != '/' else ''}{p}{rnd.choice(['', '?q=/a', '#/b'])}" for p in paths)]
+    p = spark.createDataFrame(list(enumerate(urls)), "page_id long, u string")
+    a, b = p.alias("a"), p.alias("b")
+    want = a.crossJoin(b).where(links.is_prefix_child(F.col("b.u"), F.col("a.u"))).select("a.page_id", "b.page_id")
+    out = prefix_pairs(p, "u")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1000
+    assert "startswith" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("spaced", [False, True])
+def test_facts_of_tokens(spark, monkeypatch, spaced):
+    from corpusmill.functions import tries
+
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcd။" + (" }" if spaced else "")) for _ in range(rng.randint(1, 3))) for _ in range(40)})
+    ids = [f"S{k % 25}" for k in range(len(words))]  # some share an id
+    syllables = spark.createDataFrame(list(zip(words, ids, strict=True)), "syllable string, id string")
+    paths = sorted({tuple(rng.choice(ids) for _ in range(rng.randint(1, 5))) for _ in range(900)})
+    table = spark.createDataFrame([(list(p), rng.sample("nvp", rng.randint(1, 3))) for p in paths], "path array<string>, tags array<string>")
+    texts = [None, "", " \n", *("".join(rng.choice("abcd။1  \n\u2003" + rng.choice(["", "{}"])) for _ in range(rng.randint(0, 80))) for _ in range(150))]
+    texts += [f"{t} {t}" for t in texts[3:60]]
+    docs = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(texts)], "id int, text string, x double")
+    monkeypatch.setattr(tries, "WORDS", 20)
+    want, lines, crossing = {}, {}, 0
+    first, second = tries.Trie(list(zip(words, ids, strict=True))), tries.Trie((r.path, r.tags) for r in table.collect())
+    for k, t in enumerate(texts):
+        if t is None:
+            want[k], lines[k] = (None, None), None
+            continue
+        surface, found = tries._pieces(t, first)
+        tokens, at = [], 0
+        for end, tags in tries._tokens(surface, found, second):
+            tokens.append((at, end, tags))
+            crossing += "".join(surface[at:end]) not in t
+            at = end
+        final = lambda tags: "rbvn" if sorted(tags) == ["n", "v"] else tags[0]
+        counts = (len(surface), len(tokens), sum(len(g) > 1 for *_, g in tokens), sum(final(g) == "rbvn" for *_, g in tokens))
+        want[k] = (*counts, " ".join(f"{''.join(surface[a:b])}{{{final(g)}}}" for a, b, g in tokens)), (*counts, " ".join("".join(x or "" for x in found[a:b]) for a, b, _ in tokens))
+        lines[k] = "  ".join(surface)
+    assert crossing > 20  # tokens over white space
+    for most in (10**6, 0):
+        monkeypatch.setattr(tries, "MOST", most)
+        for n, merged in enumerate((False, True)):
+            out = tries.token_facts(docs, syllables, table, merged)
+            assert out.columns == ["id", "x", "facts"]
+            assert {r.id: r.facts and tuple(r.facts) for r in out.collect()} == {k: w[n] for k, w in want.items()}
+        assert {r.id: r.facts for r in tries.line_facts(docs, syllables).collect()} == lines
