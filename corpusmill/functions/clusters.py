@@ -30,16 +30,17 @@ _BASE[0x1000 - LOW : 0x1022 - LOW] = True  # the consonants and the first vowel
 _BASE[[0x1025 - LOW, 0x1027 - LOW]] = True
 
 
-#: Bytes of text that a pass holds as arrays at once; a longer text is a part of its own.
-PART = 1 << 20
+#: Bytes of text that a pass holds as arrays at once, which then stay in the cache; a longer text is a part of its own.
+PART = 1 << 17
 
 
-def parts(texts: pa.Array) -> Iterator[pa.Array]:
-    """The array in slices of at most ``PART`` bytes."""
+def parts(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """The array in slices of at most ``most`` bytes (``PART`` by default)."""
+    most = most or PART
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
-        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right"))
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
         to = max(to, at + 1)
         yield texts.slice(at, to - at)
         at = to
