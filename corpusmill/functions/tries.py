@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import joined
+from . import clusters, joined
 
 FULL_STOP = "။"
 MOST = 2_000_000
@@ -196,8 +196,11 @@ def tag(docs: DataFrame, syllables: DataFrame, paths: DataFrame, text: str = "te
     second = _shared(docs, ((r["path"], r["tags"]) for r in two))
 
     def run(texts: pa.Array) -> pa.Array:
-        texts = texts.to_pylist()
-        return _token_array(texts, lambda k: _pieces(texts[k], first.value), lambda k, ids: second.value)
+        done = []
+        for part in clusters.parts(texts):
+            part = part.to_pylist()
+            done.append(_token_array(part, lambda k: _pieces(part[k], first.value), lambda k, ids: second.value))  # noqa: B023
+        return pa.concat_arrays(done) if done else _token_array([], None, None)
 
     return docs.withColumn("tokens", F.arrow_udf(run, TOKENS)(F.col(text)))
 
@@ -208,6 +211,211 @@ def resolve(tokens):
     return F.transform(tokens, lambda t, k: F.struct(F.array_join(t["syllables"], "").alias("surface"), F.array_join(t["ids"], "").alias("id"), t["tags"].alias("tags"), F.when(pair(t), "rbvn").otherwise(F.get(t["tags"], F.lit(0))).alias("final"), (F.size(t["syllables"]) == 1).alias("single"), (F.size(t["tags"]) > 1).alias("ambiguous"), k.alias("position")))
 
 
+#: Words that a worker remembers with their tokens or as lines, the length of the longest, and bytes of text whose results are sent at once.
+WORDS, LINES, WORD, SENT = 100_000, 400_000, 40, 1 << 20
+FACTS = "pieces int, tokens int, ambiguous int, joined int, line string"
+_FACTS = pa.struct([(f.split()[0], pa.string() if f.endswith("string") else pa.int32()) for f in FACTS.split(", ")])
+
+
+class _Word:
+    """Pieces of what lies between white space, and the facts of its tokens by the piece where they begin."""
+
+    __slots__ = ("surface", "ids", "at")
+
+    def __init__(self, surface: list[str], ids: list[str | None]):
+        self.surface, self.ids, self.at = surface, ids, {}
+
+
+class Facts:
+    """What is told of a text's tokens, without the tokens: words and the ends of words are walked once each.
+
+    A syllable without white space never crosses it, so a word's pieces are its own.  Paths may cross it: tokens of a word are
+    settled up to the first whose path could go on behind it, and from there on by the pieces that follow, as many as a path takes in.
+    A text with masked spans is one word, as is any if a syllable has white space.
+    """
+
+    def __init__(self, syllables: list, paths: list, merged: bool):
+        self.syllables, self.paths, self.merged = Trie(syllables), Trie(paths), merged
+        self.depth = max((len(p) for p, _ in paths), default=1)
+        self.cut = not any(c.isspace() for s, _ in syllables for c in s)
+        self.words: dict[str, _Word] = {}
+        self.ends: dict[tuple, tuple] = {}
+        self.lines: dict[str, str] = {}
+
+    def whole(self, t: str) -> bool:
+        return not self.cut or ("{" in t and "}" in t)
+
+    def words_of(self, t: str) -> list[_Word]:
+        if self.whole(t):
+            return [_Word(*_pieces(t, self.syllables))]
+        found, known = [], self.words
+        for w in t.split():
+            word = known.get(w)
+            if word is None:
+                word = _Word(*_pieces(w, self.syllables))
+                if len(w) <= WORD:
+                    if len(known) >= WORDS:
+                        known.clear()
+                    known[w] = word
+            found.append(word)
+        return found
+
+    def _path(self, ids: list, k: int) -> tuple[int, object, bool]:
+        """End and value of the longest path, and whether one could go on behind the last id."""
+        node, end, value = self.paths.root, k + 1, None
+        for i in range(k, len(ids)):
+            node = node.get(ids[i])
+            if node is None:
+                return end, value, False
+            if VALUE in node:
+                end, value = i + 1, node[VALUE]
+        return end, value, len(node) > (VALUE in node)
+
+    def _settle(self, surface: list, ids: list, k: int, own: int, last: bool) -> tuple:
+        """Where tokens from piece ``k`` on are settled up to, their number, ambiguous and joined ones, and their line (None without any).
+
+        Tokens begin before piece ``own``; unless it is the ``last`` that is known, one that could go on is left.
+        """
+        tokens = ambiguous = joined = 0
+        shown = []
+        while k < own:
+            if surface[k] == FULL_STOP:
+                end, tags = k + 1, ["eos"]
+            elif ids[k] is None:
+                end, tags = k + 1, [surface_class(surface[k])]
+            else:
+                end, tags, more = self._path(ids, k)
+                if more and not last:
+                    break
+                tags = tags or ["?"]
+            pair = len(tags) == 2 and "n" in tags and "v" in tags
+            tokens += 1
+            ambiguous += len(tags) > 1
+            joined += pair
+            if self.merged:
+                shown.append("".join(x or "" for x in ids[k:end]))
+            elif pair or tags[0] is not None:
+                shown.append(f"{''.join(surface[k:end])}{{{'rbvn' if pair else tags[0]}}}")
+            k = end
+        return k, tokens, ambiguous, joined, " ".join(shown) if shown else None
+
+    def of(self, t: str) -> tuple[int, int, int, int, str]:
+        words = self.words_of(t)
+        pieces = tokens = ambiguous = joined = over = 0
+        lines = []
+        for i, word in enumerate(words):
+            n = len(word.ids)
+            pieces += n
+            if over >= n:  # a path before took it in
+                over -= n
+                continue
+            settled = word.at.get(over)
+            if settled is None:
+                settled = word.at[over] = self._settle(word.surface, word.ids, over, n, False)
+            k, a, b, c, line = settled
+            tokens, ambiguous, joined = tokens + a, ambiguous + b, joined + c
+            if line is not None:
+                lines.append(line)
+            if k < n:
+                k, a, b, c, line = self._end(words, i, k)
+                tokens, ambiguous, joined = tokens + a, ambiguous + b, joined + c
+                if line is not None:
+                    lines.append(line)
+            over = k - n
+        return pieces, tokens, ambiguous, joined, " ".join(lines)
+
+    def _end(self, words: list[_Word], i: int, k: int) -> tuple:
+        """The tokens of a word from piece ``k`` on, by the pieces that follow."""
+        word, need, behind, j = words[i], self.depth - 1, [], i + 1
+        while len(behind) < need and j < len(words):
+            behind += zip(words[j].surface[:need], words[j].ids[:need], strict=True)
+            j += 1
+        behind = behind[:need]
+        key = (tuple(word.surface[k:]), tuple(behind))
+        found = self.ends.get(key)
+        if found is None:
+            own = len(word.ids) - k
+            surface, ids = word.surface[k:] + [s for s, _ in behind], word.ids[k:] + [x for _, x in behind]
+            found = self._settle(surface, ids, 0, own, True)
+            if own <= WORD:
+                if len(self.ends) >= WORDS:
+                    self.ends.clear()
+                self.ends[key] = found
+        return (found[0] + k, *found[1:])
+
+    def line(self, t: str) -> str:
+        if self.whole(t):
+            return "  ".join(_pieces(t, self.syllables)[0])
+        shown, known = [], self.lines
+        for w in t.split():
+            line = known.get(w)
+            if line is None:
+                line = "  ".join(_pieces(w, self.syllables)[0])
+                if len(w) <= WORD:
+                    if len(known) >= LINES:
+                        known.clear()
+                    known[w] = line
+            shown.append(line)
+        return "  ".join(shown)
+
+
+def _facts_frame(docs: DataFrame, text: str, facts, schema: str, of) -> DataFrame:
+    """``docs`` with columns that ``of`` makes of a text (an Arrow array of a list of texts) in place of the text."""
+    kept = [c for c in docs.columns if c != text]
+    spark = docs.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = facts.value
+        for batch in batches:
+            at = 0
+            for part in clusters.parts(batch.column(0), SENT):
+                rows = batch.slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], of(shared, part.to_pylist())], [*kept, "facts"])
+
+    first = docs.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in kept])
+    out = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("facts", spark.createDataFrame([], f"x {schema}").schema["x"].dataType)
+    return first.mapInArrow(run, out)
+
+
+def _facts_of(shared: Facts, texts: list) -> pa.Array:
+    return pa.array([None if t is None else dict(zip(_FACTS.names, shared.of(t), strict=True)) for t in texts], _FACTS)
+
+
+def _lines_of(shared: Facts, texts: list) -> pa.Array:
+    return pa.array([None if t is None else shared.line(t) for t in texts], pa.string())
+
+
+def token_facts(docs: DataFrame, syllables: DataFrame, paths: DataFrame, merged: bool = False, text: str = "text") -> DataFrame:
+    """``docs`` with ``facts`` in place of the text: ``struct(pieces, tokens, ambiguous, joined, line)`` of what :func:`pipeline` resolves.
+
+    The line has each token's surface with its final tag in braces or, if ``merged``, its ids; joined are tokens that end as ``rbvn``.
+    Tokens themselves never leave a worker, as they are a hundred times the size of their letters.  Null gives null.
+    """
+    one, two = rows_of(syllables), rows_of(paths)
+    if one is not None and two is not None:
+        facts = Facts([(r["syllable"], r["id"]) for r in one], [(r["path"], r["tags"]) for r in two], merged)
+        return _facts_frame(docs, text, docs.sparkSession.sparkContext.broadcast(facts), f"struct<{FACTS.replace(' ', ':').replace(',:', ',')}>", _facts_of)
+    t = F.col("mill_tokens")
+    out = tag(docs.withColumnRenamed(text, "mill_said"), syllables, paths, "mill_said")
+    out = out.withColumn("mill_pieces", F.flatten("tokens.ids")).withColumn("mill_tokens", resolve(F.col("tokens")))
+    shown = F.transform(t, lambda x: x["id"] if merged else F.concat(x["surface"], F.lit("{"), x["final"], F.lit("}")))
+    count = lambda f: F.size(F.filter(t, f))
+    pieces = F.size("mill_pieces")
+    facts = F.struct(pieces.alias("pieces"), F.size(t).alias("tokens"), count(lambda x: x["ambiguous"]).alias("ambiguous"), count(lambda x: x["final"] == "rbvn").alias("joined"), F.array_join(shown, " ").alias("line"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.when(t.isNotNull(), facts).alias("facts"))
+
+
+def line_facts(docs: DataFrame, syllables: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``facts`` in place of the text: its segments as a line."""
+    rows = rows_of(syllables)
+    if rows is not None:
+        facts = Facts([(r["syllable"], r["id"]) for r in rows], [], False)
+        return _facts_frame(docs, text, docs.sparkSession.sparkContext.broadcast(facts), "string", _lines_of)
+    out = segment(docs, syllables, text).withColumn("facts", F.array_join(F.col("pieces.surface"), "  "))
+    return out.drop("pieces", text)
+
+
 def pipeline(docs: DataFrame, syllables: DataFrame, paths: DataFrame, signature: str = "public") -> DataFrame:
     """Text to segments (``public``, ``scraper``), to resolved tokens (``site``, ``proofreading``) or both with all views (``debugger``)."""
     if signature not in ("public", "scraper", "site", "proofreading", "debugger"):
