@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,56 +183,62 @@ def guarded_upsert(stored: DataFrame, arriving: DataFrame, least: int = 200) ->
     """
     cols = ["author", "book", "text", "segmented", "sha256"]
     every = stored.select(F.lit(0).alias("new"), "seq", *cols).unionByName(arriving.select(F.lit(1).alias("new"), "seq", *cols))
-    every = every.withColumn("row", F.xxhash64("new", "seq", "book", "sha256"))
-    group = connected(every.select("row", F.array(F.concat(F.lit("b:"), "book"), F.when(F.col("sha256") != "", F.concat(F.lit("s:"), "sha256")), F.when(F.length(F.trim("text")) >= least, F.concat(F.lit("t:"), F.sha2(F.trim("text"), 256)))).alias("keys")))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["new", "seq"], kind="stable")
-        kept: list[dict] = []
-        by_sha, by_text, by_book = {}, {}, {}
-        tally = {"added": 0, "replaced": 0, "denied": 0}
-
-        def enter(k: int, r: dict) -> None:
-            if r["sha256"]:
-                by_sha[r["sha256"]] = k
-            if len(r["text"].strip()) >= least:
-                by_text[r["text"].strip()] = k
-
-        for r in rows[["new", *cols]].fillna("").to_dict("records"):
-            new = r.pop("new")
-            if not new:
-                kept.append(r)
-                enter(len(kept) - 1, r)
-                by_book.setdefault(r["book"], len(kept) - 1)
-                continue
-            k = by_sha.get(r["sha256"]) if r["sha256"] else None
-            k = by_text.get(r["text"].strip()) if k is None else k
-            if k is not None:
-                old = kept[k]
-                if old["text"].strip() == r["text"].strip() and (old["book"] != r["book"] or old["sha256"] == r["sha256"]):
-                    tally["denied"] += 1
-                    continue
-                r = r | {"book": old["book"]}
-            else:
-                k = by_book.get(r["book"])
+    every = every.withColumn("row", F.xxhash64("new", "seq", *cols))  # rows that are equal in all have one, and one text
+    digest = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
+    text = F.btrim(F.coalesce("text", F.lit("")), F.lit(_BLANK))
+    light = every.select("new", "seq", "row", F.coalesce("book", F.lit("")).alias("book"), F.when(F.col("sha256") != "", digest(F.col("sha256"))).alias("sha"), digest(text).alias("text"), (F.length(text) >= least).alias("long"), F.col("book").isNotNull().alias("named"))
+    keys = F.array(F.when(F.col("named"), F.concat(F.lit("b:"), "book")), F.concat(F.lit("s:"), F.hex("sha")), F.when(F.col("long"), F.concat(F.lit("t:"), F.hex("text"))))
+    group = connected(light.select("row", keys.alias("keys"))).distinct()
+    dealt = light.drop("named").join(group, "row").repartition("group").sortWithinPartitions("group", "new", "seq", "row")
+    folded = dealt.select("group", "new", "row", "book", "sha", "text", "long").mapInArrow(_fold, "row long, book string, added long, replaced long, denied long")
+    full = every.groupBy("row").agg(*[F.coalesce(F.first(c), F.lit("")).alias(c) for c in cols if c != "book"])
+    return folded.join(full, "row", "left").select("author", "book", "text", "segmented", "sha256", "added", "replaced", "denied")
+
+
+#: What Python strips from the ends of a text.
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of rows one after another, in order: of texts and hashes only digests are held, and no row but those kept."""
+    group, kept, by_sha, by_text, by_book, tally = None, [], {}, {}, {}, [0, 0, 0]
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(kept), 10_000):
+            part = kept[at : at + 10_000]
+            counts = [[n if not at and not i else 0 for i in range(len(part))] for n in tally]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["row", "book", "added", "replaced", "denied"])
+
+    for batch in batches:
+        for g, new, row, book, sha, text, long in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if g != group:
+                yield from closed()
+                group, kept, by_sha, by_text, by_book, tally = g, [], {}, {}, {}, [0, 0, 0]
+            k = None
+            if new:
+                k = by_sha.get(sha) if sha is not None else None
+                k = by_text.get(text) if k is None and long else k
+                if k is not None:
+                    _, name, had, hash_ = kept[k]
+                    if had == text and (name != book or hash_ == sha):
+                        tally[2] += 1
+                        continue
+                    book = name
+                else:
+                    k = by_book.get(book)
             if k is None:
-                kept.append(r)
-                k = len(kept) - 1
-                by_book.setdefault(r["book"], k)
-                tally["added"] += 1
+                k = len(kept)
+                kept.append((row, book, text, sha))
+                by_book.setdefault(book, k)
+                tally[0] += new
             else:
-                kept[k] = r
-                tally["replaced"] += 1
-            enter(k, r)
-        out = pd.DataFrame(kept, columns=cols)
-        for name, n in tally.items():
-            out[name] = 0
-            if len(out):
-                out.loc[out.index[0], name] = n
-        return out
-
-    schema = "author string, book string, text string, segmented string, sha256 string, added long, replaced long, denied long"
-    return every.join(group, "row").groupBy("group").applyInPandas(fold, schema)
+                kept[k] = (row, book, text, sha)
+                tally[1] += 1
+            if sha is not None:
+                by_sha[sha] = k
+            if long:
+                by_text[text] = k
+    yield from closed()
 
 
 @C.add("guarded_upsert")

@@ -137,3 +137,48 @@ def test_facts_of_tokens(spark, monkeypatch, spaced):
             assert out.columns == ["id", "x", "facts"]
             assert {r.id: r.facts and tuple(r.facts) for r in out.collect()} == {k: w[n] for k, w in want.items()}
         assert {r.id: r.facts for r in tries.line_facts(docs, syllables).collect()} == lines
+
+
+def test_upsert_holds_no_texts(spark, monkeypatch):
+    from corpusmill.operators import repair_queries
+
+    rnd = random.Random(9)
+    long = ["w" * 220 + str(k) for k in range(9)]
+    row = lambda k: (k, f"a{k % 3}", rnd.choice("pqrstuvw"), rnd.choice([*long, "short", None, *(f" {t}\n" for t in long)]), rnd.choice(["", "g"]), rnd.choice(["", "", *"xyz"]))
+    stored = [(k, "s", f"b{k}", f"old {k}", None, "") for k in range(3)]
+    arriving = [row(k) for k in range(70)] + [(70, "a", "p", "short", "", "")] * 2  # two rows that are equal in all
+    kept, by_sha, by_text, by_book, tally = [], {}, {}, {}, [0, 0, 0]
+    for new, rows in ((0, stored), (1, arriving)):
+        for _, *r in rows:
+            r = [x or "" for x in r]
+            t, k = r[2].strip(), None
+            if new:
+                k = by_sha.get(r[4]) if r[4] else None
+                k = by_text.get(t) if k is None else k
+                if k is not None:
+                    old = kept[k]
+                    if old[2].strip() == t and (old[1] != r[1] or old[4] == r[4]):
+                        tally[2] += 1
+                        continue
+                    r[1] = old[1]
+                else:
+                    k = by_book.get(r[1])
+            if k is None:
+                k = len(kept)
+                kept.append(r)
+                by_book.setdefault(r[1], k)
+                tally[0] += new
+            else:
+                kept[k] = r
+                tally[1] += 1
+            if r[4]:
+                by_sha[r[4]] = k
+            if len(t) >= 200:
+                by_text[t] = k
+    schema = "seq long, author string, book string, text string, segmented string, sha256 string"
+    out = repair_queries.guarded_upsert(spark.createDataFrame(stored, schema), spark.createDataFrame(arriving, schema))
+    got = out.collect()
+    assert sorted((r.author, r.book, r.text, r.segmented, r.sha256) for r in got) == sorted(map(tuple, kept))
+    assert [sum(r[c] for r in got) for c in ("added", "replaced", "denied")] == tally and min(tally) > 0
+    plan = out.select("added")._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(text" not in plan  # texts are only met where they are asked for
