@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clusters, layout, legacy_rules, script
+from ..functions import clusters, layout, legacy_rules, script, tries
 from ..plans.catalog import Catalog, load
 from ..plans.storage import new_path
 from ..sources import files, pdf, sinks, writers
@@ -196,14 +196,19 @@ def fragment_classes(spark, sf):
     Joins stay inside a text: its tokens are an array, so what stands before a token needs no window.
     """
     d = _docs(spark, sf).select("doc_id", F.filter(F.split("t", r"\s+"), lambda x: x != "").alias("ws"))
-    words = lexicon(d.select("doc_id", F.array_join("ws", " ").alias("t")))
+    path = new_path(spark, "lexicon")
+    lexicon(d.select("doc_id", F.array_join("ws", " ").alias("t"))).write.parquet(path)
+    words = spark.read.schema("word string").parquet(path)
     cut = F.flatten(F.transform("ws", lambda w, i: F.when((i % 4 == 0) & (F.length(w) > 3), F.array(F.left(w, F.lit(2)), F.substring(w, F.lit(3), F.length(w)))).otherwise(F.array(w))))
     at = d.select(cut.alias("p")).select("p", F.posexplode("p").alias("k", "token"))
     back = lambda n: F.when(F.col("k") >= n, F.array_join(F.slice("p", F.col("k") - n + 1, n + 1), ""))
-    # equal tokens behind equal ones are looked up once
-    at = at.select("token", *[back(n).alias(f"t{n}") for n in (1, 2, 3)]).groupBy("token", "t1", "t2", "t3").agg(F.count(F.lit(1)).alias("n"))
+    at = at.select("token", *[back(n).alias(f"t{n}") for n in (1, 2, 3)])
+    few = words.count() <= tries.MOST
+    # a lexicon of that size is shared, so that no token is exchanged; else equal tokens behind equal ones are looked up once
+    at = at.withColumn("n", F.lit(1).cast("bigint")) if few else at.groupBy("token", "t1", "t2", "t3").agg(F.count(F.lit(1)).alias("n"))
     for c in ("token", "t1", "t2", "t3"):
-        at = at.join(words.select(F.col("word").alias(c), F.lit(True).alias(f"is_{c}")), c, "left")
+        known = words.select(F.col("word").alias(c), F.lit(True).alias(f"is_{c}"))
+        at = at.join(F.broadcast(known) if few else known.hint("merge"), c, "left")
     is_ = lambda c: F.coalesce(f"is_{c}", F.lit(False))
     kind = F.when(is_("token"), "word").when(is_("t1") | is_("t2") | is_("t3"), "unit").when(F.col("token").rlike(r"^[A-Za-z]+\z"), "loan").otherwise("unknown")
     return at.groupBy(kind.alias("class")).agg(F.sum("n").alias("n"))

@@ -182,3 +182,17 @@ def test_upsert_holds_no_texts(spark, monkeypatch):
     assert [sum(r[c] for r in got) for c in ("added", "replaced", "denied")] == tally and min(tally) > 0
     plan = out.select("added")._jdf.queryExecution().optimizedPlan().toString()
     assert "first(text" not in plan  # texts are only met where they are asked for
+
+
+def test_fragments_by_a_shared_lexicon_and_by_joins(spark, monkeypatch):
+    from corpusmill import registry
+    from corpusmill.functions import tries
+
+    run = lambda: registry.queries()["fragment_classes"](spark, "/root/testdata/sf0.001")
+    exchanged = lambda df: "t3" in "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+    shared = run()
+    assert not exchanged(shared)
+    monkeypatch.setattr(tries, "MOST", 0)
+    joined = run()
+    assert exchanged(joined)
+    assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, joined.collect())) != []
