@@ -196,3 +196,12 @@ def test_fragments_by_a_shared_lexicon_and_by_joins(spark, monkeypatch):
     joined = run()
     assert exchanged(joined)
     assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, joined.collect())) != []
+
+
+def test_conversion_is_one_step(spark, texts):
+    from corpusmill.functions import legacy_rules
+
+    convert = repair.convert_text(legacy_rules.RULES)
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", script.converted(F.col("t"), legacy_rules.RULES).alias("o"))
+    assert {r.k: r.o for r in d.collect()} == {k: t and (convert(t) if any("က" <= c <= "႟" for c in t) else t) for k, t in enumerate(texts)}
+    assert "regexp_replace" not in d._jdf.queryExecution().optimizedPlan().toString()
